@@ -21,7 +21,7 @@ from .dist import ship
 from .text import Words, blocks
 
 LONGEST, END = 4096, 2
-KNOWN_WORDS = 500_000
+KNOWN = 2_000_000
 
 PIECES = "doc_id long, doc_tokens long, start long, length int, ids binary"
 
@@ -31,10 +31,22 @@ def pieces_of(n: int, longest: int = LONGEST) -> list[int]:
     return [longest] * (n // longest) + [1 << b for b in range(longest.bit_length() - 2, -1, -1) if (n % longest) >> b & 1]
 
 
+def _letter(data: np.ndarray) -> np.ndarray:
+    return (data >= 0x61) & (data <= 0x7A) | (data >= 0x41) & (data <= 0x5A)
+
+
+def _split(data: np.ndarray) -> np.ndarray:
+    """Between an ASCII letter and another ASCII character but the apostrophe, pre-tokens always part."""
+    letter, other = _letter(data), (data < 0x80) & (data != 0x27)
+    other &= ~letter
+    return letter[:-1] & other[1:] | other[:-1] & letter[1:]
+
+
 class Encoder:
-    """Ids of whole texts by a tokenizer whose pre-tokens never cross ASCII white space, so each word is encoded once.
+    """Ids of whole texts by a tokenizer whose pre-tokens cross neither ASCII white space nor the places of _split.
 
-    Keeps at most KNOWN_WORDS words; a full memory is emptied.
+    So each distinct piece is encoded once for as long as it is known; pieces are known by 64 bits of hash, at
+    most KNOWN of them, and a full memory is emptied. What the tokenizer does with a piece is its own affair.
     """
 
     def __init__(self, path: str):
@@ -42,26 +54,41 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[bytes, np.ndarray] = {}
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.at = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.begin, self.flat, self.n, self.n_flat = np.zeros(1, np.int64), np.zeros(0, np.uint32), 0, 0
+
+    def learn(self, keys: np.ndarray, words: list[bytes]) -> None:
+        """keys in order."""
+        if self.n + len(keys) > KNOWN:
+            self.clear()
+        ids = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+        size = np.array([len(x) for x in ids], np.int64)
+        where = np.searchsorted(self.keys, keys)
+        self.keys = np.insert(self.keys, where, keys)
+        self.at = np.insert(self.at, where, self.n + np.arange(len(keys)))
+        self.begin = np.concatenate((self.begin, self.n_flat + np.cumsum(size)))
+        self.flat = np.concatenate((self.flat, *ids))
+        self.n, self.n_flat = self.n + len(keys), len(self.flat)
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
-        words = Words(texts)
+        words = Words(texts, split=_split)
         if not len(words):
             return [np.zeros(0, np.uint32)] * len(texts)
-        _, first, inverse = np.unique(words.hashes(), return_index=True, return_inverse=True)
-        spelled = [words.word(i) for i in first]
-        if len(self.known) + len(spelled) > KNOWN_WORDS:
-            self.known.clear()
-        new = [w for w in spelled if w not in self.known]
-        for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-            self.known[w] = np.array(e.ids, np.uint32)
-        ids = [self.known[w] for w in spelled]
-        size = np.array([len(x) for x in ids])
-        flat, begin = np.concatenate(ids), np.concatenate(([0], np.cumsum(size)[:-1]))
-        n = size[inverse]
-        at = np.cumsum(n)
-        out = flat[np.repeat(begin[inverse] - at + n, n) + np.arange(at[-1])]
-        cut = np.concatenate(([0], at))[words.first]
+        keys, first, inverse = np.unique(words.hashes(), return_index=True, return_inverse=True)
+        for _ in range(2):  # a memory that was emptied has to learn the rest as well
+            k = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
+            new = self.keys[k] != keys if len(self.keys) else np.ones(len(keys), bool)
+            if not new.any():
+                break
+            self.learn(keys[new], [words.word(i) for i in first[new]])
+        at = self.at[np.searchsorted(self.keys, keys)][inverse]
+        n = self.begin[at + 1] - self.begin[at]
+        end = np.cumsum(n)
+        out = self.flat[np.repeat(self.begin[at] - end + n, n) + np.arange(end[-1])]
+        cut = np.concatenate(([0], end))[words.first]
         return [out[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
 

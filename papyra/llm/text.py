@@ -35,20 +35,33 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, U)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _LETTERS = [mix(np.arange(1, 257, dtype=U) * U(b)) for b in BASES]
+#: Bytes that are hashed at once, so that what is between stays in the processor's cache.
+_SLICE = 1 << 18
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def powers(lane: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a lane's odd base and of its inverse, modulo 2 ** 64."""
+    if lane not in _powers or len(_powers[lane][0]) < n:
+        base = BASES[lane] | 1
+        both = []
+        for b in (base, pow(base, -1, 1 << 64)):
+            out = np.full(max(n, _SLICE), b, U)
+            out[0] = 1
+            both.append(np.multiply.accumulate(out))
+        _powers[lane] = (both[0], both[1])
+    return _powers[lane]
 
 
 class Words:
-    """Words of a run of texts. start, end: byte positions in data; doc: index of the text; first: of each text's first word, and the total."""
+    """Words of a run of texts. start, end: byte positions in data; doc: index of the text; first: of each text's first word, and the total.
+
+    split: of the bytes, whether a word ends between each and the next, besides the bytes that kind leaves out.
+    """
 
-    def __init__(self, texts: pa.Array, kind: np.ndarray = SPACED, lower: bool = False):
+    def __init__(self, texts: pa.Array, kind: np.ndarray = SPACED, lower: bool = False, split=None):
         if isinstance(texts, pa.ChunkedArray):
             texts = texts.combine_chunks()
         if texts.null_count:
@@ -63,6 +76,8 @@ class Words:
         inside = kind[self.data]
         edge = np.zeros(len(raw) + 1, bool)
         edge[self.offsets] = True
+        if split is not None and len(raw):
+            edge[1:-1] |= split(self.data)
         self.inside = inside
         self.start = np.flatnonzero(inside & ~(np.concatenate(([False], inside[:-1])) & ~edge[:-1])) if len(raw) else np.zeros(0, np.int64)
         self.end = np.flatnonzero(inside & ~(np.concatenate((inside[1:], [False])) & ~edge[1:])) + 1 if len(raw) else np.zeros(0, np.int64)
@@ -73,18 +88,21 @@ class Words:
         return len(self.start)
 
     def hashes(self, lane: int = 0) -> np.ndarray:
-        """64 bits of each word."""
-        if not len(self):
-            return np.zeros(0, U)
-        length = self.end - self.start
-        place = np.arange(len(self.data), dtype=np.int64)
-        owner = np.zeros(len(self.data) + 1, np.int64)
-        owner[self.start] = np.diff(self.start, prepend=0)
-        place -= np.cumsum(owner[:-1])
-        place[~self.inside] = 0
-        part = _LETTERS[lane][self.data] * _powers(BASES[lane] | 1, int(length.max()) + 1)[place]
-        part[~self.inside] = 0
-        return mix(np.add.reduceat(part, self.start) + length.astype(U) * U(0xD6E8FEB86659FD93))
+        """64 bits of each word: a polynomial in its bytes, from differences of running sums."""
+        out, k = np.zeros(len(self), U), 0
+        while k < len(self):
+            low = self.start[k]
+            to = max(k + 1, int(np.searchsorted(self.end, low + _SLICE, "right")))
+            high = self.end[to - 1]
+            up, down = powers(lane, int(high - low))
+            total = np.zeros(high - low + 1, U)
+            np.cumsum(_LETTERS[lane][self.data[low:high]] * up[: high - low], out=total[1:])
+            start, end = self.start[k:to] - low, self.end[k:to] - low
+            out[k:to] = (total[end] - total[start]) * down[start] + (end - start).astype(U) * U(0xD6E8FEB86659FD93)
+            k = to
+        if len(_powers.get(lane, ((),))[0]) > 16 * _SLICE:
+            del _powers[lane]  # one very long word
+        return mix(out)
 
     def windows(self, hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
         """Hash of each run of size words that stays in one text, and the index of its first word."""
