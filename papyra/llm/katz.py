@@ -238,18 +238,18 @@ def _evaluate(common: np.ndarray, counts: np.ndarray, n_ranges: int):
 
 
 def _send(kind: int, history: np.ndarray, columns: list[np.ndarray], common: np.ndarray, n_ranges: int, salts, other: int = -1) -> list[tuple[int, int, int, bytes]]:
-    """Entries to the ranges of their histories; those of common words to the given salts."""
+    """Entries, keyed by hash of history, to its range; those of common words once for each of salts, which is part of their key."""
     is_common, _ = _member(history, np.sort(np.append(common, START)))
-    keep = [np.flatnonzero(~is_common)]
-    range_ = [_range_of(mix(history[keep[0]] + U(0x9D)), n_ranges)]
+    keep, keys = [np.flatnonzero(~is_common)], []
+    keys.append(mix(history[keep[0]] + U(0x9D)))
     for s in salts:
         keep.append(np.flatnonzero(is_common))
-        range_.append(_range_of(mix(history[keep[-1]] + U(0xB7) + U(s) * U(0x9E3779B97F4A7C15)), n_ranges))
-    at, range_ = np.concatenate(keep), np.concatenate(range_)
-    order = np.lexsort((history[at], range_))
-    at, range_ = at[order], range_[order]
-    edges = np.searchsorted(range_, np.arange(n_ranges + 1))
-    return [(kind, int(r), other, _pack(history[own], *(c[own] for c in columns))) for r in np.flatnonzero(np.diff(edges)) for own in [at[edges[r] : edges[r + 1]]]]
+        keys.append(mix(history[keep[-1]] + U((0x9E3779B97F4A7C15 * (s + 1) + 0xB7) % (1 << 64))))
+    at, keys = np.concatenate(keep), np.concatenate(keys)
+    order = np.argsort(keys)
+    at, keys = at[order], keys[order]
+    edges = np.searchsorted(_range_of(keys, n_ranges), np.arange(n_ranges + 1))
+    return [(kind, int(r), other, _pack(keys[edges[r] : edges[r + 1]], *(c[at[edges[r] : edges[r + 1]]] for c in columns))) for r in np.flatnonzero(np.diff(edges))]
 
 
 def discounts(of_counts: list[int]) -> list[float]:
