@@ -30,7 +30,7 @@ from .text import ALNUM, Words, blocks, mix, rolling, spread
 
 WINDOW, SHINGLE, BLOCK_BYTES = 10, 3, 16 << 20
 
-FOUND = "row long, doc_id long, n_words long, hits binary, items array<long>"
+FOUND = "row long, doc {doc}, n_words long, hits binary, items array<long>"
 
 
 class Windows:
@@ -117,11 +117,11 @@ def _find(windows: Windows, prefix: np.ndarray, by: np.ndarray, back: np.ndarray
                         items[d].update(windows.items[w])
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("row"), batch.column("doc_id"), pa.array(np.diff(words.first), pa.int64()),
+                    batch.column("row"), batch.column("doc"), pa.array(np.diff(words.first), pa.int64()),
                     pa.array([np.unique(np.array(h, "<i4").reshape(-1, 2), axis=0).astype("<i4").tobytes() for h in hits], pa.binary()),
                     pa.array([sorted(x) for x in items], pa.list_(pa.int64())),
                 ],
-                ["row", "doc_id", "n_words", "hits", "items"],
+                ["row", "doc", "n_words", "hits", "items"],
             )
 
     return run
@@ -134,15 +134,17 @@ def _cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             runs = np.frombuffer(hits, "<i4").reshape(-1, 2).astype(np.int64)
             n_hit.append(int(spread(runs[:, 0], runs[:, 1], n).sum()) if len(runs) else 0)
             digest.append(hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest())
-        cols = [batch.column("row"), batch.column("doc_id"), batch.column("n_words"), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in batch.column("items").to_pylist()], pa.int64()), batch.column("items"), pa.array(digest, pa.string())]
-        yield pa.RecordBatch.from_arrays(cols, ["row", "doc_id", "n_words", "n_hit", "n_items", "items", "items_sha256"])
+        cols = [batch.column("doc"), batch.column("n_words"), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in batch.column("items").to_pylist()], pa.int64()), batch.column("items"), pa.array(digest, pa.string())]
+        yield pa.RecordBatch.from_arrays(cols, ["doc", "n_words", "n_hit", "n_items", "items", "items_sha256"])
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """row, doc_id, n_words, n_hit, n_items, items, items_sha256, contaminated for each row of docs."""
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, keep: list[str] | None = None) -> DataFrame:
+    """For each row of docs: doc (a struct of its columns, all or those of keep), n_words, n_hit, n_items, items, items_sha256, contaminated."""
     spark = docs.sparkSession
     ship(spark)
-    docs = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    whole = docs.select(keep or docs.columns)
+    doc_type = whole.schema.simpleString()
+    docs = docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*(F.col(f"`{c}`") for c in whole.columns)).alias("doc"), F.col("text").cast("string").alias("text"))
     bench = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.col("text").isNotNull())
     in_order = bench.withColumn("bytes", F.octet_length("text").cast("long"))
     size = in_order.agg(F.sum("bytes")).first()[0] or 0
@@ -154,14 +156,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
         parts = [dealt.where(F.col("block") == b.block).select("item_id", "text") for b in dealt.select("block").distinct().collect()]
     found = None
     for part in parts:
-        own = _join(docs, Windows([tuple(r) for r in part.collect()], window))
+        own = _join(docs, doc_type, Windows([tuple(r) for r in part.collect()], window))
         found = own if found is None else found.unionByName(own)
     if len(parts) > 1:
-        found = found.groupBy("row", "doc_id", "n_words").agg(F.unhex(F.concat_ws("", F.collect_list(F.hex("hits")))).alias("hits"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-    return found.mapInArrow(_cover, "row long, doc_id long, n_words long, n_hit long, n_items long, items array<long>, items_sha256 string").withColumn("contaminated", F.col("n_hit") > 0)
+        found = found.groupBy("row").agg(F.any_value("doc").alias("doc"), F.any_value("n_words").alias("n_words"), F.unhex(F.concat_ws("", F.collect_list(F.hex("hits")))).alias("hits"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    return found.mapInArrow(_cover, f"doc {doc_type}, n_words long, n_hit long, n_items long, items array<long>, items_sha256 string").withColumn("contaminated", F.col("n_hit") > 0)
 
 
-def _join(docs: DataFrame, windows: Windows) -> DataFrame:
+def _join(docs: DataFrame, doc_type: str, windows: Windows) -> DataFrame:
     shingles = windows.shingles()
     sizes = sorted({n for n, _ in shingles})
     wanted = np.unique(np.concatenate([np.zeros(0, np.uint64), *(x for _, x in shingles)]))
@@ -174,4 +176,4 @@ def _join(docs: DataFrame, windows: Windows) -> DataFrame:
         back[w] = j = int(np.lexsort((own, counts[np.searchsorted(wanted, own)]))[0])
         prefix[w] = own[j]
     order = np.argsort(prefix, kind="stable")
-    return docs.mapInArrow(_find(windows, prefix[order], order, back[order], sizes), FOUND)
+    return docs.mapInArrow(_find(windows, prefix[order], order, back[order], sizes), FOUND.format(doc=doc_type))

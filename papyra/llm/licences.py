@@ -105,7 +105,7 @@ def scan(docs: DataFrame, templates: list[tuple[str, str, list[str]]] = TEMPLATE
     matches = votes.groupBy("row", "template", (F.col("at") - F.col("place")).alias("shift")).agg(F.sum("share").alias("share")).where(F.col("share") >= min_share)
     best = matches.groupBy("row").agg(F.collect_set(F.struct("template", F.round("share", 6).alias("share"))).alias("matches"))  # a few for each template
 
-    base = F.concat(*(F.transform(_places(p), lambda i, p=p: F.struct(i.cast("long").alias("at"), F.lit(label).alias("label"))) for p, label in BASE.items()))
+    base = F.concat(*(F.transform(_places(p), lambda i: F.struct(i.cast("long").alias("at"), F.lit(label).alias("label"))) for p, label in BASE.items()))
     joined = F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))
     found = held.join(best, "row", "left").select("doc_id", "n_words", base.alias("base"), joined.alias("joined"), "matches")
     verified = lambda t: reduce(lambda a, b: a | b, ((t == k) & reduce(lambda a, b: a | b, (F.contains(F.col("joined"), F.lit(f" {key} ")) for key in keys)) for k, (_, _, keys) in enumerate(templates)))

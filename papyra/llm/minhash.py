@@ -13,7 +13,8 @@ are paired with those behind them in other components, HUBS in a round, until no
 between components: no link inside a bucket is lost, and a group of copies is never expanded into its pairs.
 
 Null, empty and word-free texts have an empty set and link with nothing. A text of fewer words than a shingle
-has one shingle, the whole. Rows that share a doc_id count as one document. Ties: the smallest doc_id stands
+has one shingle, the whole. Rows that share a doc_id count as one document; rows without one link
+with nothing, have no component and are kept. Ties: the smallest doc_id stands
 for its class and its component. An empty table gives an empty result. Further columns are ignored.
 """
 
@@ -124,7 +125,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketches = stage(docs.mapInArrow(_sketch, "doc_id long, n_shingles long, whole binary, bands array<long>"), "sketches")
-    full = sketches.where("n_shingles > 0")
+    full = sketches.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = stage(full.groupBy("whole").agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands")), "classes")
     buckets = classes.select(F.explode("bands").alias("bucket"), "rep")
     hubs = buckets.groupBy("bucket").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub != last").select(F.col("bucket").alias("hub_bucket"), "hub")
@@ -148,5 +149,5 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
             continue
         same = stage(same.unionByName(confirm(pairs, docs, percent)), "confirmed")
     by_class = classes.join(groups, F.col("rep") == F.col("node"), "left").select(F.col("whole").alias("class"), F.coalesce("component", "rep").alias("component_id"))
-    out = sketches.join(by_class, F.col("whole") == F.col("class"), "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    out = sketches.join(by_class, (F.col("whole") == F.col("class")) & F.col("doc_id").isNotNull(), "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -41,7 +41,6 @@ _LETTER = np.zeros(256, bool)
 _LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
 
 
-
 def shapes(words: Words) -> np.ndarray:
     """A word's shape: how it begins, how it ends, and whether it is in capitals; 64 bits."""
     if not len(words):
@@ -169,8 +168,8 @@ def threshold(scored: DataFrame) -> float | None:
     return cuts[len(cuts) // 2] * STEP if cuts else None
 
 
-def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """For each row of docs: doc, a struct of all its columns, the base counts, score, base_failed and kept.
+def judge(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """For each row of docs: doc, a struct of its columns (all, or those of keep), the base counts, score, base_failed and kept.
 
     labels: doc_id and quality (1 good, 0 bad; null, or labelled both ways: left out).
     """
@@ -181,8 +180,9 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     labelled = stage(docs.select(F.col("doc_id").cast("long").alias("own_id"), text).join(marks, F.col("own_id") == F.col("label_id"), "inner").select("text", "good"), "labelled")
     weights = ratio(counted(docs.select(text)), counted(labelled.where("good").select("text")))
     cut = threshold(labelled.mapInArrow(_judge(weights, False), "good boolean, score double"))
-    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")
-    schema = f"doc {docs.schema.simpleString()}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, score double"
+    whole = docs.select(keep or docs.columns)
+    schema = f"doc {whole.schema.simpleString()}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, score double"
+    whole = F.struct(*(F.col(f"`{c}`") for c in whole.columns)).alias("doc")
     judged = docs.select(whole, text).mapInArrow(_judge(weights, True), schema)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
     return judged.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.lit(True) if cut is None else F.col("score") >= cut))

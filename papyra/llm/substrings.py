@@ -67,7 +67,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = np.argsort(np.asarray(pa.compute.fill_null(own.column("id"), NO_ID)), kind="stable")
         own = own.take(pa.array(order)).combine_chunks()
         sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, own.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        with pa.ipc.new_stream(sink, own.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 5))) as out:
             out.write_table(own)
         return pa.RecordBatch.from_arrays([pa.array([size], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["bytes", "rows"])
 
@@ -239,7 +239,7 @@ def kept_texts(words: Words, removed: np.ndarray) -> pa.Array:
     return pa.StringArray.from_buffers(n, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data.astype(np.uint8)))
 
 
-def _parse(n: int, window: int, out_schema: pa.Schema | None = None):
+def _parse(n: int, window: int, original: bool):
     def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
         block, own = _open(blocks, answers, n)
         owner = np.concatenate([np.zeros(0, np.int64), *(_unpack(d, "<i8")[0] for d in _heard(answers, 1))])
@@ -250,18 +250,25 @@ def _parse(n: int, window: int, out_schema: pa.Schema | None = None):
         doc = own.words.doc[start]
         at = np.searchsorted(doc, np.arange(len(first)))
         spans = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.StructArray.from_arrays([pa.array(x.astype(np.int64)) for x in (start - first[doc], length, source)], ["start", "length", "block"]))
-        return pa.table({"doc": own.table.column("doc"), "n_words": pa.array(np.diff(first).astype(np.int64)), "n_removed": pa.array((count[first[1:]] - count[first[:-1]]).astype(np.int64)), "kept_text": kept_texts(own.words, removed), "spans": spans})
+        n_removed = (count[first[1:]] - count[first[:-1]]).astype(np.int64)
+        kept = kept_texts(own.words, removed)
+        if original:
+            kept = pa.compute.if_else(pa.array(n_removed == 0), own.table.column("text").combine_chunks(), kept)
+        return pa.table({"doc": own.table.column("doc"), "n_words": pa.array(np.diff(first).astype(np.int64)), "n_removed": pa.array(n_removed), "kept_text": kept, "spans": spans})
 
     return run
 
 
-def remove_duplicates(docs: DataFrame) -> DataFrame:
-    """For each row of docs: doc (a struct of its columns), n_words, n_removed, kept_text, and spans (start, length, block) of its duplicate factors."""
+def remove_duplicates(docs: DataFrame, original: bool = False) -> DataFrame:
+    """For each row of docs: doc (a struct of its columns but text), n_words, n_removed, kept_text, and spans (start, length, block) of its duplicate factors.
+
+    kept_text: the words that stay, joined by one space; original: texts that keep all words stay as they are.
+    """
     spark = docs.sparkSession
     ship(spark)
-    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")
-    doc_type = docs.schema.simpleString()
-    rows = docs.select(whole, F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    whole = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c != "text"))
+    doc_type = whole.schema.simpleString()
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in whole.columns)).alias("doc"), F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     blocks = stage(rows.mapInArrow(_blocks, "bytes long, rows binary").withColumn("block", F.monotonically_increasing_id()), "blocks")
     n_bytes = blocks.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
     n = max(1, -(-n_bytes // RANGE_TEXT))
@@ -271,4 +278,4 @@ def remove_duplicates(docs: DataFrame) -> DataFrame:
     asked = blocks.groupBy("block").cogroup(anchors.groupBy("block")).applyInArrow(_ask_windows(n), ASKED)
     windows = stage(asked.groupBy("range").applyInArrow(_answer_windows, ANSWER), "windows")
     answers = anchors.unionByName(windows)
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_parse(n, WINDOW), f"doc {doc_type}, n_words long, n_removed long, kept_text string, spans array<struct<start: long, length: long, block: long>>")
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_parse(n, WINDOW, original), f"doc {doc_type}, n_words long, n_removed long, kept_text string, spans array<struct<start: long, length: long, block: long>>")
