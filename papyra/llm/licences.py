@@ -100,7 +100,8 @@ def scan(docs: DataFrame, templates: list[tuple[str, str, list[str]]] = TEMPLATE
     marked = stage(marked, "licences")
 
     held = marked.where(F.col("words").isNotNull())
-    table = F.broadcast(spark.createDataFrame(entries, "word string, template int, place int, share double"))  # the templates' own words: fixed
+    rows = F.array(*(F.struct(F.lit(w).alias("word"), F.lit(t).alias("template"), F.lit(j).alias("place"), F.lit(s).alias("share")) for w, t, j, s in entries))
+    table = F.broadcast(spark.range(1).select(F.inline(rows)))  # RARE entries for each template: fixed
     votes = held.select("row", F.posexplode("words").alias("at", "word")).join(table, "word")
     matches = votes.groupBy("row", "template", (F.col("at") - F.col("place")).alias("shift")).agg(F.sum("share").alias("share")).where(F.col("share") >= min_share)
     best = matches.groupBy("row").agg(F.collect_set(F.struct("template", F.round("share", 6).alias("share"))).alias("matches"))  # a few for each template
