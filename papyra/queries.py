@@ -186,7 +186,7 @@ text_query("group_null_key", "AGGREGATE open_orders | GROUP BY status, n AS {c:
 text_query("group_non_numeric", "AGGREGATE orders | GROUP BY o_orderstatus AS {s: SUM(o_orderpriority), a: AVG(o_orderpriority)}", "SELECT o_orderstatus, 0.0::DOUBLE AS s, 0.0::DOUBLE AS a FROM orders GROUP BY o_orderstatus")
 built("group_by_nothing", "SELECT count(*) AS n, max(o_totalprice) AS top FROM orders")(lambda db: db["orders"].aggregate(Pipeline().group(n="COUNT", top=("MAX", "o_totalprice"))))
 built("group_by_nothing_empty", "SELECT 0::BIGINT AS n WHERE false")(lambda db: db["orders"].aggregate(Pipeline().match(Where().field("o_orderkey").lt(-1)).group(n="COUNT")))
-text_query("group_dotted", "AGGREGATE nested | GROUP BY addr.nation AS {c: COUNT(), m: MAX(addr.account.balance)}", "SELECT c_nationkey AS \"addr.nation\", count(*) AS c, max(c_acctbal) AS m FROM customer GROUP BY ALL")
+text_query("group_dotted", "AGGREGATE nested | GROUP BY addr.nation AS {c: COUNT(), m: MAX(addr.account.balance)} | PROJECT nation: addr.nation, c, m", "SELECT c_nationkey AS nation, count(*) AS c, max(c_acctbal) AS m FROM customer GROUP BY ALL")
 text_query("having", "AGGREGATE orders | GROUP BY o_custkey AS {n: COUNT(), total: SUM(o_totalprice)} | MATCH n > 15 | PROJECT o_custkey, n", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY ALL HAVING count(*) > 15")
 text_query("sort_limit_stage", "AGGREGATE orders | GROUP BY o_custkey AS {n: COUNT()} | SORT n DESC, o_custkey | SKIP 3 | LIMIT 7", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY ALL ORDER BY n DESC, o_custkey LIMIT 7 OFFSET 3")
 text_query("sort_nulls", "AGGREGATE open_orders | SORT status, n DESC, o_orderkey | LIMIT 50 | PROJECT o_orderkey, status, n", f"SELECT o_orderkey, status, n FROM {_OPEN_ORDERS} ORDER BY status NULLS FIRST, n DESC NULLS LAST, o_orderkey LIMIT 50")
@@ -202,11 +202,11 @@ text_query("unwind_preserve", "AGGREGATE tagged | UNWIND tags PRESERVE NULL | PR
 text_query("unwind_group", "AGGREGATE tagged | UNWIND tags | GROUP BY tags AS {n: COUNT()}", f"SELECT tags, count(*) AS n FROM (SELECT unnest(tags) AS tags FROM {_TAGGED}) GROUP BY ALL")
 text_query("array_index", "AGGREGATE embeddings | MATCH embedding.0 > 0 | PROJECT vec_id, a: embedding.0, b: embedding.999", "SELECT vec_id, embedding[1] AS a, NULL::FLOAT AS b FROM embeddings WHERE embedding[1] > 0")
 text_query("array_equal", 'FIND tagged WHERE tags = ["click", "u1"] SELECT event_id', f"SELECT event_id FROM {_TAGGED} WHERE tags = ['click', 'u1']")
-text_query("dotted_path", "FIND nested WHERE addr.nation = 3 AND addr.account.balance > 0 SELECT c_custkey, addr.nation", 'SELECT c_custkey, c_nationkey AS "addr.nation" FROM customer WHERE c_nationkey = 3 AND c_acctbal > 0')
+text_query("dotted_path", "AGGREGATE nested | MATCH addr.nation = 3 AND addr.account.balance > 0 | PROJECT c_custkey, nation: addr.nation", 'SELECT c_custkey, c_nationkey AS nation FROM customer WHERE c_nationkey = 3 AND c_acctbal > 0')
 built("lookup", "SELECT c_custkey, count(o_orderkey)::INT AS n, coalesce(string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey), '') AS keys FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_custkey")(
     lambda db: db.sql("AGGREGATE customer | LOOKUP orders AS mine ON c_custkey = o_custkey").select("c_custkey", F.size("mine").alias("n"), F.array_join(F.col("mine.o_orderkey").cast("array<string>"), ",").alias("keys"))
 )
-text_query("lookup_unwind_group", "AGGREGATE orders | LOOKUP customer AS c ON o_custkey = c_custkey | UNWIND c | GROUP BY c.c_mktsegment AS {n: COUNT(), top: MAX(o_totalprice)}", 'SELECT c_mktsegment AS "c.c_mktsegment", count(*) AS n, max(o_totalprice) AS top FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL')
+text_query("lookup_unwind_group", "AGGREGATE orders | LOOKUP customer AS c ON o_custkey = c_custkey | UNWIND c | GROUP BY c.c_mktsegment AS {n: COUNT(), top: MAX(o_totalprice)} | PROJECT segment: c.c_mktsegment, n, top", 'SELECT c_mktsegment AS segment, count(*) AS n, max(o_totalprice) AS top FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL')
 text_query("lookup_unwind_preserve", "AGGREGATE documents | LOOKUP labels AS label ON doc_id = doc_id | UNWIND label PRESERVE NULL | PROJECT doc_id, quality: label.quality", "SELECT d.doc_id, quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
 text_query("lookup_chain", "AGGREGATE nation | LOOKUP region AS r ON n_regionkey = r_regionkey | UNWIND r | PROJECT n_name, region: r.r_name", "SELECT n_name, r_name AS region FROM nation JOIN region ON n_regionkey = r_regionkey")
 text_query("conversation_push", "AGGREGATE conversations | GROUP BY conv_id AS {first: FIRST(role), last: LAST(role), turns: COUNT()}", "SELECT conv_id, arg_min(role, turn) AS first, arg_max(role, turn) AS last, count(*) AS turns FROM conversations GROUP BY ALL")
