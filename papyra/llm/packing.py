@@ -21,7 +21,7 @@ from .dist import ship
 from .text import Words, blocks
 
 LONGEST, END = 4096, 2
-KNOWN = 2_000_000
+KNOWN = 1_500_000
 
 PIECES = "doc_id long, doc_tokens long, start long, length int, ids binary"
 
@@ -57,21 +57,21 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.keys, self.at = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.begin, self.flat, self.n, self.n_flat = np.zeros(1, np.int64), np.zeros(0, np.uint32), 0, 0
+        self.keys, self.begin, self.size, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.uint16), np.zeros(0, np.uint32)
 
     def learn(self, keys: np.ndarray, words: list[bytes]) -> None:
         """keys in order."""
-        if self.n + len(keys) > KNOWN:
+        if len(self.keys) + len(keys) > KNOWN:
             self.clear()
         ids = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
         size = np.array([len(x) for x in ids], np.int64)
         where = np.searchsorted(self.keys, keys)
         self.keys = np.insert(self.keys, where, keys)
-        self.at = np.insert(self.at, where, self.n + np.arange(len(keys)))
-        self.begin = np.concatenate((self.begin, self.n_flat + np.cumsum(size)))
+        self.begin = np.insert(self.begin, where, (len(self.flat) + np.cumsum(size) - size).astype(np.uint32))
+        self.size = np.insert(self.size.astype(np.uint32), where, size)
+        if self.size.max() < 1 << 16:
+            self.size = self.size.astype(np.uint16)
         self.flat = np.concatenate((self.flat, *ids))
-        self.n, self.n_flat = self.n + len(keys), len(self.flat)
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         words = Words(texts, split=_split)
@@ -84,10 +84,10 @@ class Encoder:
             if not new.any():
                 break
             self.learn(keys[new], [words.word(i) for i in first[new]])
-        at = self.at[np.searchsorted(self.keys, keys)][inverse]
-        n = self.begin[at + 1] - self.begin[at]
+        at = np.searchsorted(self.keys, keys)
+        n = self.size[at].astype(np.int64)[inverse]
         end = np.cumsum(n)
-        out = self.flat[np.repeat(self.begin[at] - end + n, n) + np.arange(end[-1])]
+        out = self.flat[np.repeat(self.begin[at].astype(np.int64)[inverse] - end + n, n) + np.arange(end[-1])]
         cut = np.concatenate(([0], end))[words.first]
         return [out[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
@@ -98,7 +98,7 @@ _encoders: dict[str, Encoder] = {}
 def _cut(path: str, longest: int, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoders.get(path) or _encoders.setdefault(path, Encoder(path))
-        for batch in blocks(batches):
+        for batch in blocks(batches, limit=2 << 20):
             doc, total, start, length, ids = [], [], [], [], []
             for i, tokens in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text")), strict=True):
                 tokens = np.append(tokens, np.uint32(end)).astype("<u4")
