@@ -39,13 +39,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .dist import ship, stage
-from .substrings import _pack, _unpack
+from .packed import pack, unpack
 from .text import SPACED, U, Words, blocks, mix
 
 LARGEST, TAIL = 5, 0.5
 CHUNK_TEXT = 16 << 20
 #: Text for each hash range.
-RANGE_TEXT = 32 << 20
+RANGE_TEXT = 16 << 20
 #: A word is spread when it makes up 1 / COMMON of a sample of SAMPLE_TEXT bytes from each task.
 COMMON, SAMPLE_TEXT, SALTS = 400, 1 << 20, 16
 START, END = U(0x53544152545F5F5F), U(0x454E445F5F5F5F5F)
@@ -139,7 +139,7 @@ def _collect(common: np.ndarray, n_ranges: int):
             own = Tokens(rows.column("text").combine_chunks())
             out = np.asarray(rows.column("held_out"))
             ids = np.asarray(pa.compute.fill_null(rows.column("doc_id"), -1)).astype(np.int64)
-            yield _part([(DOCS, -1 - chunk, chunk, _pack(ids, np.asarray(rows.column("doc_id").is_null()), out, own.count.astype(np.int64)))])
+            yield _part([(DOCS, -1 - chunk, chunk, pack(ids, np.asarray(rows.column("doc_id").is_null()), out, own.count.astype(np.int64)))])
             is_common, _ = _member(own.word, common)
             place = np.where(is_common, mix(own.word ^ mix(own.history)), own.word)
             range_ = _range_of(place, n_ranges)
@@ -157,7 +157,7 @@ def _collect(common: np.ndarray, n_ranges: int):
                 a, b = edges[r], edges[r + 1]
                 w_new = np.flatnonzero(_new(pair_word[a:b]))
                 where = at[a], at[b] if b < len(at) else len(word)
-                yield _part([(0, int(r), chunk, _pack(np.array([rows.num_rows, small().itemsize]), mask, pair_word[a:b][w_new], np.diff(np.append(w_new, b - a)).astype(np.uint32), pair_history[a:b], n_pair[a:b], text[where[0] : where[1]].astype(small)))])
+                yield _part([(0, int(r), chunk, pack(np.array([rows.num_rows, small().itemsize]), mask, pair_word[a:b][w_new], np.diff(np.append(w_new, b - a)).astype(np.uint32), pair_history[a:b], n_pair[a:b], text[where[0] : where[1]].astype(small)))])
 
         for batch in blocks(batches, limit=1 << 20):
             held.append(batch)
@@ -185,7 +185,7 @@ def _evaluate(common: np.ndarray, counts: np.ndarray, n_ranges: int):
         chunks = rows.column("other").to_pylist()
         parts = []
         for data in rows.column("data").combine_chunks():
-            head, mask, word, n_word, history, n, text = _unpack(data.as_buffer(), "<i8", "u1", "<u8", "<u4", "<u8", "<u4", "u1")
+            head, mask, word, n_word, history, n, text = unpack(data.as_buffer(), "<i8", "u1", "<u8", "<u4", "<u8", "<u4", "u1")
             text = text.view("<u2" if head[1] == 2 else "<u4")
             train = np.unpackbits(mask)[: head[0]].astype(bool)
             first = np.cumsum(n, dtype=np.int64) - n
@@ -205,7 +205,7 @@ def _evaluate(common: np.ndarray, counts: np.ndarray, n_ranges: int):
         words[is_common] = counts[k[is_common]]
         c_word = words[which_word]
 
-        out = [(STATS, -1, -1, _pack(np.append(np.bincount(np.minimum(pairs, LARGEST + 2), minlength=LARGEST + 3), (words[~is_common] > 0).sum()).astype(np.int64)))]
+        out = [(STATS, -1, -1, pack(np.append(np.bincount(np.minimum(pairs, LARGEST + 2), minlength=LARGEST + 3), (words[~is_common] > 0).sum()).astype(np.int64)))]
         # parts of each history's normaliser: counts of counts, number and sum of larger counts, the seen words' own counts
         seen = np.flatnonzero(pairs)
         by = seen[np.argsort(pair_history[seen], kind="stable")]
@@ -227,7 +227,7 @@ def _evaluate(common: np.ndarray, counts: np.ndarray, n_ranges: int):
             unseen = pairs == 0
             sums = [add(log_word), add(log_pair + log_history + np.where(unseen, log_word, 0.0))]
             numbers = [add(known), add(unseen), *(add(pairs == j) for j in range(1, LARGEST + 1))]
-            out.append((SUMS, chunk, -1, _pack(*sums, *(x.astype(np.uint32) for x in numbers))))
+            out.append((SUMS, chunk, -1, pack(*sums, *(x.astype(np.uint32) for x in numbers))))
             ask = unseen[each]
             if ask.any():
                 own = np.repeat(own_history, n)[ask]
@@ -249,7 +249,7 @@ def _send(kind: int, history: np.ndarray, columns: list[np.ndarray], common: np.
     order = np.argsort(keys)
     at, keys = at[order], keys[order]
     edges = np.searchsorted(_range_of(keys, n_ranges), np.arange(n_ranges + 1))
-    return [(kind, int(r), other, _pack(keys[edges[r] : edges[r + 1]], *(c[at[edges[r] : edges[r + 1]]] for c in columns))) for r in np.flatnonzero(np.diff(edges))]
+    return [(kind, int(r), other, pack(keys[edges[r] : edges[r + 1]], *(c[at[edges[r] : edges[r + 1]]] for c in columns))) for r in np.flatnonzero(np.diff(edges))]
 
 
 def discounts(of_counts: list[int]) -> list[float]:
@@ -270,7 +270,7 @@ def _weigh(d: list[float], total: int):
     def run(rows: pa.Table) -> pa.Table:
         kind = np.asarray(rows.column("kind"))
         data = rows.column("data").combine_chunks()
-        own = [_unpack(data[i].as_buffer(), *["<u8"] + ["<i8"] * (LARGEST + 3)) for i in np.flatnonzero(kind == WEIGHTS)]
+        own = [unpack(data[i].as_buffer(), *["<u8"] + ["<i8"] * (LARGEST + 3)) for i in np.flatnonzero(kind == WEIGHTS)]
         if own:
             history, *columns = (np.concatenate([o[k] for o in own]) for k in range(LARGEST + 4))
         else:
@@ -284,11 +284,11 @@ def _weigh(d: list[float], total: int):
         weight = np.log10(np.maximum(freed / rest, 1e-300))  # alpha(h) * c(h)
         out = []
         for i in np.flatnonzero(kind == REQUESTS):
-            asked, text = _unpack(data[i].as_buffer(), "<u8", "<i8")
+            asked, text = unpack(data[i].as_buffer(), "<u8", "<i8")
             found, k = _member(asked, known)
             value = np.where(found, weight[k] if len(known) else 0.0, 0.0)
             texts, inverse = np.unique(text, return_inverse=True)
-            out.append((REQUESTS, rows.column("other")[int(i)].as_py(), -1, _pack(texts, np.bincount(inverse, value))))
+            out.append((REQUESTS, rows.column("other")[int(i)].as_py(), -1, pack(texts, np.bincount(inverse, value))))
         return pa.Table.from_batches([_part(out)])
 
     return run
@@ -299,15 +299,15 @@ def _finish(d: list[float], total: int, train_tokens: int, train_docs: int):
 
     def run(rows: pa.Table) -> pa.Table:
         kind, data = np.asarray(rows.column("kind")), rows.column("data").combine_chunks()
-        ids, null, out, count = _unpack(data[int(np.flatnonzero(kind == DOCS)[0])].as_buffer(), "<i8", "?", "?", "<i8")
+        ids, null, out, count = unpack(data[int(np.flatnonzero(kind == DOCS)[0])].as_buffer(), "<i8", "?", "?", "<i8")
         base, score, known = np.zeros(len(ids)), np.full(len(ids), -math.log10(train_docs) if train_docs else 0.0), np.zeros(len(ids), np.int64)
         for i in np.flatnonzero(kind == SUMS)[np.argsort(np.asarray(rows.column("other"))[kind == SUMS], kind="stable")]:
-            words, pairs, n_known, n_unseen, *n = _unpack(data[int(i)].as_buffer(), "<f8", "<f8", *["<u4"] * (LARGEST + 2))
+            words, pairs, n_known, n_unseen, *n = unpack(data[int(i)].as_buffer(), "<f8", "<f8", *["<u4"] * (LARGEST + 2))
             base += words
             known += n_known
             score += pairs - n_unseen * unit + sum(x * logs[j] for j, x in enumerate(n))
         for i in np.flatnonzero(kind == REQUESTS):
-            texts, value = _unpack(data[int(i)].as_buffer(), "<i8", "<f8")
+            texts, value = unpack(data[int(i)].as_buffer(), "<i8", "<f8")
             np.add.at(score, texts, value)
         return pa.table({"doc_id": pa.array(ids, mask=null), "held_out": pa.array(out), "n_tokens": pa.array(count), "n_known": pa.array(known), "train_tokens": pa.array(np.full(len(ids), train_tokens)), "base_score": pa.array(base - count * unit), "score": pa.array(score)})
 
@@ -336,7 +336,7 @@ def score(docs: DataFrame, held_out=None) -> DataFrame:
     parts = stage(asked.groupBy("key").applyInArrow(_evaluate(common, counts, n), PART), "ranges")
     stats = np.zeros(LARGEST + 4, np.int64)
     for r in parts.where(F.col("kind") == STATS).select("data").collect():  # one small row for each range
-        stats += _unpack(r.data, "<i8")[0]
+        stats += unpack(r.data, "<i8")[0]
     distinct = int(stats[-1] + (counts > 0).sum())
     d = discounts(stats[1 : LARGEST + 2].tolist())
     total = train_tokens + distinct + 1

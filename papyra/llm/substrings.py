@@ -17,7 +17,7 @@ a third of all documents costs at most one entry for each block:
    the block that holds the earliest place of each.
 3. factors. Blocks parse their documents with these answers.
 
-Windows are compared by WINDOW_BYTES bytes of hash.
+Windows are compared by 128 bits of hash, anchors by 64: two anchors taken for one only cost a look-up.
 
 Null, empty and short texts (under `window` words) keep all their words. Rows that share a doc_id are copies in
 the order stored. Repetition inside one document counts: its first place stays. An empty table gives an empty
@@ -34,31 +34,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .dist import ship, stage
+from .packed import pack, unpack
 from .text import SPACED, U, Words, mix, rolling, spread
 
 WINDOW, ANCHOR = 20, 5
 BLOCK_TEXT = 8 << 20
 #: Text for which one hash range is made, at least; ranges follow the input.
 RANGE_TEXT = 32 << 20
-WINDOW_BYTES = 8
 
 NO_ID = np.iinfo(np.int64).min
 
 
-def _pack(*arrays: np.ndarray) -> bytes:
-    """Arrays as one zstd-compressed Arrow stream."""
-    batch = pa.RecordBatch.from_arrays([pa.array([a.tobytes()], pa.large_binary()) for a in arrays], [str(i) for i in range(len(arrays))])
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-        out.write_batch(batch)
-    return sink.getvalue().to_pybytes()
-
-
-def _unpack(data: bytes, *types: str) -> list[np.ndarray]:
-    batch = pa.ipc.open_stream(data).read_next_batch()
-    return [np.frombuffer(batch.column(i)[0].as_buffer(), t) for i, t in enumerate(types)]
-
-
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held, size = [], 0
 
@@ -107,7 +93,7 @@ class Block:
         n = len(words) - window + 1
         self.start = np.flatnonzero(words.doc[:n] == words.doc[window - 1 :]) if n > 0 else np.zeros(0, np.int64)
         if not len(self.start):
-            self.anchor = self.window = np.zeros(0, U)
+            self.window = self.second = np.zeros(0, U)
             self.distinct, self.twice, self.which = np.zeros(0, U), np.zeros(0, bool), np.zeros(0, np.int64)
             return
         runs = rolling(hashes, ANCHOR)
@@ -118,12 +104,19 @@ class Block:
         self.distinct, inverse, count = np.unique(runs[least[new]], return_inverse=True, return_counts=True)
         self.twice = count > 1
         self.which = inverse[np.cumsum(new) - 1]  # of each window, the index of its anchor
-        self.window = rolling(hashes, window)[self.start]
+        self.window, self.second = rolling(hashes, window)[self.start], rolling(words.hashes(1), window)[self.start]
 
     def candidates(self, found: np.ndarray) -> None:
         """found: of each distinct anchor, whether it is found at two places. Sets the windows that take part, and their distinct hashes."""
         self.part = np.flatnonzero(found[self.which]) if len(self.which) else np.zeros(0, np.int64)
-        self.hashes, first, self.of = np.unique(self.window[self.part], return_index=True, return_inverse=True)
+        hashes, second = self.window[self.part], self.second[self.part]
+        order = np.lexsort((second, hashes))  # equal windows stay in order of place
+        new = np.ones(len(order), bool)
+        new[1:] = (hashes[order[1:]] != hashes[order[:-1]]) | (second[order[1:]] != second[order[:-1]])
+        first = order[new]
+        self.hashes, self.seconds = hashes[first], second[first]
+        self.of = np.empty(len(order), np.int64)
+        self.of[order] = np.cumsum(new) - 1
         self.first = np.zeros(len(self.part), bool)
         self.first[first] = True
         self.owner_id = self.ids[self.words.doc[self.start[self.part[first]]]]
@@ -142,7 +135,7 @@ ANSWER = "block long, kind int, range long, data binary"
 def _asked(block: int, n: int, sorted_: np.ndarray, *more: np.ndarray) -> pa.Table:
     at = _ranges(sorted_, n)
     full = np.flatnonzero(np.diff(at))
-    data = [_pack(sorted_[at[k] : at[k + 1]], *(m[at[k] : at[k + 1]] for m in more)) for k in full]
+    data = [pack(sorted_[at[k] : at[k + 1]], *(m[at[k] : at[k + 1]] for m in more)) for k in full]
     return pa.table({"range": pa.array(full, pa.int64()), "block": pa.array([block] * len(full), pa.int64()), "data": pa.array(data, pa.binary())})
 
 
@@ -162,12 +155,12 @@ def _answered(asked: pa.Table, kind: int, answers: list[bytes]) -> pa.Table:
 
 
 def _answer_anchors(asked: pa.Table) -> pa.Table:
-    parts = [_unpack(d.as_buffer(), "<u8", "?") for d in asked.column("data").combine_chunks()]
+    parts = [unpack(d.as_buffer(), "<u8", "?") for d in asked.column("data").combine_chunks()]
     values, inverse = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
     found = np.bincount(inverse, minlength=len(values)) > 1
     found[inverse[np.concatenate([p[1] for p in parts])]] = True
     answer = np.split(found[inverse], np.cumsum([len(p[0]) for p in parts])[:-1])
-    return _answered(asked, 0, [_pack(np.packbits(a)) for a in answer])
+    return _answered(asked, 0, [pack(np.packbits(a)) for a in answer])
 
 
 def _heard(answers: pa.Table, kind: int) -> list[bytes]:
@@ -180,7 +173,7 @@ def _open(blocks: pa.Table, answers: pa.Table, n: int) -> tuple[int, Block]:
     own = Block(blocks.column("rows")[0].as_buffer())
     at = _ranges(own.distinct, n)
     size = np.diff(at)[np.flatnonzero(np.diff(at))]
-    found = [np.unpackbits(_unpack(d, "u1")[0])[:k].astype(bool) for d, k in zip(_heard(answers, 0), size, strict=True)]
+    found = [np.unpackbits(unpack(d, "u1")[0])[:k].astype(bool) for d, k in zip(_heard(answers, 0), size, strict=True)]
     own.candidates(np.concatenate([np.zeros(0, bool), *found]))
     return blocks.column("block")[0].as_py(), own
 
@@ -190,22 +183,22 @@ def _ask_windows(n: int):
         if not blocks.num_rows:
             return _asked(0, n, np.zeros(0, U), np.zeros(0, np.int64))
         block, own = _open(blocks, answers, n)
-        return _asked(block, n, own.hashes, own.owner_id)
+        return _asked(block, n, own.hashes, own.seconds, own.owner_id)
 
     return run
 
 
 def _answer_windows(asked: pa.Table) -> pa.Table:
-    parts = [_unpack(d.as_buffer(), "<u8", "<i8") for d in asked.column("data").combine_chunks()]
+    parts = [unpack(d.as_buffer(), "<u8", "<u8", "<i8") for d in asked.column("data").combine_chunks()]
     size = [len(p[0]) for p in parts]
-    hashes, ids = (np.concatenate([p[i] for p in parts]) for i in range(2))
+    hashes, second, ids = (np.concatenate([p[i] for p in parts]) for i in range(3))
     block = np.repeat(np.asarray(asked.column("block")), size)
-    order = np.lexsort((block, ids, hashes))
+    order = np.lexsort((block, ids, second, hashes))
     new = np.ones(len(order), bool)
-    new[1:] = hashes[order[1:]] != hashes[order[:-1]]
+    new[1:] = (hashes[order[1:]] != hashes[order[:-1]]) | (second[order[1:]] != second[order[:-1]])
     owner = np.empty(len(order), np.int64)
     owner[order] = block[order[new]][np.cumsum(new) - 1]
-    return _answered(asked, 1, [_pack(a) for a in np.split(owner, np.cumsum(size)[:-1])])
+    return _answered(asked, 1, [pack(a) for a in np.split(owner, np.cumsum(size)[:-1])])
 
 
 def factors(own: Block, block: int, owner: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -242,7 +235,7 @@ def kept_texts(words: Words, removed: np.ndarray) -> pa.Array:
 def _parse(n: int, window: int, original: bool):
     def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
         block, own = _open(blocks, answers, n)
-        owner = np.concatenate([np.zeros(0, np.int64), *(_unpack(d, "<i8")[0] for d in _heard(answers, 1))])
+        owner = np.concatenate([np.zeros(0, np.int64), *(unpack(d, "<i8")[0] for d in _heard(answers, 1))])
         start, length, source = factors(own, block, owner, window)
         removed = spread(start, length, len(own.words))
         first = own.words.first

@@ -58,3 +58,12 @@ def test_blocks():
 def test_spread():
     assert text.spread(np.array([0, 3]), 2, 6).tolist() == [True, True, False, True, True, False]
     assert re.fullmatch("x", "x") and SPACED[0x1C]
+
+
+def test_packed_arrays():
+    from papyra.llm.packed import pack, unpack
+
+    arrays = [np.zeros(0, "<u8"), np.arange(3, dtype="<i8"), np.zeros(5000, "<u4"), np.random.default_rng(0).integers(0, 1 << 62, 999).astype("<u8"), np.array([True, False])]
+    for source in (bytes, pa.py_buffer):
+        got = unpack(source(pack(*arrays)), "<u8", "<i8", "<u4", "<u8", "?")
+        assert all((a == b).all() and a.dtype == b.dtype for a, b in zip(arrays, got, strict=True))
