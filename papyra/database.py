@@ -89,9 +89,12 @@ class Database:
 
     # collections
 
-    def attach(self, name: str, source: str | DataFrame, order: Iterable[str] = ("_id",)) -> Collection:
-        """Register Parquet files or a DataFrame. order: the columns whose order is the collection's order."""
-        read = (lambda: self.spark.read.parquet(source)) if isinstance(source, str) else lambda: source
+    def attach(self, name: str, source: str | DataFrame | Callable[[], DataFrame], order: Iterable[str] = ("_id",)) -> Collection:
+        """Register Parquet files, a DataFrame, or a function that makes one when it is read. order: the columns whose order is the collection's order."""
+        if isinstance(source, str):
+            read = lambda: self.spark.read.parquet(source)
+        else:
+            read = (lambda: source) if isinstance(source, DataFrame) else source
         self.attached[check_name(name)] = (read, tuple(order))
         return self[name]
 

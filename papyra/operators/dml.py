@@ -106,6 +106,14 @@ def insert(df: DataFrame, new: DataFrame) -> DataFrame:
     return left.unionByName(right, allowMissingColumns=True)
 
 
+def merge(df: DataFrame, other: DataFrame, key: str) -> DataFrame:
+    """Documents of both, by key: a field of other that has a value replaces the field of df. Null keys match nothing."""
+    right = other.select(*(quoted(c).alias(f"other {c}") for c in other.columns))
+    joined = df.join(right, quoted(key) == quoted(f"other {key}"), "full")
+    names = [*df.columns, *(c for c in other.columns if c not in df.columns)]
+    return joined.select(*(F.coalesce(quoted(f"other {c}"), quoted(c)).alias(c) if c in df.columns and c in other.columns else quoted(c if c in df.columns else f"other {c}").alias(c) for c in names))
+
+
 def repeated(df: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """Values of keys that more than one row has; rows with a null key do not count."""
     c = Compiler(df)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,7 @@ from .pipeline import Pipeline, Where
 from .plans import tree as t
 from .plans.parser import parse, parse_expression
 from .sources import json as xjson
+from .streaming import pipelines
 
 ORDER = {
     "region": ("r_regionkey",), "nation": ("n_nationkey",), "customer": ("c_custkey",), "supplier": ("s_suppkey",), "part": ("p_partkey",), "orders": ("o_orderkey",),
@@ -31,9 +33,9 @@ def database(spark: SparkSession, sf_dir: str) -> Database:
     for name, order in ORDER.items():
         db.attach(name, f"{sf_dir}/{name}.parquet", order)
     # columns with nulls, which no table has
-    db.attach("open_orders", _open_orders(db), ("o_orderkey",))
-    db.attach("tagged", _tagged(db), ("event_id",))
-    db.attach("nested", db.read("customer").select("c_custkey", F.struct(F.col("c_nationkey").alias("nation"), F.struct(F.col("c_acctbal").alias("balance")).alias("account")).alias("addr")), ("c_custkey",))
+    db.attach("open_orders", lambda: _open_orders(db), ("o_orderkey",))
+    db.attach("tagged", lambda: _tagged(db), ("event_id",))
+    db.attach("nested", lambda: db.read("customer").select("c_custkey", F.struct(F.col("c_nationkey").alias("nation"), F.struct(F.col("c_acctbal").alias("balance")).alias("account")).alias("addr")), ("c_custkey",))
     return db
 
 
@@ -251,6 +253,39 @@ built("delete_all", "SELECT * FROM nation WHERE false")(lambda db: dml.delete(db
 built("insert_documents", "SELECT n_nationkey::BIGINT AS n_nationkey, n_name, n_regionkey::BIGINT AS n_regionkey, NULL::BOOLEAN AS made_up FROM nation UNION ALL SELECT 100, 'ATLANTIS', 9, true UNION ALL SELECT 101, NULL, NULL, NULL")(
     lambda db: dml.insert(db.read("nation"), dml.documents(db.spark, [{"n_nationkey": 100, "n_name": "ATLANTIS", "n_regionkey": 9, "made_up": True}, {"n_nationkey": 101}], with_id=False)[0])
 )
+built("merge_documents", "SELECT coalesce(s_suppkey, n_nationkey) AS n_nationkey, coalesce(s_name, n_name) AS n_name, n_regionkey, s_acctbal AS balance FROM nation FULL JOIN (SELECT * FROM supplier WHERE s_suppkey < 40) ON s_suppkey = n_nationkey")(
+    lambda db: dml.merge(db.read("nation"), db.read("supplier").where("s_suppkey < 40").selectExpr("s_suppkey AS n_nationkey", "s_name AS n_name", "s_acctbal AS balance"), "n_nationkey")
+)
+built("get_one", "SELECT * FROM orders WHERE o_orderkey = 7")(lambda db: db["orders"].find(t.Binary("=", t.Field("o_orderkey"), t.Lit(7))))
+
+# streams: all that is there, in micro-batches, against the same rows at once
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{sf_dir}/events.parquet"
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf_dir}/events.parque[t]")
+
+
+def _drained(df: DataFrame, mode: str) -> DataFrame:
+    spark, name = df.sparkSession, f"drained_{uuid.uuid4().hex}"
+    pipelines.run_to_memory(df, name, mode).awaitTermination()
+    return spark.table(name)
+
+
+def stream_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    steps = parse("AGGREGATE e | MATCH value > 10 | GROUP BY event_type AS {n: COUNT(), top: MAX(value), first: FIRST(user_id)} | SORT event_type").stages
+    return _drained(pipelines.apply(_events(spark, sf_dir), steps, order=("event_id",)), "complete")
+
+
+def stream_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = _drained(pipelines.windowed(_events(spark, sf_dir), "ts", "1 hour", ("event_type",), (t.Acc("n", "COUNT"),), late="1 day"), "complete")
+    return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n")
+
+
+QUERIES["stream_group"] = stream_group
+ORACLE_SQL["stream_group"] = "SELECT event_type, count(*) AS n, max(value) AS top, arg_min(user_id, event_id) AS first FROM events WHERE value > 10 GROUP BY ALL"
+QUERIES["stream_window"] = stream_window
+ORACLE_SQL["stream_window"] = "SELECT date_trunc('hour', ts)::TIMESTAMP AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL"
 
 # indexes and full text
 
