@@ -1,10 +1,11 @@
 """Quality rules: a length-normalised log-likelihood ratio between trusted and raw text.
 
-Every document is a bag of hashed unigrams and bigrams of its words' shapes and spellings. Two multinomials
-over BINS bins are counted: one over all documents (the raw corpus), one over the trusted target, the
-documents that are labelled good. A document's score is the mean over its n-grams of
-log p_target(bin) - log p_raw(bin). The threshold is found on the labelled documents alone and applied to
-every document alike; a document that fails the fixed base rules is never kept.
+Every document is a bag of hashed unigrams and bigrams of its words' shapes: case, kind of the last characters,
+and whether a word repeats its neighbour. Two multinomials over BINS bins are counted: one over all documents
+(the raw corpus), one over the trusted target, the documents labelled good among at most LABELLED labels. A
+document's score is the mean over its n-grams of log p_target(bin) - log p_raw(bin). The threshold is found on
+the same labelled documents and applied to every document alike; a document that fails the fixed base rules is
+never kept.
 
 Only arrays of BINS counts and a histogram of the labelled documents' scores reach the driver, whatever the
 size of the corpus. Without labelled documents of both kinds no threshold is set and the base rules decide.
@@ -30,6 +31,8 @@ SMOOTHING = 0.5
 MIN_WORDS, REPEAT_WINDOW, REPEAT_PERCENT = 20, 8, 30
 #: The least share of the documents labelled good that a threshold must keep.
 KEEP_GOOD = 0.995
+#: The model is fitted on at most so many labelled documents, those whose ids hash lowest; the raw counts cover every document.
+LABELLED = 20_000
 #: Labelled scores are counted in steps of this width; the bound on what the driver sees is 2 * SCORE_LIMIT / STEP.
 STEP, SCORE_LIMIT = 0.005, 40.0
 
@@ -177,6 +180,7 @@ def judge(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None) ->
     text = F.col("text").cast("string").alias("text")
     marks = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("label_id")).agg(F.min("quality").alias("low"), F.max("quality").alias("high"))
     marks = marks.where(F.col("low") == F.col("high")).select("label_id", (F.col("low") == 1).alias("good"))
+    marks = F.broadcast(marks.orderBy(F.xxhash64("label_id"), "label_id").limit(LABELLED))
     labelled = stage(docs.select(F.col("doc_id").cast("long").alias("own_id"), text).join(marks, F.col("own_id") == F.col("label_id"), "inner").select("text", "good"), "labelled")
     weights = ratio(counted(docs.select(text)), counted(labelled.where("good").select("text")))
     cut = threshold(labelled.mapInArrow(_judge(weights, False), "good boolean, score double"))
