@@ -6,11 +6,13 @@ sequence of bins that depends on the bin alone (optimal densification), so equal
 probability J. BANDS bands of ROWS bins are the bucket keys: a pair at J = 0.75 shares none with probability
 (1 - 0.75 ** ROWS) ** BANDS, about 1e-6.
 
-Documents with equal sets are one class before anything is paired. In each bucket the least class is the hub
-and every other class is paired with it, so pairs grow with the members. Pairs are confirmed on the full sets
-of hashed shingles. Where a bucket still holds several components, the next classes in order become hubs and
-are paired with those behind them in other components, HUBS in a round, until no bucket has an untested pair
-between components: no link inside a bucket is lost, and a group of copies is never expanded into its pairs.
+Documents with equal sets are one class before anything is paired. In each bucket the class that meets the
+most others in all its buckets is the hub, and every other class is paired with it, so pairs grow with the
+members. Pairs are confirmed on the full sets of hashed shingles. Where a bucket still holds several components,
+its classes meet in tiles of TILE classes by TILE, with 32 bits of each shingle: classes outside a tile's largest
+component are compared with all others there, and only pairs that come up to the threshold go on to be confirmed.
+So no link inside a bucket is lost, a group of copies is never expanded into its pairs, and no group of any size
+has to fit into a task.
 
 Null, empty and word-free texts have an empty set and link with nothing. A text of fewer words than a shingle
 has one shingle, the whole. Rows that share a doc_id count as one document; rows without one link
@@ -24,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .dist import ship, stage
@@ -33,7 +35,7 @@ from .text import SPACED, U, Words, blocks, mix, rolling
 
 SHINGLE, PERCENT = 5, 75
 BANDS, ROWS = 51, 5
-HUBS = 4
+TILE = 256
 _TRIES = 512
 
 
@@ -58,7 +60,7 @@ def shingles(words: Words, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]
 
 
 def bands(hash_: np.ndarray, first: np.ndarray, n_bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
-    """Bucket keys of each text: an array of texts by bands. Texts without shingles have no meaning there."""
+    """Bucket keys of each text, texts by bands. Texts without shingles have no meaning there."""
     n, bins = len(first) - 1, n_bands * rows
     doc = np.repeat(np.arange(n), np.diff(first))
     # the high 32 bits choose the bin and grow with the hash, so the first of each (text, bin) is its least
@@ -98,20 +100,20 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = [np.concatenate((np.zeros(1, U), np.cumsum(x))) for x in (hash_, lane)]
         whole = np.stack([s[first[1:]] - s[first[:-1]] for s in sums], 1).astype("<u8").tobytes()
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array([whole[16 * i : 16 * i + 16] for i in range(len(n))], pa.binary()), _lists(keys.ravel(), np.arange(len(n) + 1) * keys.shape[1])], ["doc_id", "n_shingles", "whole", "bands"]
-        )
+            [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array([whole[16 * i : 16 * i + 16] for i in range(len(n))], pa.binary()), _lists(keys.ravel(), np.arange(len(n) + 1) * keys.shape[1])],
+            ["doc_id", "n_shingles", "whole", "bands"],
+        )
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in blocks(batches):
         hash_, first = shingles(Words(batch.column("text"), SPACED, lower=True))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _lists(hash_, first)], ["doc_id", "shingles"])
+        short = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(hash_.astype(np.uint32).view(np.int32)))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _lists(hash_, first), short], ["doc_id", "shingles", "short"])
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Those of pairs (a, b) whose full sets overlap enough."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = stage(docs.join(ids, F.col("doc_id") == F.col("id"), "left_semi").mapInArrow(_sets, "doc_id long, shingles array<long>"), "sets")
+def confirm(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Those of pairs (a, b) whose full sets overlap enough. sets: doc_id, shingles."""
     left, right = (sets.select(F.col("doc_id").alias(f"{x}_id"), F.col("shingles").alias(f"{x}_set")) for x in "ab")
     n_a, n_b = F.size("a_set"), F.size("b_set")
     both = pairs.join(right, F.col("b") == F.col("b_id")).join(left, F.col("a") == F.col("a_id"))
@@ -120,6 +122,55 @@ def confirm(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFr
     return both.where(100 * common >= percent * (n_a + n_b - common)).select("a", "b").distinct()
 
 
+def _close(own: pa.Table, percent: int) -> pa.RecordBatch:
+    """Pairs of a tile, from different components, that come up to the threshold by 32 bits of each shingle."""
+    part, high, rep, component = (np.asarray(own.column(c)) for c in ("part", "hi", "rep", "component"))
+    lists = own.column("short").combine_chunks()
+    flat, size = np.asarray(lists.flatten()), np.asarray(pa.compute.list_value_length(lists)).astype(np.int64)
+    first = np.cumsum(size) - size
+    values, code = np.unique(flat, return_inverse=True)
+    names, which, members = np.unique(component, return_inverse=True, return_counts=True)
+    largest = which == members.argmax()
+    mark = np.zeros(len(values), bool)
+    upper, a, b = part == high, [], []
+    for i in np.flatnonzero(~largest):
+        mine = code[first[i] : first[i] + size[i]]
+        mark[mine] = True
+        common = np.add.reduceat(mark[code], first) + 2  # two shingles may agree in 32 bits by chance
+        mark[mine] = False
+        # of two outside the largest component each pair once; between two parts only from one to the other
+        test = (component != component[i]) & (largest | (rep > rep[i])) & ((upper != upper[i]) | upper.all())
+        at = np.flatnonzero(test & (100 * common >= percent * (size + size[i] - common)))
+        a.append(np.full(len(at), rep[i]))
+        b.append(rep[at])
+    a, b = (np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int64) for x in (a, b))
+    return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
+
+
+def _tiles(percent: int):
+    """Rows come in order of tile."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        tile = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([np.asarray(batch.column(c)).astype(np.int64) for c in ("bucket", "lo", "hi")])
+            cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
+            for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+                now = tuple(keys[:, x])
+                if held and now != tile:
+                    yield _close(pa.Table.from_batches(held), percent)
+                    held = []
+                tile = now
+                held.append(batch.slice(x, y - x))
+        if held:
+            yield _close(pa.Table.from_batches(held), percent)
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs."""
     ship(docs.sparkSession)
@@ -127,27 +178,35 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     sketches = stage(docs.mapInArrow(_sketch, "doc_id long, n_shingles long, whole binary, bands array<long>"), "sketches")
     full = sketches.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = stage(full.groupBy("whole").agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands")), "classes")
+
     buckets = classes.select(F.explode("bands").alias("bucket"), "rep")
-    hubs = buckets.groupBy("bucket").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub != last").select(F.col("bucket").alias("hub_bucket"), "hub")
-    members = stage(buckets.join(hubs, F.col("bucket") == F.col("hub_bucket")).select("bucket", "rep", "hub"), "members")
-    links = confirm(stage(members.where("rep != hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), "pairs"), docs, percent)
-    same = stage(links, "confirmed")
-    tested = 1  # the classes of each bucket that have been its hub, in order
-    while True:
+    shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("bucket").alias("shared"), "n")
+    members = stage(buckets.join(shared, F.col("bucket") == F.col("shared")).select("bucket", "rep", "n"), "members")
+    # merge: the texts are too many to be told apart by a list that is broadcast, at any size
+    shared_reps = members.select(F.col("rep").alias("shared_rep")).distinct().hint("merge")
+    sets = stage(docs.join(shared_reps, F.col("doc_id") == F.col("shared_rep"), "left_semi").mapInArrow(_sets, "doc_id long, shingles array<long>, short array<int>"), "sets")
+    met = members.groupBy(F.col("rep").alias("met_rep")).agg(F.sum(F.col("n") - 1).alias("met"))
+    hubs = members.join(met, F.col("rep") == F.col("met_rep")).groupBy(F.col("bucket").alias("hub_bucket")).agg(F.max_by("rep", F.struct("met", -F.col("rep"))).alias("hub"))
+    hubs = stage(hubs, "hubs")
+    starred = members.join(hubs, F.col("bucket") == F.col("hub_bucket")).where("rep != hub")
+    pairs = stage(starred.select(F.least("hub", "rep").alias("b"), F.greatest("hub", "rep").alias("a")).distinct(), "pairs")
+    same = stage(confirm(pairs, sets, percent), "confirmed")
+
+    groups = stage(components(same), "components")
+    placed = starred.where("n > 2").join(groups, F.col("rep") == F.col("node"), "left").select("bucket", "rep", "n", F.coalesce("component", "rep").alias("component"))
+    placed = stage(placed, "placed")
+    open_ = placed.groupBy(F.col("bucket").alias("open")).agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high")
+    open_ = stage(open_.select("open"), "open")
+    placed = placed.join(open_, F.col("bucket") == F.col("open"))
+    short = sets.select(F.col("doc_id").alias("set_rep"), "short")
+    parts = F.ceil(F.col("n") / TILE).cast("int")
+    placed = placed.withColumn("part", F.pmod(F.xxhash64("rep"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    tiles = placed.select("bucket", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "rep", "component").join(short, F.col("rep") == F.col("set_rep")).drop("set_rep")
+    near = tiles.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi").mapInArrow(_tiles(percent), "a long, b long").distinct()
+    near = stage(near.join(pairs, ["a", "b"], "left_anti"), "close")
+    if near.head(1):
+        same = same.unionByName(confirm(near, sets, percent))
         groups = stage(components(same), "components")
-        placed = members.join(groups, F.col("rep") == F.col("node"), "left").select("bucket", "rep", F.coalesce("component", "rep").alias("component"))
-        open_ = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select(F.col("bucket").alias("open_bucket"))
-        placed = placed.join(open_, F.col("bucket") == F.col("open_bucket")).select("bucket", "rep", "component", F.row_number().over(Window.partitionBy("bucket").orderBy("rep")).alias("rank"))
-        placed = stage(placed.where(F.col("rank") > tested), "open")
-        next_ = placed.where(F.col("rank") <= tested + HUBS).select(F.col("bucket").alias("hub_bucket"), F.col("rep").alias("a"), F.col("component").alias("hub_component"))
-        pairs = placed.join(next_, (F.col("bucket") == F.col("hub_bucket")) & (F.col("rep") > F.col("a")) & (F.col("component") != F.col("hub_component"))).select("a", F.col("rep").alias("b")).distinct()
-        pairs = stage(pairs, "pairs")
-        tested += HUBS
-        if not pairs.head(1):
-            if not placed.where(F.col("rank") > tested).head(1):
-                break
-            continue
-        same = stage(same.unionByName(confirm(pairs, docs, percent)), "confirmed")
     by_class = classes.join(groups, F.col("rep") == F.col("node"), "left").select(F.col("whole").alias("class"), F.coalesce("component", "rep").alias("component_id"))
-    out = sketches.join(by_class, (F.col("whole") == F.col("class")) & F.col("doc_id").isNotNull(), "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = sketches.select("doc_id", "n_shingles", "whole").join(by_class, (F.col("whole") == F.col("class")) & F.col("doc_id").isNotNull(), "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
