@@ -11,6 +11,7 @@ of their own. An empty table gives an empty result. Further columns of the input
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,39 +43,57 @@ def _split(data: np.ndarray) -> np.ndarray:
     return letter[:-1] & other[1:] | other[:-1] & letter[1:]
 
 
+#: Words on which both ways of encoding letters must agree before the short one is used.
+_PROBES = ["the", "unquestionably", "élève", "straße", "zzxqjw", "œuvre", "łódź", "a"]
+
+
 class Encoder:
-    """Ids of whole texts by a tokenizer whose pre-tokens cross neither ASCII white space nor the places of _split.
+    """Ids of whole texts by a tokenizer that lower-cases, and whose pre-tokens cross neither ASCII white space nor the places of _split.
 
     So each distinct piece is encoded once for as long as it is known; pieces are known by 64 bits of hash, at
-    most KNOWN of them, and a full memory is emptied. What the tokenizer does with a piece is its own affair.
+    most KNOWN of them, and a full memory is emptied. A piece of lower-case Latin letters is one pre-token and
+    goes straight to the model; all others take the tokenizer's whole way.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.letters = Tokenizer(self.tokenizer.model)
+        self.letters.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        upper, lower = self._ids(self.tokenizer, ["ABC def"]), self._ids(self.tokenizer, ["abc def"])
+        if upper != lower:
+            raise ValueError("the tokenizer must lower-case")
+        if self._ids(self.tokenizer, _PROBES) != self._ids(self.letters, _PROBES):
+            self.letters = self.tokenizer
         self.clear()
 
+    @staticmethod
+    def _ids(tokenizer, words: list[str]) -> list[list[int]]:
+        return [e.ids for e in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
     def clear(self) -> None:
         self.keys, self.begin, self.size, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.uint16), np.zeros(0, np.uint32)
 
-    def learn(self, keys: np.ndarray, words: list[bytes]) -> None:
+    def learn(self, keys: np.ndarray, words: list[str]) -> None:
         """keys in order."""
         if len(self.keys) + len(keys) > KNOWN:
             self.clear()
-        ids = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
-        size = np.array([len(x) for x in ids], np.int64)
+        short = [w.isalpha() and w.islower() and max(w) < "\u0250" for w in words]
+        some, rest = iter(self._ids(self.letters, [w for w, s in zip(words, short, strict=True) if s])), iter(self._ids(self.tokenizer, [w for w, s in zip(words, short, strict=True) if not s]))
+        ids = [next(some if s else rest) for s in short]
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
         where = np.searchsorted(self.keys, keys)
         self.keys = np.insert(self.keys, where, keys)
         self.begin = np.insert(self.begin, where, (len(self.flat) + np.cumsum(size) - size).astype(np.uint32))
         self.size = np.insert(self.size.astype(np.uint32), where, size)
         if self.size.max() < 1 << 16:
             self.size = self.size.astype(np.uint16)
-        self.flat = np.concatenate((self.flat, *ids))
+        self.flat = np.concatenate((self.flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum()))))
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
-        words = Words(texts, split=_split)
+        words = Words(texts, lower=True, split=_split)
         if not len(words):
             return [np.zeros(0, np.uint32)] * len(texts)
         keys, first, inverse = np.unique(words.hashes(), return_index=True, return_inverse=True)
@@ -83,7 +102,8 @@ class Encoder:
             new = self.keys[k] != keys if len(self.keys) else np.ones(len(keys), bool)
             if not new.any():
                 break
-            self.learn(keys[new], [words.word(i) for i in first[new]])
+            raw, at = words.data.tobytes(), first[new]
+            self.learn(keys[new], [raw[a:b].decode() for a, b in zip(words.start[at].tolist(), words.end[at].tolist(), strict=True)])
         at = np.searchsorted(self.keys, keys)
         n = self.size[at].astype(np.int64)[inverse]
         end = np.cumsum(n)
