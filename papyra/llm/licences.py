@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .dist import stage
 
-RARE, MIN_SHARE = 12, 0.6
+RARE, MIN_SHARE = 6, 0.6
 UPPER, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NO_WORD = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 
