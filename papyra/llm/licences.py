@@ -2,7 +2,8 @@
 
 1. The document frequency of every template word is counted over all documents; its IDF follows. Of each
    template the RARE words of highest IDF are its index entries: (word, template, position).
-2. A document's words that are in the index are looked up. A hit at document position i and template position
+2. A document's words that are in the index are looked up; one whose indexed words cannot reach MIN_SHARE of any
+   template, and that has no word of a base phrase, is done. A hit at document position i and template position
    j votes for the template at shift i - j. Votes of equal (document, template, shift) lie at the same relative
    positions; the share of the template's indexed IDF that they hold is the match's score.
 3. A match of MIN_SHARE or more counts when a mandatory key phrase of its template stands in the document.
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .dist import stage
 
-RARE, MIN_SHARE = 6, 0.6
+RARE, MIN_SHARE = 12, 0.6
 UPPER, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NO_WORD = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 
@@ -86,6 +87,16 @@ def _places(phrase: str) -> Column:
     return F.when(n >= len(own), F.filter(F.sequence(F.lit(0), n - len(own)), stands)).otherwise(F.array().cast("array<int>"))
 
 
+def _may_match(entries: list[tuple[str, int, int, float]], n: int, min_share: float) -> Column:
+    """Whether a document's indexed words, wherever they stand, could reach the share of some template, or it has a base phrase's word."""
+    tests = [F.array_contains("present", w) for w in ANCHORS.values()]
+    for t in range(n):
+        own = [(w, share) for w, k, _, share in entries if k == t]
+        held = reduce(lambda a, b: a + b, (F.when(F.array_contains("present", w), share).otherwise(0.0) for w, share in own))
+        tests.append((F.size("present") > 0) & (held >= min_share - 1e-9))
+    return reduce(lambda a, b: a | b, tests)
+
+
 def scan(docs: DataFrame, templates: list[tuple[str, str, list[str]]] = TEMPLATES, rare: int = RARE, min_share: float = MIN_SHARE) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score for each row of docs."""
     spark = docs.sparkSession
@@ -96,7 +107,9 @@ def scan(docs: DataFrame, templates: list[tuple[str, str, list[str]]] = TEMPLATE
     n_docs, df = document_frequency(split, sorted({w for _, text, _ in templates for w in text.split(" ")}))
     entries = index(templates, n_docs, df, rare)
     wanted = sorted({w for w, *_ in entries} | set(ANCHORS.values()))
-    marked = split.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.size("words").cast("long").alias("n_words"), F.when(F.arrays_overlap("words", _literal(wanted)), F.col("words")).alias("words"))
+    marked = split.withColumn("present", F.array_intersect("words", _literal(wanted)))
+    candidate = _may_match(entries, len(templates), min_share)
+    marked = marked.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.size("words").cast("long").alias("n_words"), F.when(candidate, F.col("words")).alias("words"))
     marked = stage(marked, "licences")
 
     held = marked.where(F.col("words").isNotNull())
