@@ -1,17 +1,17 @@
 """Main text of web pages by a site style tree.
 
 The pages of a host are merged into one tree whose nodes are paths of block elements with their class and id
-(digits alike). For each node over the m distinct pages that hold it:
+(digits alike). For each node over the m distinct pages that hold text in it or below it:
 
 * content importance: 1 - mean over the distinct texts below it of log_m(pages that hold the text), so texts
   that stand on every page weigh nothing and texts of one page weigh fully;
-* presentation importance: the entropy, to base m, of the sequences of child elements it shows;
+* presentation importance: the entropy of the sequences of child elements it shows, to the base of their number;
 * importance: (1 - GAMMA) * presentation + GAMMA * content.
 
-A branch below LEAST, on at least MIN_PAGES distinct pages, is removed from each page of the host, besides
-branches that their own elements or names mark as menus, headers, footers, sidebars, notices, adverts, forms,
+A branch that is below LEAST with all branches in it, each on at least MIN_PAGES distinct pages, is removed from
+each page of the host, besides branches that their own elements or names mark as menus, headers, footers, sidebars, notices, adverts, forms,
 scripts, styles or reader comments. Where a page has an article (or main) element, its text is what is left
-inside; else what is left of the body. Plain text elements directly in the article are content by declaration
+inside, whatever stands around it; else what is left of the body. Plain text elements directly in the article are content by declaration
 and are not removed for being repeated.
 
 Statistics are counted per (host, node, text) over distinct pages with partial aggregation, so one host may
@@ -54,6 +54,7 @@ MARKS = {
 
 _TOKEN = re.compile(r"""<!--(?:.*?-->|.*)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>""", re.S)
 _ATTR = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+))?""")
+_MAIN = re.compile(r"(article|main)\b|.*\[main\]")
 _CLOSES_P = BLOCK - {"li", "td", "th", "tr", "thead", "tbody", "tfoot", "caption", "dt", "dd", "body", "html", "head"}
 _SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "option": {"option"}}
 _STOP = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "tr": {"table"}, "option": {"select"}}
@@ -162,16 +163,18 @@ def extract(page: str | None, low: frozenset[str] = frozenset()) -> str:
 
 
 def _above(path: str) -> Iterator[str]:
+    """The branches that may take a text along: all above it, up to its article."""
     parts = path.split("/")
-    return ("/".join(parts[: k + 1]) for k in range(1, len(parts)))
+    main = next((k for k, p in enumerate(parts) if _MAIN.match(p)), 0)
+    return ("/".join(parts[: k + 1]) for k in range(main + 1, len(parts)))
 
 
 def _removed(path: str, low: frozenset[str]) -> bool:
     if path not in low:
         return False
     parts = path.split("/")
-    inside = any(re.match(r"(article|main)\b|.*\[main\]", p) for p in parts[:-1])
-    return parts[-1] not in ("html", "body") and not re.match(r"(article|main)\b|.*\[main\]", parts[-1]) and not (inside and parts[-1] in TEXTUAL)
+    inside = any(_MAIN.match(p) for p in parts[:-1])
+    return parts[-1] not in ("html", "body") and not _MAIN.match(parts[-1]) and not (inside and parts[-1] in TEXTUAL)
 
 
 def _hash(x: str) -> int:
@@ -179,7 +182,7 @@ def _hash(x: str) -> int:
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct (node, feature) of each page that is not marked already: kind 0 texts, kind 1 sequences of children."""
+    """Distinct (node, feature) of each page that is not marked already: kind 0 texts, kind 1 sequences of children, kind 2 that the page holds the node."""
     for batch in blocks(batches, "html"):
         rows = []
         for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
@@ -189,6 +192,8 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for node, run in parse(page):
                 if not node.dropped and (t := tidy(run)):
                     seen.add((node.path, 0, _hash(t)))
+                    parts = node.path.split("/")
+                    seen.update(("/".join(parts[: k + 1]), 2, 0) for k in range(1, len(parts)))
                     if node.children:
                         seen.add((node.path, 1, _hash("\0".join(dict.fromkeys(node.children)))))
             rows += [(host, p, k, f, digest) for p, k, f in seen]
@@ -197,23 +202,33 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64()), strict=True)], ["host", "path", "kind", "feature", "page"])
 
 
+#: The paths of a node and of all nodes above it.
+_ABOVE = "transform(sequence(2, size(split(path, '/'))), k -> array_join(slice(split(path, '/'), 1, k), '/'))"
+
+
 def importance(pages: DataFrame) -> DataFrame:
-    """host, path, m (distinct pages) and importance of each node of each host's style tree. pages: host, html."""
+    """host, path, m (distinct pages) and importance of each node of each host's style tree; 1 on a single page. pages: host, html."""
     ship(pages.sparkSession)
     rows = pages.select("host", "html").mapInArrow(_features, "host string, path string, kind int, feature long, page long").distinct()
     by = rows.groupBy("host", "path", "kind", "feature").agg(F.count(F.lit(1)).alias("n"))
-    nodes = by.groupBy("host", "path", "kind").agg(F.count(F.lit(1)).alias("texts"), F.sum(F.log("n")).alias("log_n"), F.sum("n").alias("total"), F.sum(F.col("n") * F.log("n")).alias("n_log_n"), F.max("n").alias("most"))
+    nodes = by.groupBy("host", "path", "kind").agg(F.count(F.lit(1)).alias("texts"), F.sum(F.log("n")).alias("log_n"), F.sum("n").alias("total"), F.sum(F.col("n") * F.log("n")).alias("n_log_n"))
     # every node above a text shares its content
-    above = F.transform(F.sequence(F.lit(2), F.size(F.split("path", "/"))), lambda k: F.array_join(F.slice(F.split("path", "/"), 1, k), "/"))
-    spread = nodes.select("host", F.explode(above).alias("node"), "path", "kind", "texts", "log_n", "total", "n_log_n")
-    text, own = F.col("kind") == 0, (F.col("kind") == 1) & (F.col("node") == F.col("path"))
+    text, own, held = F.col("kind") == 0, F.col("kind") == 1, F.col("kind") == 2
+    spread = nodes.select("host", F.explode(F.when(text, F.expr(_ABOVE)).otherwise(F.array("path"))).alias("node"), "kind", "texts", "log_n", "total", "n_log_n")
     tree = spread.groupBy("host", F.col("node").alias("path")).agg(
-        F.max(F.when(text, F.col("total"))).alias("m"), F.sum(F.when(text, F.col("texts"))).alias("texts"), F.sum(F.when(text, F.col("log_n"))).alias("log_n"),
+        F.max(F.when(held, F.col("total"))).alias("m"), F.sum(F.when(text, F.col("texts"))).alias("texts"), F.sum(F.when(text, F.col("log_n"))).alias("log_n"),
         F.max(F.when(own, F.col("total"))).alias("shown"), F.max(F.when(own, F.col("n_log_n"))).alias("n_log_n"),
     )
     content = F.greatest(F.lit(0.0), 1 - F.col("log_n") / F.col("texts") / F.log("m"))
     presentation = F.coalesce((F.log("shown") - F.col("n_log_n") / F.col("shown")) / F.log("shown"), F.lit(0.0))
-    return tree.where(F.col("m") > 1).select("host", "path", "m", ((1 - GAMMA) * F.when(F.col("shown") > 1, presentation).otherwise(0.0) + GAMMA * content).alias("importance"))
+    weight = (1 - GAMMA) * F.when(F.col("shown") > 1, presentation).otherwise(0.0) + GAMMA * content
+    return tree.select("host", "path", "m", F.when(F.col("m") > 1, weight).otherwise(1.0).alias("importance"))
+
+
+def low_branches(tree: DataFrame, least: float = LEAST, min_pages: int = MIN_PAGES) -> DataFrame:
+    """host and path of each node of importance's tree that is low itself and holds no node that is not: one with a page's own text below it stays."""
+    high = (~((F.col("m") >= min_pages) & (F.col("importance") < least))).cast("int")
+    return tree.select("host", F.explode(F.expr(_ABOVE)).alias("path"), high.alias("high")).groupBy("host", "path").agg(F.max("high").alias("high")).where("high = 0").select("host", "path")
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,8 +250,7 @@ def main_text(pages: DataFrame, least: float = LEAST, min_pages: int = MIN_PAGES
     ship(pages.sparkSession)
     host = F.lower(F.regexp_extract(F.coalesce(F.col("url"), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host.alias("host"))
-    tree = importance(own)
-    low = tree.where((F.col("m") >= min_pages) & (F.col("importance") < least))
+    low = low_branches(importance(own), least, min_pages)
     low = stage(low.groupBy(F.col("host").alias("low_host")).agg(F.array_sort(F.collect_set("path")).alias("low")), "style-tree")
     salted = low.withColumn("low_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     joined = own.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(salted, (F.col("host") == F.col("low_host")) & (F.col("salt") == F.col("low_salt")), "left")

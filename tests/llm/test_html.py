@@ -41,6 +41,23 @@ def test_style_tree(spark):
     assert tree["h", "/body/article/p"].importance > 0.8 and tree["h", "/body/div.box0/div.box0/p"].importance < 0.1
 
 
+def test_lists_of_every_page(spark):
+    """m is pages, however many texts a branch holds; what holds a page's own text is not taken along."""
+    items = "".join(f"<li>Department {'abcdef'[k]}</li>" for k in range(6))
+    many = "".join(f"<li>{prose(900 + k, 2)}</li>" for k in range(60))
+    lines = "".join(f"<p>legal line {'abc'[k]}</p>" for k in range(3))
+    pages = [(i, f"http://a.example/{i}", f"<body><ul class='depts'>{items}</ul><div class='text'><p>{prose(i, 12)}</p></div><div class='small'>{lines}</div>") for i in range(100)]
+    pages += [(200 + i, f"http://b.example/{i}", f"<body><div id='wrap'><ul>{many}</ul><p>{prose(300 + i, 12)}</p></div>") for i in range(8)]
+    pages += [(300 + i, f"http://c.example/{i}", f"<body><div id='wrap'><script>{i}</script><ul>{items}</ul><article><p>the same notice</p></article></div>") for i in range(9)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    out = {r.page_id: r.text for r in html.main_text(df).collect()}
+    assert all(out[i] == prose(i, 12) for i in range(100))
+    assert all(out[200 + i] == prose(300 + i, 12) for i in range(8))
+    assert all(out[300 + i] == "the same notice" for i in range(9))
+    tree = {r.path: r for r in html.importance(df.where("page_id < 100").select("html", html.F.lit("h").alias("host"))).collect()}
+    assert tree["/body"].m == tree["/body/ul.depts"].m == tree["/body/ul.depts/li"].m == 100 and tree["/body/ul.depts"].importance < 0.01
+
+
 def test_tables(spark, sf):
     import re
     from html import unescape
