@@ -10,7 +10,11 @@ The pages of a host are merged into one tree whose nodes are paths of block elem
 
 A branch that is below LEAST with all branches in it, each on at least MIN_PAGES distinct pages, is removed from
 each page of the host, besides branches that their own elements or names mark as menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles or reader comments. Where a page has an article (or main) element, its text is what is left
+scripts, styles or reader comments. A name is a mark only by itself: not negated ("no-sidebar", "ad-free"), not
+of a layout ("content-sidebar-wrap") or of an article's own header. Words that often name content as well
+("form", "search", "tags") mark nothing; the tree decides. No name drops a branch that is or holds a page's only
+article or main element, or most of the page's text; reader comments beside an article are dropped at any size.
+A page whose names mark all of its text keeps it; text beside a marked article stays where there is more of it. Where a page has an article (or main) element, its text is what is left
 inside, whatever stands around it; else what is left of the body. Plain text elements directly in the article are content by declaration
 and are not removed for being repeated.
 
@@ -42,15 +46,19 @@ RAW = {"script", "style", "textarea", "title", "iframe", "noscript", "xmp"}
 BLOCK = DROPPED | {"html", "body", "article", "main", "header", "section", "div", "p", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "li", "dl", "dt", "dd", "blockquote", "pre", "table", "thead", "tbody", "tfoot", "tr", "td", "th", "caption", "figure", "figcaption", "address", "hr", "details", "summary", "center"}
 VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr"}
 TEXTUAL = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "li", "dl", "dt", "dd", "blockquote", "pre", "table", "thead", "tbody", "tr", "td", "th", "figure", "figcaption"}
-#: Words of a class, id or role that mark a branch as not content.
-MARKS = {
-    "ad", "ads", "advert", "advertisement", "adverts", "advertising", "adsense", "sponsor", "sponsored", "promo", "promotion", "banner", "popup", "modal", "overlay",
-    "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "pagination", "pager", "toc",
-    "header", "masthead", "topbar", "footer", "sidebar", "side", "aside", "rail", "widget", "related", "recommended", "tags",
-    "cookie", "cookies", "consent", "gdpr", "notice", "alert", "newsletter", "subscribe", "subscription", "signup", "login",
-    "comment", "comments", "reply", "replies", "discussion", "disqus", "respond", "share", "sharing", "social", "search", "searchbox",
-    "complementary", "contentinfo", "form", "hidden",
+#: Words of a class or id that mark a branch as not content, those of reader comments, and roles.
+COMMENTS = {"comment", "comments", "reply", "replies", "disqus", "respond"}
+MARKS = COMMENTS | {
+    "ad", "ads", "advert", "advertisement", "adverts", "advertising", "adsense", "sponsor", "sponsored", "promo", "promotion", "banner", "popup", "modal",
+    "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "pagination", "pager",
+    "header", "masthead", "topbar", "footer", "sidebar", "aside", "rail", "related", "recommended",
+    "cookie", "cookies", "consent", "gdpr", "newsletter", "subscribe", "subscription", "signup", "login", "searchbox",
 }
+ROLES = {"banner", "navigation", "menu", "menubar", "complementary", "contentinfo", "search", "form", "dialog", "alert"}
+#: Words that turn a name around or make it a layout's, marks that stand for a place on the page, and words before these that name content.
+NEGATED = {"no", "non", "not", "without", "free", "less", "off", "with", "has", "layout", "open", "closed"}
+PLACES = {"header", "masthead", "banner", "sidebar", "aside", "rail"}
+CONTENT = {"content", "article", "post", "entry", "story", "section", "page"}
 
 _TOKEN = re.compile(r"""<!--(?:.*?-->|.*)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>""", re.S)
 _ATTR = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+))?""")
@@ -61,26 +69,40 @@ _STOP = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "td": {"tr", "table"},
 
 
 class Node:
-    __slots__ = ("children", "dropped", "label", "main", "path", "tag")
+    __slots__ = ("children", "dropped", "label", "main", "marked", "path", "tag")
 
-    def __init__(self, tag: str, label: str, parent: Node | None, dropped: bool):
+    def __init__(self, tag: str, label: str, parent: Node | None, dropped: bool, marks: frozenset[str] = frozenset()):
         self.tag, self.label, self.children = tag, label, []
         self.path = f"{parent.path}/{label}" if parent else label
         self.dropped = dropped or bool(parent and parent.dropped)
         self.main = bool(parent and parent.main) or (tag in ("article", "main") or "[main]" in label)
+        #: each marked branch that the node is or is in, outermost first: the branch's node, and whether it is of comments
+        self.marked = parent.marked if parent else ()
+        if marks:
+            self.marked += ((self, bool(marks & COMMENTS)),)
 
 
-def _label(tag: str, attrs: str) -> tuple[str, bool]:
-    """Element with its class and id, digits alike; whether its own names mark it as not content."""
+def _marks(name: str) -> set[str]:
+    """Words by which one class or id marks its branch."""
+    words = [w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()) if w]
+    if NEGATED & set(words):
+        return set()
+    if "hidden" in words and len(words) == 1:
+        return {"hidden"}
+    return {w for k, w in enumerate(words) if w in MARKS and not (w in PLACES and CONTENT & set(words[:k]))}
+
+
+def _label(tag: str, attrs: str) -> tuple[str, bool, frozenset[str]]:
+    """Element with its class and id, digits alike; whether it is never content; the words of its names that mark it as not content."""
     dropped = tag in DROPPED
     if not attrs.strip():
-        return tag, dropped
+        return tag, dropped, frozenset()
     got = {k.lower(): v.strip("\"'") for k, v in _ATTR.findall(attrs)}
-    names = " ".join(got.get(k, "") for k in ("class", "id", "role"))
-    marks = set(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", names).lower()))
-    dropped |= bool(marks & MARKS) and tag not in ("html", "body") or "hidden" in got or got.get("aria-hidden") == "true" or "display:none" in got.get("style", "").replace(" ", "")
+    names = [*got.get("class", "").split(), got.get("id", "")]
+    marks = frozenset().union(*map(_marks, names), ROLES & set(got.get("role", "").lower().split())) if tag not in ("html", "body") else frozenset()
+    dropped |= "hidden" in got or got.get("aria-hidden") == "true" or "display:none" in got.get("style", "").replace(" ", "")
     label = tag + "".join(f".{x}" for x in got.get("class", "").split()) + (f"#{got['id']}" if got.get("id") else "") + ("[main]" if got.get("role") == "main" else "")
-    return re.sub(r"\d+", "0", label.replace("/", "|")), dropped
+    return re.sub(r"\d+", "0", label.replace("/", "|")), dropped, marks
 
 
 def parse(page: str) -> list[tuple[Node, list[str]]]:
@@ -128,13 +150,13 @@ def parse(page: str) -> list[tuple[Node, list[str]]]:
             end("p", {"article", "main", "section", "div", "td", "th", "li", "blockquote", "body"})
         for same in _SAME.get(tag, ()):
             end(same, _STOP[tag])
-        label, dropped = _label(tag, m[3])
+        label, dropped, marks = _label(tag, m[3])
         if tag == "header" and not stack[-1].main:
             dropped = True
         mark()
         if tag in VOID:
             continue
-        node = Node(tag, label, stack[-1], dropped)
+        node = Node(tag, label, stack[-1], dropped, marks)
         stack[-1].children.append(label)
         if tag in RAW:
             close = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
@@ -150,16 +172,38 @@ def tidy(run: list[str]) -> str:
     return " ".join(entities.unescape("".join(run)).split())
 
 
+def content(page: str) -> list[tuple[Node, str]]:
+    """The page's texts in order that neither their elements nor names that hold on this page drop."""
+    runs = [(node, t) for node, run in parse(page) if not node.dropped and (t := tidy(run))]
+    if not any(node.marked for node, _ in runs):
+        return runs
+    total, size, holds = sum(len(t) for _, t in runs), {}, set()
+    for node, t in runs:
+        for branch, _ in node.marked:
+            size[branch] = size.get(branch, 0) + len(t)
+            if node.main:
+                holds.add(branch)
+    plain = any(node.main and not node.marked for node, _ in runs)
+    article = any(node.main and not any(comments for _, comments in node.marked) for node, _ in runs)
+
+    def yields(branch: Node, comments: bool) -> bool:
+        return branch in holds and not plain and not comments or size[branch] * 2 > total and not (comments and article)
+
+    return [(node, t) for node, t in runs if all(yields(*of) for of in node.marked)] or runs
+
+
 def extract(page: str | None, low: frozenset[str] = frozenset()) -> str:
     """Main text of a page. low: paths of the host's branches of low importance."""
     if not page:
         return ""
-    runs = [r for r in parse(page) if not r[0].dropped]
-    if any(node.main for node, _ in runs):
-        runs = [r for r in runs if r[0].main]
+    runs = content(page)
+    main = [r for r in runs if r[0].main]
+    plain = sum(len(t) for node, t in runs if not node.marked)
+    if any(not node.marked for node, _ in main) or main and plain <= sum(len(t) for _, t in main):
+        runs = main
     if low:
         runs = [r for r in runs if not any(_removed(p, low) for p in _above(r[0].path))]
-    return "\n".join(t for t in (tidy(run) for _, run in runs) if t)
+    return "\n".join(t for _, t in runs)
 
 
 def _above(path: str) -> Iterator[str]:
@@ -189,13 +233,12 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not page:
                 continue
             digest, seen = _hash(page), set()
-            for node, run in parse(page):
-                if not node.dropped and (t := tidy(run)):
-                    seen.add((node.path, 0, _hash(t)))
-                    parts = node.path.split("/")
-                    seen.update(("/".join(parts[: k + 1]), 2, 0) for k in range(1, len(parts)))
-                    if node.children:
-                        seen.add((node.path, 1, _hash("\0".join(dict.fromkeys(node.children)))))
+            for node, t in content(page):
+                seen.add((node.path, 0, _hash(t)))
+                parts = node.path.split("/")
+                seen.update(("/".join(parts[: k + 1]), 2, 0) for k in range(1, len(parts)))
+                if node.children:
+                    seen.add((node.path, 1, _hash("\0".join(dict.fromkeys(node.children)))))
             rows += [(host, p, k, f, digest) for p, k, f in seen]
         if rows:
             cols = list(zip(*rows, strict=True))

@@ -41,6 +41,27 @@ def test_style_tree(spark):
     assert tree["h", "/body/article/p"].importance > 0.8 and tree["h", "/body/div.box0/div.box0/p"].importance < 0.1
 
 
+LONG = "words of the article that are many more than all others on this page"
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<div class='content-sidebar-wrap'><article><p>{LONG}</p></article><div class='sidebar'>links</div></div>", LONG), (f"<div class='layout no-sidebar'><p>{LONG}</p></div><p>b</p>", f"{LONG}\nb"),
+        (f"<article class='post ad-free'><p>{LONG}</p></article>", LONG), (f"<main class='search-results'><p>{LONG}</p></main><p>b</p>", LONG), (f"<div class='sidebar'><main><p>a</p></main></div><p>{LONG}</p>", f"a\n{LONG}"),
+        (f"<article><div class='article-header'><h1>T</h1></div><p>{LONG}</p></article>", f"T\n{LONG}"), (f"<div class='banner'><p>{LONG}</p><div class='ad'>buy</div></div><p>b</p>", f"{LONG}\nb"),
+        *((f"<article><div class='{w}'>t</div><p>{LONG}</p></article>", f"t\n{LONG}") for w in ("side", "form", "notice", "tags", "share", "toc", "discussion")),
+        (f"<article class='sponsored'><p>a</p></article><div class='related'><p>{LONG}</p></div>", "a"), (f"<article><p>a</p><div class='comments'>{LONG}</div></article>", "a"),
+        (f"<article><p>{LONG}</p></article><article class='comment'><p>b</p></article><div class='sidebar'><article>c</article></div>", LONG), (f"<div class='text'><p>{LONG}</p></div><div id='comments'><article>b</article></div>", LONG),
+        (f"<p>{LONG}</p><div class='sidebar-wrapper'>s</div><div class='site-header'>h</div><div role='search'>r</div><div class='ad-container'>x</div><div class='hidden'>y</div>", LONG),
+        (f"<div class='comment'><p>{LONG}</p></div><div class='comment'><p>{LONG}</p></div>", f"{LONG}\n{LONG}"),
+    ],
+)
+def test_names(page, text):
+    """A name alone drops neither the article nor most of the text; negated, layout and weak names drop nothing."""
+    assert html.extract(page) == text
+
+
 def test_lists_of_every_page(spark):
     """m is pages, however many texts a branch holds; what holds a page's own text is not taken along."""
     items = "".join(f"<li>Department {'abcdef'[k]}</li>" for k in range(6))
