@@ -13,6 +13,8 @@ MIN_BYTES, MAX_BYTES = 1, 256
 #: The range of characters that are written without spaces.
 HAN_LOW, HAN_HIGH = 0x4E00, 0x9FFF
 _HAN = "[\\u4E01-\\u9FFE]"
+#: Letters, digits and all above HAN_LOW; a half of a surrogate pair is none.
+_GOOD = "[\\p{L}\\p{N}\\x{4E01}-\\x{D7FF}\\x{E000}-\\x{10FFFF}]"
 
 Tokenizer = Callable[[Column], Column]
 
@@ -27,21 +29,19 @@ def simple(text: Column, low: int = MIN_BYTES, high: int = MAX_BYTES) -> Column:
 
 
 def ngrams(text: Column) -> Column:
-    """All pairs of neighbouring characters that are letters, digits or Han, then all such characters."""
-    chars = F.filter(F.split(text, ""), lambda x: x != "")
-    good = lambda x: x.rlike("^[\\p{L}\\p{N}]$") | (x > chr(HAN_LOW))
-    n = F.size(chars)
-    pairs = F.when(n > 1, F.transform(F.sequence(F.lit(0), n - 2), lambda i: F.struct(F.get(chars, i).alias("a"), F.get(chars, i + 1).alias("b")))).otherwise(F.array().cast("array<struct<a:string,b:string>>"))
-    return F.concat(F.transform(F.filter(pairs, lambda p: good(p.a) & good(p.b)), lambda p: F.concat(p.a, p.b)), F.filter(chars, good))
+    """All pairs of neighbouring characters that are letters, digits or above HAN_LOW, then all such characters, in lower case. Time grows with the text's length."""
+    pairs, each = (F.regexp_extract_all(text, F.lit(pattern), 1) for pattern in (f"(?=({_GOOD}{_GOOD}))", f"({_GOOD})"))
+    return F.transform(F.concat(pairs, each), F.lower)
 
 
 def mixed(text: Column, low: int = MIN_BYTES, high: int = MAX_BYTES) -> Column:
-    """Runs of letters and digits as words; of Han text each character, after the pair it closes."""
+    """Runs of letters and digits as words; of Han text each character, after the pair it closes. Time grows with the text's length."""
     parts = F.regexp_extract_all(F.lower(text), F.lit(f"({_HAN}+|[\\p{{L}}\\p{{N}}&&[^\\u4E01-\\u9FFE]]+)"), 1)
 
     def spread(run: Column) -> Column:
-        n = F.length(run)
-        each = F.transform(F.sequence(F.lit(1), n), lambda i: F.when(i > 1, F.array(F.substr(run, i - 1, F.lit(2)), F.substr(run, i, F.lit(1)))).otherwise(F.array(F.substr(run, i, F.lit(1)))))
+        chars = F.filter(F.split(run, ""), lambda x: x != "")
+        before = F.slice(F.concat(F.array(F.lit("")), chars), 1, F.size(chars))
+        each = F.zip_with(chars, before, lambda c, b: F.when(b != "", F.array(F.concat(b, c), c)).otherwise(F.array(c)))
         return F.when(run.rlike(f"^{_HAN}"), F.flatten(each)).otherwise(F.array(run))
 
     return _sized(F.flatten(F.transform(parts, spread)), low, high)

@@ -320,6 +320,9 @@ built("fts_ngrams", "SELECT n_nationkey, array_to_string(list_concat(list_transf
     lambda db: db.read("nation").where(F.col("n_name").rlike("^[A-Za-z0-9]+$")).select("n_nationkey", F.array_join(fulltext.ngrams(F.col("n_name")), ",").alias("grams"))
 )
 built("fts_mixed", "SELECT p_partkey, array_to_string(regexp_extract_all(lower(p_name), '[a-z0-9]+'), ',') AS tokens FROM part")(lambda db: db.read("part").select("p_partkey", F.array_join(fulltext.mixed(F.col("p_name")), ",").alias("tokens")))
+# the tokenizers on whole texts; SQL has neither overlapping pairs by class nor Han runs, so tests/test_whole.py holds them against plain restatements
+built("fts_ngrams_documents", None)(lambda db: db.read("documents").select("doc_id", F.array_join(fulltext.ngrams(F.col("text")), ",").alias("grams")))
+built("fts_mixed_documents", None)(lambda db: db.read("documents").select("doc_id", F.array_join(fulltext.mixed(F.col("text")), ",").alias("tokens")))
 
 # JSON and open documents
 
