@@ -307,6 +307,10 @@ built("fts_tokens", f"WITH {_TOKENS} SELECT doc, len(tokens)::BIGINT AS length,
 built("fts_postings", f"WITH {_TOKENS}, p AS (SELECT doc, unnest(tokens) AS term, generate_subscripts(tokens, 1) - 1 AS position FROM documents_tokens) SELECT term, doc, count(*) AS frequency, min(position)::INT AS first FROM p GROUP BY ALL")(
     lambda db: _index(db).postings().select("term", "doc", "frequency", F.get("positions", F.lit(0)).alias("first"))
 )
+built("fts_tokens_whole", f"WITH {_TOKENS} SELECT doc, len(tokens)::BIGINT AS length, array_to_string(tokens, ' ') AS tokens FROM documents_tokens")(lambda db: _index(db).docs.select("doc", "length", F.array_join("tokens", " ").alias("tokens")))
+built("fts_postings_whole", f"WITH {_TOKENS}, p AS (SELECT doc, unnest(tokens) AS term, generate_subscripts(tokens, 1) - 1 AS position FROM documents_tokens) SELECT term, doc, count(*) AS frequency, string_agg(position::VARCHAR, ',' ORDER BY position) AS positions FROM p GROUP BY ALL")(
+    lambda db: _index(db).postings().select("term", "doc", "frequency", F.array_join(F.col("positions").cast("array<string>"), ",").alias("positions"))
+)
 built(
     "fts_search",
     f"WITH {_TOKENS}, q(w, c) AS (VALUES ('the', 2), ('que', 1), ('nosuchword', 1)), f AS (SELECT doc, w, c, len(tokens) AS n, len(list_filter(tokens, lambda x: x = w)) AS tf FROM documents_tokens, q), "

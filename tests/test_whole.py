@@ -48,3 +48,15 @@ def test_tokenizers_on_documents(spark, sf):
     for name, column, plain in (("fts_ngrams_documents", "grams", ngrams), ("fts_mixed_documents", "tokens", mixed)):
         got = {r.doc_id: r[column] for r in QUERIES[name](spark, sf).collect()}
         assert got == {i: ",".join(plain(t)) for i, t in texts.items()}
+
+
+def test_all_tokens_and_positions(spark, sf):
+    texts = {r.doc_id: r.text.lower().split() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    assert max(map(len, texts.values())) > 20
+    assert {r.doc: r.tokens.split() for r in QUERIES["fts_tokens_whole"](spark, sf).collect()} == texts
+    again = {i: [None] * len(ws) for i, ws in texts.items()}
+    for r in QUERIES["fts_postings_whole"](spark, sf).collect():
+        for k in map(int, r.positions.split(",")):
+            assert again[r.doc][k] is None
+            again[r.doc][k] = r.term
+    assert again == texts
