@@ -192,6 +192,7 @@ text_query("group_dotted", "AGGREGATE nested | GROUP BY addr.nation AS {c: COUNT
 text_query("having", "AGGREGATE orders | GROUP BY o_custkey AS {n: COUNT(), total: SUM(o_totalprice)} | MATCH n > 15 | PROJECT o_custkey, n", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY ALL HAVING count(*) > 15")
 text_query("sort_limit_stage", "AGGREGATE orders | GROUP BY o_custkey AS {n: COUNT()} | SORT n DESC, o_custkey | SKIP 3 | LIMIT 7", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY ALL ORDER BY n DESC, o_custkey LIMIT 7 OFFSET 3")
 text_query("sort_nulls", "AGGREGATE open_orders | SORT status, n DESC, o_orderkey | LIMIT 50 | PROJECT o_orderkey, status, n", f"SELECT o_orderkey, status, n FROM {_OPEN_ORDERS} ORDER BY status NULLS FIRST, n DESC NULLS LAST, o_orderkey LIMIT 50")
+text_query("sort_nulls_whole", "AGGREGATE open_orders | SORT status, n DESC, o_orderkey | PROJECT o_orderkey, status, n", f"SELECT o_orderkey, status, n FROM {_OPEN_ORDERS} ORDER BY status NULLS FIRST, n DESC NULLS LAST, o_orderkey")
 text_query("limit_then_skip", "AGGREGATE orders | SORT o_orderkey | LIMIT 10 | SKIP 4", "SELECT * FROM (SELECT * FROM orders ORDER BY o_orderkey LIMIT 10) ORDER BY o_orderkey OFFSET 4")
 text_query("count_stage", 'AGGREGATE events | MATCH event_type = "click" | COUNT n', "SELECT count(*) AS n FROM events WHERE event_type = 'click'")
 text_query("count_stage_empty", "AGGREGATE events | MATCH event_id < 0 | COUNT n", "SELECT 0::BIGINT AS n")
@@ -256,6 +257,9 @@ built("insert_documents", "SELECT n_nationkey::BIGINT AS n_nationkey, n_name, n_
 built("merge_documents", "SELECT coalesce(s_suppkey, n_nationkey) AS n_nationkey, coalesce(s_name, n_name) AS n_name, n_regionkey, s_acctbal AS balance FROM nation FULL JOIN (SELECT * FROM supplier WHERE s_suppkey < 40) ON s_suppkey = n_nationkey")(
     lambda db: dml.merge(db.read("nation"), db.read("supplier").where("s_suppkey < 40").selectExpr("s_suppkey AS n_nationkey", "s_name AS n_name", "s_acctbal AS balance"), "n_nationkey")
 )
+built("merge_documents_whole", "SELECT coalesce(s_suppkey, n_nationkey) AS n_nationkey, coalesce(s_name, n_name) AS n_name, n_regionkey, s_acctbal AS balance FROM nation FULL JOIN supplier ON s_suppkey = n_nationkey")(
+    lambda db: dml.merge(db.read("nation"), db.read("supplier").selectExpr("s_suppkey AS n_nationkey", "s_name AS n_name", "s_acctbal AS balance"), "n_nationkey")
+)
 built("get_one", "SELECT * FROM orders WHERE o_orderkey = 7")(lambda db: db["orders"].find(t.Binary("=", t.Field("o_orderkey"), t.Lit(7))))
 
 # streams: all that is there, in micro-batches, against the same rows at once

@@ -60,3 +60,22 @@ def test_all_tokens_and_positions(spark, sf):
             assert again[r.doc][k] is None
             again[r.doc][k] = r.term
     assert again == texts
+
+
+def test_whole_supplier_is_merged(spark):
+    path = "/root/testdata/sf0.01"
+    nations = {r.n_nationkey: r for r in spark.read.parquet(f"{path}/nation.parquet").collect()}
+    suppliers = {r.s_suppkey: r for r in spark.read.parquet(f"{path}/supplier.parquet").collect()}
+    assert max(suppliers) >= 40
+    got = {r.n_nationkey: (r.n_name, r.n_regionkey, r.balance) for r in QUERIES["merge_documents_whole"](spark, path).collect()}
+    assert got == {
+        k: (suppliers[k].s_name if k in suppliers else nations[k].n_name, nations[k].n_regionkey if k in nations else None, suppliers[k].s_acctbal if k in suppliers else None) for k in nations.keys() | suppliers.keys()
+    }
+
+
+def test_all_rows_are_sorted(spark, sf):
+    orders = spark.read.parquet(f"{sf}/orders.parquet").collect()
+    rows = [(r.o_orderkey, None if r.o_orderstatus == "F" else r.o_orderstatus, r.o_orderkey % 7 if r.o_orderkey % 3 else None) for r in orders]
+    assert len({s for _, s, _ in rows}) > 2 and any(n is None for _, _, n in rows)
+    want = sorted(rows, key=lambda r: (r[1] is not None, r[1] or "", r[2] is None, -(r[2] or 0), r[0]))
+    assert [tuple(r) for r in QUERIES["sort_nulls_whole"](spark, sf).collect()] == want
