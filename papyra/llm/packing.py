@@ -50,8 +50,9 @@ _PROBES = ["the", "unquestionably", "élève", "straße", "zzxqjw", "œuvre", "
 class Encoder:
     """Ids of whole texts by a tokenizer that lower-cases, and whose pre-tokens cross neither ASCII white space nor the places of _split.
 
-    So each distinct piece is encoded once for as long as it is known; pieces are known by 64 bits of hash, at
-    most KNOWN of them, and a full memory is emptied. A piece of lower-case Latin letters is one pre-token and
+    So each distinct piece is encoded once for as long as it is known; pieces are known by 64 bits of hash. A
+    memory that would come to hold more than KNOWN of them is emptied and learns all pieces of the batch at hand,
+    however many these are. A piece of lower-case Latin letters is one pre-token and
     goes straight to the model; all others take the tokenizer's whole way.
     """
 
@@ -77,9 +78,7 @@ class Encoder:
         self.keys, self.begin, self.size, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.uint16), np.zeros(0, np.uint32)
 
     def learn(self, keys: np.ndarray, words: list[str]) -> None:
-        """keys in order."""
-        if len(self.keys) + len(keys) > KNOWN:
-            self.clear()
+        """keys in order, none of them known."""
         short = [w.isalpha() and w.islower() and max(w) < "\u0250" for w in words]
         some, rest = iter(self._ids(self.letters, [w for w, s in zip(words, short, strict=True) if s])), iter(self._ids(self.tokenizer, [w for w, s in zip(words, short, strict=True) if not s]))
         ids = [next(some if s else rest) for s in short]
@@ -97,11 +96,12 @@ class Encoder:
         if not len(words):
             return [np.zeros(0, np.uint32)] * len(texts)
         keys, first, inverse = np.unique(words.hashes(), return_index=True, return_inverse=True)
-        for _ in range(2):  # a memory that was emptied has to learn the rest as well
-            k = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
-            new = self.keys[k] != keys if len(self.keys) else np.ones(len(keys), bool)
-            if not new.any():
-                break
+        k = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
+        new = self.keys[k] != keys if len(self.keys) else np.ones(len(keys), bool)
+        if new.any():
+            if len(self.keys) + int(new.sum()) > KNOWN:
+                self.clear()
+                new[:] = True
             raw, at = words.data.tobytes(), first[new]
             self.learn(keys[new], [raw[a:b].decode() for a, b in zip(words.start[at].tolist(), words.end[at].tolist(), strict=True)])
         at = np.searchsorted(self.keys, keys)

@@ -35,6 +35,17 @@ def test_ids_are_the_tokenizers(texts, plain, monkeypatch, known):
         assert got.tolist() == plain.encode(text, add_special_tokens=False).ids, text[:80]
 
 
+def test_text_of_more_pieces_than_the_memory_holds(plain, monkeypatch):
+    """On an encoder that knows some of them already, and on texts that follow."""
+    monkeypatch.setattr(packing, "KNOWN", 150)
+    encoder = packing.Encoder(PATH)
+    words = [f"{a}{b}x{c}" for a in "abcdefgh" for b in "klmnop" for c in "rstuv"]
+    for part in (words[:100], words[50:240], words[:20], words[10:240], words[200:], ["anew"]):
+        text = " ".join(part)
+        assert encoder.encode(pa.array([text]))[0].tolist() == plain.encode(text, add_special_tokens=False).ids
+    assert len(encoder.keys) == 1
+
+
 def test_pack(docs, texts, plain):
     packed = packing.pack(docs.union(docs.where("doc_id = 7")), PATH)
     out = packed.select("doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "bucket", F.crc32("ids").alias("crc")).collect()
