@@ -1,4 +1,6 @@
-"""Duplicate spans by relative Lempel-Ziv parsing against indexed reference blocks.
+"""Duplicate spans by hashed windows, joined to their earliest block and grouped to factors of that block.
+
+The join decides what is removed; there is no greedy longest-match parse, and factors have no position in the block.
 
 The corpus is stored as blocks of about BLOCK_TEXT bytes of text, each sorted by doc_id. Every block is both a
 text to be parsed and a reference. A document is factored word by word: the factor at a word is the run of
