@@ -1,7 +1,8 @@
 """Quality rules: a length-normalised log-likelihood ratio between trusted and raw text.
 
 Every document is a bag of hashed unigrams and bigrams of its words' shapes: case, kind of the last characters,
-and whether a word repeats its neighbour. Two multinomials over BINS bins are counted: one over all documents
+and whether a word repeats its neighbour. All letters are alike to a shape, so junk in ordinary lower-case words is
+not told from good text. Two multinomials over BINS bins are counted: one over all documents
 (the raw corpus), one over the trusted target, the documents labelled good among at most LABELLED labels. A
 document's score is the mean over its n-grams of log p_target(bin) - log p_raw(bin). The threshold is found on
 the same labelled documents and applied to every document alike; a document that fails the fixed base rules is
