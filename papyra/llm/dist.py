@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ROOT = str(Path(__file__).resolve().parents[2])
 _written: list[tuple[SparkSession, str]] = []
@@ -28,12 +34,67 @@ def ship(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
 
 
+_held: dict[str, object] = {}
+
+
+def held[T](key: str, make: Callable[[], T]) -> T:
+    """What a Python worker keeps from task to task: one object, until a task asks for another or lean() lets it go."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
+def _release() -> None:
+    """Give freed memory back: a worker is used again by later stages, and idle ones count against the executor as well."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def lean(run: Callable, arguments: int = 0, keeps: bool = False) -> Callable:
+    """run, for mapInArrow or, with the number of its arguments, applyInArrow; its memory is given back when it ends.
+
+    keeps: it uses what the worker holds; all others let that go first.
+    """
+
+    def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keeps:
+            _held.clear()
+        try:
+            yield from run(rows)
+        finally:
+            _release()
+
+    def group(rows: pa.Table) -> pa.Table:
+        _held.clear()
+        try:
+            return run(rows)
+        finally:
+            _release()
+
+    def pair(left: pa.Table, right: pa.Table) -> pa.Table:
+        _held.clear()
+        try:
+            return run(left, right)
+        finally:
+            _release()
+
+    return (batches, group, pair)[arguments]
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir, which driver and executors share.
 
-    Where it is unset (tests, a single machine) a temporary folder is set as the session's own.
+    Where it is unset (tests, a single machine) a temporary folder is set as the session's own; on a cluster that
+    would be a folder no other machine sees, so there it is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not folder:
         folder = "file://" + tempfile.mkdtemp(prefix="papyra-shared-")
         spark.conf.set("spark.checkpoint.dir", folder)
@@ -61,5 +122,15 @@ def _clean() -> None:
             return
 
 
+def named(column: str) -> Column:
+    """The column of that name, whatever characters it has."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def schema_of(rest: str, **first: T.DataType) -> T.StructType:
+    """Columns of given types, then those of rest; names may hold any character."""
+    return T.StructType([*(T.StructField(k, v) for k, v in first.items()), *T.StructType.fromDDL(rest).fields])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

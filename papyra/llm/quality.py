@@ -1,12 +1,14 @@
 """Quality rules: a length-normalised log-likelihood ratio between trusted and raw text.
 
-Every document is a bag of hashed unigrams and bigrams of its words' shapes: case, kind of the last characters,
-and whether a word repeats its neighbour. All letters are alike to a shape, so junk in ordinary lower-case words is
-not told from good text. Two multinomials over BINS bins are counted: one over all documents
-(the raw corpus), one over the trusted target, the documents labelled good among at most LABELLED labels. A
-document's score is the mean over its n-grams of log p_target(bin) - log p_raw(bin). The threshold is found on
-the same labelled documents and applied to every document alike; a document that fails the fixed base rules is
-never kept.
+Every document is a bag of hashed n-grams: its words and pairs of neighbouring words as they are written, and the
+unigrams and bigrams of its words' shapes (case, kind of the last characters, whether a word repeats its neighbour),
+which speak for words that no labelled text holds. Two multinomials over BINS bins are counted: one over all documents
+(the raw corpus), one over the trusted target, documents labelled good. A document's score is the mean over its
+n-grams of log p_target(bin) - log p_raw(bin).
+
+At most LABELLED labels take part. One half of them, by a hash of the id, gives the target's counts; the other half sets the
+threshold, from documents that pass the base rules. Where a half lacks what it has to give, all labels do both. The
+threshold is applied to every document alike; a document that fails the fixed base rules is never kept.
 
 Only arrays of BINS counts and a histogram of the labelled documents' scores reach the driver, whatever the
 size of the corpus. Without labelled documents of both kinds no threshold is set and the base rules decide.
@@ -21,10 +23,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .dist import ship, stage
+from .dist import lean, named, schema_of, ship, stage
 from .text import SPACED, U, Words, blocks, mix, per_doc
 
 BINS = 1 << 16
@@ -58,12 +60,13 @@ def shapes(words: Words) -> np.ndarray:
 
 
 def grams(words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Bin and text of every n-gram: shapes, pairs of shapes, and whether neighbouring words are the same."""
-    shape, same = shapes(words), words.hashes()
-    one = mix(shape + U(1))
+    """Bin and text of every n-gram: words and pairs of words, shapes and pairs of shapes with whether the two words are the same."""
+    shape, word = shapes(words), words.hashes()
     pair = np.flatnonzero(words.doc[:-1] == words.doc[1:])
-    two = mix(shape[pair] * U(0x100000001B3) + shape[pair + 1] + (same[pair] == same[pair + 1]).astype(U) * U(1 << 40) + U(2))
-    return (np.concatenate((one, two)) % U(BINS)).astype(np.int64), np.concatenate((words.doc, words.doc[pair]))
+    twice = (word[pair] == word[pair + 1]).astype(U) * U(1 << 40)
+    kinds = [word + U(11), word[pair] * U(0x100000001B3) + word[pair + 1] + U(12), shape + U(1), shape[pair] * U(0x100000001B3) + shape[pair + 1] + twice + U(2)]
+    bins = np.concatenate([mix(x) for x in kinds]) & U(BINS - 1)
+    return bins.astype(np.int64), np.concatenate((words.doc, words.doc[pair]) * 2)
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,7 +80,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def counted(texts: DataFrame) -> np.ndarray:
     """Counts of the n-grams of a column text: one array for each task, summed; BINS rows reach the driver."""
     total = np.zeros(BINS)
-    for r in texts.mapInArrow(_counts, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect():
+    for r in texts.mapInArrow(lean(_counts), "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect():
         total[r.bin] = r.n
     return total
 
@@ -130,25 +133,31 @@ def _dup_lines(texts: pa.Array, words: Words) -> np.ndarray:
     return np.bincount(doc[order][1:][again], minlength=len(texts))
 
 
-def _judge(weights: np.ndarray, with_base: bool):
+def _judge(weights: np.ndarray, carried: list[str]):
+    """carried: columns that go along as they are."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches):
             text = batch.column("text")
             text = text.fill_null("") if text.null_count else text
             words = Words(text, SPACED)
-            score = scores(words, weights, batch.num_rows)
-            if not with_base:
-                yield pa.RecordBatch.from_arrays([batch.column("good"), pa.array(score)], ["good", "score"])
-                continue
             chars = np.concatenate(([0], np.cumsum(words.inside & ((words.data & 0xC0) != 0x80))))
             symbols = np.concatenate(([0], np.cumsum(_SYMBOL[words.data])))
             count = lambda total: pa.array((total[words.offsets[1:]] - total[words.offsets[:-1]]).astype(np.int64))  # noqa: B023, E731
             base = [pa.array(np.diff(words.first).astype(np.int64)), count(chars), count(symbols), pa.array(_dup_lines(text, words).astype(np.int64)), pa.array(_repeated(words, words.hashes()))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), *base, pa.array(score)], ["doc", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "score"])
+            score = pa.array(scores(words, weights, batch.num_rows))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carried), *base, score], [*carried, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "score"])
 
     return run
 
 
+JUDGED = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, score double"
+
+
+def base_failed() -> Column:
+    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
+
+
 def threshold(scored: DataFrame) -> float | None:
     """The cut that tells good from bad labels best while it keeps KEEP_GOOD of the good; of a run of equally good cuts the middle."""
     step = F.floor(F.least(F.greatest(F.col("score"), F.lit(-SCORE_LIMIT)), F.lit(SCORE_LIMIT)) / STEP).cast("int")
@@ -182,12 +191,20 @@ def judge(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None) ->
     marks = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("label_id")).agg(F.min("quality").alias("low"), F.max("quality").alias("high"))
     marks = marks.where(F.col("low") == F.col("high")).select("label_id", (F.col("low") == 1).alias("good"))
     marks = F.broadcast(marks.orderBy(F.xxhash64("label_id"), "label_id").limit(LABELLED))
-    labelled = stage(docs.select(F.col("doc_id").cast("long").alias("own_id"), text).join(marks, F.col("own_id") == F.col("label_id"), "inner").select("text", "good"), "labelled")
-    weights = ratio(counted(docs.select(text)), counted(labelled.where("good").select("text")))
-    cut = threshold(labelled.mapInArrow(_judge(weights, False), "good boolean, score double"))
-    whole = docs.select(keep or docs.columns)
-    schema = f"doc {whole.schema.simpleString()}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, score double"
-    whole = F.struct(*(F.col(f"`{c}`") for c in whole.columns)).alias("doc")
-    judged = docs.select(whole, text).mapInArrow(_judge(weights, True), schema)
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
-    return judged.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.lit(True) if cut is None else F.col("score") >= cut))
+    labelled = stage(docs.select(F.col("doc_id").cast("long").alias("own_id"), text).join(marks, F.col("own_id") == F.col("label_id"), "inner").select("text", "good", (F.pmod(F.xxhash64("label_id", F.lit("half")), F.lit(2)) == 0).alias("counted")), "labelled")
+    raw, target, rest = counted(docs.select(text)), counted(labelled.where("good AND counted").select("text")), "NOT counted"
+    if not target.any() or labelled.where(rest).select("good").distinct().count() < 2:
+        target, rest = counted(labelled.where("good").select("text")), "true"
+    weights = ratio(raw, target)
+    cut = threshold(labelled.where(rest).mapInArrow(lean(_judge(weights, ["good"])), f"good boolean, {JUDGED}").where(~base_failed()))
+    names = keep or docs.columns
+    kinds = dict(docs.dtypes)
+    carry = "text" in names and kinds["text"] == "string"  # the text goes to Python once, and comes back only where it is kept
+    doc = docs.select(*(named(c) for c in names if not (carry and c == "text")))
+    schema = schema_of(("text string, " if carry else "") + JUDGED, doc=doc.schema)
+    judged = docs.select(F.struct(*(named(c) for c in doc.columns)).alias("doc"), text).mapInArrow(lean(_judge(weights, ["doc", "text"] if carry else ["doc"])), schema)
+    if carry:
+        fields = [F.col("text") if c == "text" else F.col("doc")[c].alias(c) for c in names]
+        judged = judged.withColumn("doc", F.struct(*fields)).drop("text")
+    judged = judged.withColumn("base_failed", base_failed())
+    return judged.withColumn("kept", ~F.col("base_failed") & (F.lit(True) if cut is None else F.col("score") >= cut))
