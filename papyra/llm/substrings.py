@@ -1,23 +1,26 @@
-"""Duplicate spans by hashed windows, joined to their earliest block and grouped to factors of that block.
-
-The join decides what is removed; there is no greedy longest-match parse, and factors have no position in the block.
+"""Duplicate spans by relative Lempel-Ziv parsing against an index of all reference blocks.
 
 The corpus is stored as blocks of about BLOCK_TEXT bytes of text, each sorted by doc_id. Every block is both a
-text to be parsed and a reference. A document is factored word by word: the factor at a word is the run of
-following windows (`window` words each) that the same earlier block holds; a run of r windows is a factor of
-window + r - 1 words. Every window is looked up, also those that cross from one factor into the next, so a
-passage that spans two factors is found as well. A window belongs to the earliest place it is found at
-(smallest doc_id, then smallest start); all other places are duplicate spans.
+text to be parsed and a reference. The index holds each window of `window` words of all blocks once, at its
+earliest place: smallest doc_id, then smallest start, as (block, position of the word in the block).
+
+A document is parsed greedily from its first word. At a word whose window stands earlier, the factor is the longest
+match against the index: it goes on for as long as the following windows stand at the following positions
+of the same block, and ends with the last of these windows. The parse goes on behind it; a word whose window does not stand earlier
+is a literal. A factor of r windows has window + r - 1 words, (block, position, length), and is a duplicate span. At
+factor boundaries, the windows that begin inside a factor and reach beyond its end are checked on their own: those that stand
+earlier, somewhere else than the factor goes on, extend the span. So each window of a document is inside a
+factor, checked at a boundary, or looked up at a literal, and what is removed is every word of a window that stands earlier.
 
 Index and look-up travel as packed arrays, each block's own distinct entries once, so a passage that stands in
-a third of all documents costs at most one entry for each block:
+a third of all documents costs at most one entry for each block, and a block never sends more messages than it has entries:
 
 1. anchors. A window's anchor is the least hash of its ANCHOR-word runs, the same wherever the window stands.
    Blocks send their distinct anchors by hash range, and learn which are found at two places or more. Text
    that is unique sends about an eighth of an entry per word and drops out here.
-2. windows. Blocks send the distinct hashes of windows with such an anchor, with the smallest doc_id, and learn
-   the block that holds the earliest place of each.
-3. factors. Blocks parse their documents with these answers.
+2. windows. Blocks send the distinct hashes of windows with such an anchor, with their first place, and learn
+   the earliest place of each in all blocks: the seeds of factors.
+3. factors. Blocks parse their documents with these seeds.
 
 Windows are compared by 128 bits of hash, anchors by 64: two anchors taken for one only cost a look-up.
 
@@ -28,21 +31,23 @@ result. Further columns are kept in the struct doc.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .dist import ship, stage
+from .dist import lean, named, schema_of, ship, stage
 from .packed import pack, unpack
 from .text import SPACED, U, Words, mix, rolling, spread
 
 WINDOW, ANCHOR = 20, 5
 BLOCK_TEXT = 8 << 20
 #: Text for which one hash range is made, at least; ranges follow the input.
-RANGE_TEXT = 32 << 20
+RANGE_TEXT = 16 << 20
 
 NO_ID = np.iinfo(np.int64).min
 
@@ -121,13 +126,15 @@ class Block:
         self.of[order] = np.cumsum(new) - 1
         self.first = np.zeros(len(self.part), bool)
         self.first[first] = True
-        self.owner_id = self.ids[self.words.doc[self.start[self.part[first]]]]
+        self.position = self.start[self.part[first]]
+        self.owner_id = self.ids[self.words.doc[self.position]]
 
 
-def _ranges(values: np.ndarray, n: int) -> np.ndarray:
-    """Where each of n hash ranges begins in sorted values; the last is their number."""
-    edges = (np.arange(1, n, dtype=object) * (1 << 64) // n).astype(np.uint64)
-    return np.concatenate(([0], np.searchsorted(values, edges), [len(values)]))
+def _ranges(values: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hash ranges, of n, that sorted values lie in, and where each begins; the last is their number."""
+    range_ = ((values >> U(32)) * U(n) >> U(32)).astype(np.int64)
+    begin = np.flatnonzero(np.append(True, range_[1:] != range_[:-1])) if len(range_) else np.zeros(0, np.int64)
+    return range_[begin], np.append(begin, len(values))
 
 
 ASKED = "range long, block long, data binary"
@@ -135,9 +142,8 @@ ANSWER = "block long, kind int, range long, data binary"
 
 
 def _asked(block: int, n: int, sorted_: np.ndarray, *more: np.ndarray) -> pa.Table:
-    at = _ranges(sorted_, n)
-    full = np.flatnonzero(np.diff(at))
-    data = [pack(sorted_[at[k] : at[k + 1]], *(m[at[k] : at[k + 1]] for m in more)) for k in full]
+    full, at = _ranges(sorted_, n)
+    data = [pack(sorted_[x:y], *(m[x:y] for m in more)) for x, y in zip(at[:-1], at[1:], strict=True)]
     return pa.table({"range": pa.array(full, pa.int64()), "block": pa.array([block] * len(full), pa.int64()), "data": pa.array(data, pa.binary())})
 
 
@@ -173,8 +179,7 @@ def _heard(answers: pa.Table, kind: int) -> list[bytes]:
 def _open(blocks: pa.Table, answers: pa.Table, n: int) -> tuple[int, Block]:
     """A block with its windows that take part; blocks holds one row."""
     own = Block(blocks.column("rows")[0].as_buffer())
-    at = _ranges(own.distinct, n)
-    size = np.diff(at)[np.flatnonzero(np.diff(at))]
+    size = np.diff(_ranges(own.distinct, n)[1])
     found = [np.unpackbits(unpack(d, "u1")[0])[:k].astype(bool) for d, k in zip(_heard(answers, 0), size, strict=True)]
     own.candidates(np.concatenate([np.zeros(0, bool), *found]))
     return blocks.column("block")[0].as_py(), own
@@ -183,36 +188,56 @@ def _open(blocks: pa.Table, answers: pa.Table, n: int) -> tuple[int, Block]:
 def _ask_windows(n: int):
     def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
         if not blocks.num_rows:
-            return _asked(0, n, np.zeros(0, U), np.zeros(0, np.int64))
+            return _asked(0, n, np.zeros(0, U))
         block, own = _open(blocks, answers, n)
-        return _asked(block, n, own.hashes, own.seconds, own.owner_id)
+        return _asked(block, n, own.hashes, own.seconds, own.owner_id, own.position.astype(np.uint32))
 
     return run
 
 
 def _answer_windows(asked: pa.Table) -> pa.Table:
-    parts = [unpack(d.as_buffer(), "<u8", "<u8", "<i8") for d in asked.column("data").combine_chunks()]
+    """The earliest place of each window: block and position."""
+    parts = [unpack(d.as_buffer(), "<u8", "<u8", "<i8", "<u4") for d in asked.column("data").combine_chunks()]
     size = [len(p[0]) for p in parts]
-    hashes, second, ids = (np.concatenate([p[i] for p in parts]) for i in range(3))
+    hashes, second, ids, position = (np.concatenate([p[i] for p in parts]) for i in range(4))
     block = np.repeat(np.asarray(asked.column("block")), size)
     order = np.lexsort((block, ids, second, hashes))
     new = np.ones(len(order), bool)
     new[1:] = (hashes[order[1:]] != hashes[order[:-1]]) | (second[order[1:]] != second[order[:-1]])
-    owner = np.empty(len(order), np.int64)
-    owner[order] = block[order[new]][np.cumsum(new) - 1]
-    return _answered(asked, 1, [pack(a) for a in np.split(owner, np.cumsum(size)[:-1])])
+    earliest = np.empty(len(order), np.int64)
+    earliest[order] = order[new][np.cumsum(new) - 1]
+    cut = np.cumsum(size)[:-1]
+    return _answered(asked, 1, [pack(*x) for x in zip(np.split(block[earliest], cut), np.split(position[earliest], cut), strict=True)])
 
 
-def factors(own: Block, block: int, owner: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First word, words and reference block of each duplicate factor. owner: of each distinct window, the block of its earliest place."""
-    source = owner[own.of]
+def factors(own: Block, block: int, owner: np.ndarray, position: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The greedy parse of a block's documents: first word, words, reference block and position there of each factor, and the words removed.
+
+    owner, position: of each distinct window, the block and position of its earliest place.
+    """
+    source, place = owner[own.of], position[own.of].astype(np.int64)
     double = (source != block) | ~own.first
-    start, source = own.start[own.part[double]], source[double]
+    start, source, place = own.start[own.part[double]], source[double], place[double]
     doc = own.words.doc[start]
+    # matches against the index: runs of windows whose places follow each other in one block
     new = np.ones(len(start), bool)
-    new[1:] = (start[1:] != start[:-1] + 1) | (source[1:] != source[:-1]) | (doc[1:] != doc[:-1])
-    at = np.flatnonzero(new)
-    return start[at], np.diff(np.append(at, len(start))) + window - 1, source[at]
+    new[1:] = (start[1:] != start[:-1] + 1) | (source[1:] != source[:-1]) | (place[1:] != place[:-1] + 1) | (doc[1:] != doc[:-1])
+    run = np.flatnonzero(new)
+    n = np.diff(np.append(run, len(start)))
+    found, crossing, end = [], [], 0
+    for k, (first, count) in enumerate(zip(start[run].tolist(), n.tolist(), strict=True)):
+        inside = min(max(end - first, 0), count)  # windows that begin inside the factor before: its boundary
+        if inside and first + inside - 1 + window > end:
+            crossing.append((first, inside - 1 + window))
+        if inside < count:
+            found.append((k, inside))
+            end = first + count - 1 + window
+    which, skipped = (np.array([f[i] for f in found], np.int64) for i in range(2))
+    begin, length = start[run[which]] + skipped, n[which] - skipped + window - 1
+    over = np.array(crossing, np.int64).reshape(-1, 2)
+    total = len(own.words)
+    removed = spread(begin, length, total) | spread(over[:, 0], over[:, 1], total)
+    return begin, length, source[run[which]], place[run[which]] + skipped, removed
 
 
 def kept_texts(words: Words, removed: np.ndarray) -> pa.Array:
@@ -237,14 +262,14 @@ def kept_texts(words: Words, removed: np.ndarray) -> pa.Array:
 def _parse(n: int, window: int, original: bool):
     def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
         block, own = _open(blocks, answers, n)
-        owner = np.concatenate([np.zeros(0, np.int64), *(unpack(d, "<i8")[0] for d in _heard(answers, 1))])
-        start, length, source = factors(own, block, owner, window)
-        removed = spread(start, length, len(own.words))
+        places = [unpack(d, "<i8", "<u4") for d in _heard(answers, 1)]
+        owner, position = np.concatenate([np.zeros(0, np.int64), *(p[0] for p in places)]), np.concatenate([np.zeros(0, np.uint32), *(p[1] for p in places)])
+        start, length, source, place, removed = factors(own, block, owner, position, window)
         first = own.words.first
         count = np.concatenate(([0], np.cumsum(removed)))
         doc = own.words.doc[start]
         at = np.searchsorted(doc, np.arange(len(first)))
-        spans = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.StructArray.from_arrays([pa.array(x.astype(np.int64)) for x in (start - first[doc], length, source)], ["start", "length", "block"]))
+        spans = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.StructArray.from_arrays([pa.array(x.astype(np.int64)) for x in (start - first[doc], length, source, place)], ["start", "length", "block", "position"]))
         n_removed = (count[first[1:]] - count[first[:-1]]).astype(np.int64)
         kept = kept_texts(own.words, removed)
         if original:
@@ -255,22 +280,32 @@ def _parse(n: int, window: int, original: bool):
 
 
 def remove_duplicates(docs: DataFrame, original: bool = False) -> DataFrame:
-    """For each row of docs: doc (a struct of its columns but text), n_words, n_removed, kept_text, and spans (start, length, block) of its duplicate factors.
+    """For each row of docs: doc (a struct of its columns but text), n_words, n_removed, kept_text, and spans (start, length, block, position) of its factors.
 
     kept_text: the words that stay, joined by one space; original: texts that keep all words stay as they are.
     """
-    spark = docs.sparkSession
-    ship(spark)
-    whole = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c != "text"))
-    doc_type = whole.schema.simpleString()
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in whole.columns)).alias("doc"), F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    blocks = stage(rows.mapInArrow(_blocks, "bytes long, rows binary").withColumn("block", F.monotonically_increasing_id()), "blocks")
+    return parse(store(docs), original)
+
+
+def store(docs: DataFrame) -> DataFrame:
+    """The corpus as blocks: block, bytes and rows (a compressed Arrow stream of doc, id and text)."""
+    ship(docs.sparkSession)
+    whole = [c for c in docs.columns if c != "text"]
+    rows = docs.select(F.struct(*map(named, whole)).alias("doc"), F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    out = stage(rows.mapInArrow(lean(_blocks), "bytes long, rows binary").withColumn("block", F.monotonically_increasing_id()), "blocks")
+    return out.withMetadata("rows", {"doc": rows.schema["doc"].dataType.json()})
+
+
+def parse(blocks: DataFrame, original: bool = False) -> DataFrame:
+    """What remove_duplicates returns, of the blocks of store."""
+    doc = T.StructType.fromJson(json.loads(blocks.schema["rows"].metadata["doc"]))
     n_bytes = blocks.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
     n = max(1, -(-n_bytes // RANGE_TEXT))
     blocks = blocks.select("block", "rows")
-    asked = blocks.mapInArrow(_ask_anchors(n), ASKED)
-    anchors = stage(asked.groupBy("range").applyInArrow(_answer_anchors, ANSWER), "anchors")
-    asked = blocks.groupBy("block").cogroup(anchors.groupBy("block")).applyInArrow(_ask_windows(n), ASKED)
-    windows = stage(asked.groupBy("range").applyInArrow(_answer_windows, ANSWER), "windows")
+    asked = blocks.mapInArrow(lean(_ask_anchors(n)), ASKED)
+    anchors = stage(asked.groupBy("range").applyInArrow(lean(_answer_anchors, 1), ANSWER), "anchors")
+    asked = blocks.groupBy("block").cogroup(anchors.groupBy("block")).applyInArrow(lean(_ask_windows(n), 2), ASKED)
+    windows = stage(asked.groupBy("range").applyInArrow(lean(_answer_windows, 1), ANSWER), "windows")
     answers = anchors.unionByName(windows)
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_parse(n, WINDOW, original), f"doc {doc_type}, n_words long, n_removed long, kept_text string, spans array<struct<start: long, length: long, block: long>>")
+    schema = schema_of("n_words long, n_removed long, kept_text string, spans array<struct<start: long, length: long, block: long, position: long>>", doc=doc)
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(lean(_parse(n, WINDOW, original), 2), schema)

@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -36,6 +37,63 @@ def test_factors_that_cross_blocks(spark, monkeypatch):
     assert digest(s.remove_duplicates(spark.createDataFrame(data, "doc_id long, text string").repartition(4))) == sorted(brute.substrings(data), key=repr)
 
 
+def greedy(data, window=20):
+    """Factors of each document by a walk over its words: (start, length, document, start there), and the words removed."""
+    words, earliest = {i: brute.spaced(t) for i, t in data}, {}
+    for i in sorted(words):
+        for k in range(len(words[i]) - window + 1):
+            earliest.setdefault(tuple(words[i][k : k + window]), (i, k))
+    out = {}
+    for i, w in words.items():
+        place = lambda k: p if k + window <= len(w) and (p := earliest[tuple(w[k : k + window])]) != (i, k) else None  # noqa: B023, E731
+        k, found, gone = 0, [], set()
+        while k < len(w):
+            if not (p := place(k)):
+                k += 1
+                continue
+            n = 1
+            while place(k + n) == (p[0], p[1] + n):
+                n += 1
+            end = k + n - 1 + window
+            found.append((k, end - k, *p))
+            gone.update(range(k, end))
+            for x in range(k + n, end):  # the boundary
+                if place(x):
+                    gone.update(range(x, x + window))
+            k = end
+        out[i] = found, len(gone)
+    return out
+
+
+@pytest.mark.parametrize("block", [8 << 20, 1])
+def test_factors_against_a_greedy_walk(spark, monkeypatch, block):
+    monkeypatch.setattr(s, "BLOCK_TEXT", block)
+    some = random.Random(3)
+    shared = [prose(100 + i, 35) for i in range(6)]
+    data = [(i, " ".join(" ".join(some.choice(shared).split()[some.randrange(8) : some.randrange(20, 36)]) if some.random() < 0.6 else prose(500 + 9 * i + j, 12) for j in range(9))) for i in range(60)]
+    blocks = s.store(spark.createDataFrame(data, "doc_id long, text string").repartition(5, "doc_id"))
+    out = s.parse(blocks).select("doc.doc_id", "spans", "n_removed").collect()
+    held = {r.block: s.Block(r.rows) for r in blocks.collect()}
+    texts = {i: brute.spaced(t) for i, t in data}
+
+    def at(block, position):
+        own = held[block]
+        doc = own.words.doc[position]
+        return int(own.ids[doc]), int(position - own.words.first[doc])
+
+    plain = greedy(data)
+    assert sum(len(f) for f, _ in plain.values()) > 100
+    for r in out:
+        own = [(x.start, x.length, *at(x.block, x.position)) for x in r.spans]
+        assert (own, r.n_removed) == plain[r.doc_id]
+        assert all(texts[r.doc_id][a : a + n] == texts[d][b : b + n] for a, n, d, b in own)
+
+
+def test_odd_column_names(spark):
+    df = spark.createDataFrame([(1, "x", 2, 3)], "doc_id long, text string, `a.b` int, `c d` int")
+    assert s.remove_duplicates(df).select("doc.*").columns == ["doc_id", "a.b", "c d"]
+
+
 def test_repeated_rows(spark, nothing):
     data = [(1, prose(1, 30)), (1, prose(1, 30)), (None, prose(1, 30))]
     out = s.remove_duplicates(spark.createDataFrame(data, "doc_id long, text string"))
