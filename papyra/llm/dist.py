@@ -127,6 +127,24 @@ def named(column: str) -> Column:
     return F.col("`" + column.replace("`", "``") + "`")
 
 
+def apart(docs: DataFrame, keep: list[str] | None) -> tuple[list[str], Column, T.StructType, bool]:
+    """For an operator that returns doc, a struct of all columns or those of keep, and reads the column text as a string.
+
+    The names; doc without text, and its type; whether text belongs into doc: then it goes to Python and back once, beside doc.
+    """
+    names = keep or docs.columns
+    back = "text" in names and dict(docs.dtypes)["text"] == "string"
+    rest = [c for c in names if not (back and c == "text")]
+    return names, F.struct(*map(named, rest)).alias("doc"), docs.select(*map(named, rest)).schema, back
+
+
+def together(out: DataFrame, names: list[str], back: bool) -> DataFrame:
+    """Put text back into doc."""
+    if not back:
+        return out
+    return out.withColumn("doc", F.struct(*(F.col("text") if c == "text" else F.col("doc").getField(c).alias(c) for c in names))).drop("text")
+
+
 def schema_of(rest: str, **first: T.DataType) -> T.StructType:
     """Columns of given types, then those of rest; names may hold any character."""
     return T.StructType([*(T.StructField(k, v) for k, v in first.items()), *T.StructType.fromDDL(rest).fields])

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .dist import lean, named, schema_of, ship, stage
+from .dist import apart, lean, schema_of, ship, stage, together
 from .text import SPACED, U, Words, blocks, mix, per_doc
 
 BINS = 1 << 16
@@ -197,14 +197,8 @@ def judge(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None) ->
         target, rest = counted(labelled.where("good").select("text")), "true"
     weights = ratio(raw, target)
     cut = threshold(labelled.where(rest).mapInArrow(lean(_judge(weights, ["good"])), f"good boolean, {JUDGED}").where(~base_failed()))
-    names = keep or docs.columns
-    kinds = dict(docs.dtypes)
-    carry = "text" in names and kinds["text"] == "string"  # the text goes to Python once, and comes back only where it is kept
-    doc = docs.select(*(named(c) for c in names if not (carry and c == "text")))
-    schema = schema_of(("text string, " if carry else "") + JUDGED, doc=doc.schema)
-    judged = docs.select(F.struct(*(named(c) for c in doc.columns)).alias("doc"), text).mapInArrow(lean(_judge(weights, ["doc", "text"] if carry else ["doc"])), schema)
-    if carry:
-        fields = [F.col("text") if c == "text" else F.col("doc")[c].alias(c) for c in names]
-        judged = judged.withColumn("doc", F.struct(*fields)).drop("text")
+    names, doc, kind, back = apart(docs, keep)
+    schema = schema_of(("text string, " if back else "") + JUDGED, doc=kind)
+    judged = together(docs.select(doc, text).mapInArrow(lean(_judge(weights, ["doc", "text"] if back else ["doc"])), schema), names, back)
     judged = judged.withColumn("base_failed", base_failed())
     return judged.withColumn("kept", ~F.col("base_failed") & (F.lit(True) if cut is None else F.col("score") >= cut))

@@ -1,3 +1,5 @@
+import hashlib
+
 import pytest
 
 from papyra.llm import decontaminate as d
@@ -23,6 +25,23 @@ def test_against_plain(docs, texts, items, monkeypatch, block):
     assert rows(d.decontaminate(own, items), *COLUMNS) == sorted(want, key=repr)
 
 
+@pytest.mark.parametrize("block", [16 << 20, 100])
+def test_items_without_an_id(spark, monkeypatch, block):
+    """They share windows with items that have one, and count as one item more that no digest names."""
+    monkeypatch.setattr(d, "BLOCK_BYTES", block)
+    items = spark.createDataFrame([(None, prose(2, 12)), (4, prose(2, 12)), (None, "one"), (5, prose(3, 12))], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "x " + prose(2, 12)), (2, "one"), (3, prose(3, 12)), (4, "none")], "doc_id long, text string")
+    out = {r.doc_id: (r.n_items, r.items_sha256, r.n_hit) for r in d.decontaminate(docs, items).select("doc.doc_id", "n_items", "items_sha256", "n_hit").collect()}
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    assert out == {1: (2, sha("4"), 12), 2: (1, sha(""), 1), 3: (1, sha("5"), 12), 4: (0, sha(""), 0)}
+
+
+def test_odd_column_names(spark, items):
+    docs = spark.createDataFrame([(1, 2, "x1 x2 x3", 3), (2, 3, None, 4)], "doc_id long, `a.b` int, text string, `c d` int")
+    out = d.decontaminate(docs, items).select("doc.*")
+    assert out.columns == docs.columns and rows(out) == rows(docs)
+
+
 def test_empty(nothing, docs, items):
     assert d.decontaminate(nothing, items).count() == 0
     clean = d.decontaminate(docs, items.limit(0))
