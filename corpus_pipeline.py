@@ -5,7 +5,7 @@ of documents. Null, empty and repeated rows follow the operators' own rules:
 
 1. quality: documents that the quality rules reject go (null and empty texts among them).
 2. near_duplicates: one document of each group stays, the one with the smallest doc_id; of rows that share a
-   doc_id one stays; rows without a doc_id stay.
+   doc_id one stays, that whose columns hash lowest; rows without a doc_id stay.
 3. substrings: words of passages that stand earlier go, and n_chars follows; a document that loses all words goes.
 4. decontamination: documents that hold a benchmark window go.
 5. packing: the pieces of what is left, with their ids.
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from papyra.llm.decontaminate import decontaminate
-from papyra.llm.dist import stage, table
+from papyra.llm.dist import named, stage, table
 from papyra.llm.minhash import near_duplicates
 from papyra.llm.packing import pack
 from papyra.llm.quality import judge
@@ -29,15 +29,21 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    gone = near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("gone id"))
-    left = docs.join(gone, F.col("doc_id") == F.col("gone id"), "left_anti")
-    return left.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL"))
+    ids = near_duplicates(docs).where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("own id")).agg(F.bool_and("kept").alias("stays"), F.count(F.lit(1)).alias("rows of it"))
+    ids = stage(ids.where("NOT stays OR `rows of it` > 1"), "not-one")
+    own = F.col("doc_id") == F.col("own id")
+    left = docs.join(ids.select("own id"), own, "left_anti")
+    if ids.where("stays").head(1):
+        again = docs.join(ids.where("stays").select("own id"), own, "left_semi")
+        columns = [named(c) for c in docs.columns]
+        left = left.unionByName(again.groupBy(F.col("doc_id").alias("own id")).agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias("row")).select("row.*"))
+    return left
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     left = remove_duplicates(docs, original=True).where("n_removed = 0 OR n_removed < n_words")
     kinds = dict(docs.dtypes)
-    columns = [F.col("kept_text").alias(c) if c == "text" else F.length("kept_text").cast(kinds[c]).alias(c) if c == "n_chars" else F.col(f"doc.`{c}`").alias(c) for c in docs.columns]
+    columns = [F.col("kept_text").alias(c) if c == "text" else F.length("kept_text").cast(kinds[c]).alias(c) if c == "n_chars" else F.col("doc").getField(c).alias(c) for c in docs.columns]
     return left.select(*columns)
 
 
