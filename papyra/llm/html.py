@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .dist import ship, stage
+from .dist import lean, ship, stage
 from .text import blocks
 
 GAMMA, LEAST, MIN_PAGES, SALTS = 0.9, 0.2, 8, 16
@@ -252,7 +252,7 @@ _ABOVE = "transform(sequence(2, size(split(path, '/'))), k -> array_join(slice(s
 def importance(pages: DataFrame) -> DataFrame:
     """host, path, m (distinct pages) and importance of each node of each host's style tree; 1 on a single page. pages: host, html."""
     ship(pages.sparkSession)
-    rows = pages.select("host", "html").mapInArrow(_features, "host string, path string, kind int, feature long, page long").distinct()
+    rows = pages.select("host", "html").mapInArrow(lean(_features), "host string, path string, kind int, feature long, page long").distinct()
     by = rows.groupBy("host", "path", "kind", "feature").agg(F.count(F.lit(1)).alias("n"))
     nodes = by.groupBy("host", "path", "kind").agg(F.count(F.lit(1)).alias("texts"), F.sum(F.log("n")).alias("log_n"), F.sum("n").alias("total"), F.sum(F.col("n") * F.log("n")).alias("n_log_n"))
     # every node above a text shares its content
@@ -297,5 +297,5 @@ def main_text(pages: DataFrame, least: float = LEAST, min_pages: int = MIN_PAGES
     low = stage(low.groupBy(F.col("host").alias("low_host")).agg(F.array_sort(F.collect_set("path")).alias("low")), "style-tree")
     salted = low.withColumn("low_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     joined = own.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(salted, (F.col("host") == F.col("low_host")) & (F.col("salt") == F.col("low_salt")), "left")
-    out = joined.select("page_id", "url", "html", "low").mapInArrow(_extract, "page_id long, url string, text string")
+    out = joined.select("page_id", "url", "html", "low").mapInArrow(lean(_extract), "page_id long, url string, text string")
     return out.withColumn("n_chars", F.length("text").cast("long"))

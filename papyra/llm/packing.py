@@ -10,6 +10,7 @@ of their own. An empty table gives an empty result. Further columns of the input
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 from itertools import chain
 
@@ -18,11 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .dist import ship
+from .dist import held, lean, ship
 from .text import Words, blocks
 
 LONGEST, END = 4096, 2
-KNOWN = 1_500_000
+#: Pieces an encoder remembers, some 30 bytes each; a batch with more of them is still encoded whole.
+KNOWN = 1_000_000
 
 PIECES = "doc_id long, doc_tokens long, start long, length int, ids binary"
 
@@ -59,6 +61,7 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.letters = Tokenizer(self.tokenizer.model)
@@ -112,13 +115,10 @@ class Encoder:
         return [out[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def _cut(path: str, longest: int, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoders.get(path) or _encoders.setdefault(path, Encoder(path))
-        for batch in blocks(batches, limit=2 << 20):
+        encoder = held(path, lambda: Encoder(path))
+        for batch in blocks(batches):
             doc, total, start, length, ids = [], [], [], [], []
             for i, tokens in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text")), strict=True):
                 tokens = np.append(tokens, np.uint32(end)).astype("<u4")
@@ -144,7 +144,7 @@ def pack(docs: DataFrame, tokenizer: str, longest: int = LONGEST, end: int = END
     if longest & (longest - 1) or longest < 1:
         raise ValueError("longest must be a power of two")
     ship(docs.sparkSession)
-    cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_cut(tokenizer, longest, end), PIECES)
+    cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(_cut(tokenizer, longest, end), keeps=True), PIECES)
     return cut.withColumns({"sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("long"), "bucket": F.log2(F.col("length").cast("double")).cast("int")})
 
 
