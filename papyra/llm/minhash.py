@@ -9,8 +9,9 @@ probability J. BANDS bands of ROWS bins are the bucket keys: a pair at J = 0.75
 Documents with equal sets are one class before anything is paired. In each bucket the class that meets the
 most others in all its buckets is the hub, and every other class is paired with it, so pairs grow with the
 members. Pairs are confirmed on the full sets of hashed shingles. Where a bucket still holds several components,
-its classes meet in tiles of TILE classes by TILE, with 32 bits of each shingle: classes outside a tile's largest
-component are compared with all others there, and only pairs that come up to the threshold go on to be confirmed.
+the classes outside its largest one are compared with those in it and with each other, in tiles of TILE classes by
+TILE, with 32 bits of each shingle; only pairs that come up to the threshold go on to be confirmed. A class of the largest
+component is sent once for each TILE classes outside it.
 So no link inside a bucket is lost, a group of copies is never expanded into its pairs, and no group of any size
 has to fit into a task.
 
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .dist import ship, stage
+from .dist import lean, ship, stage
 from .graph import components
 from .text import SPACED, U, Words, blocks, mix, rolling
 
@@ -37,6 +38,8 @@ SHINGLE, PERCENT = 5, 75
 BANDS, ROWS = 51, 5
 TILE = 256
 _TRIES = 512
+#: Of a tile: its bucket and its two parts. Parts outside the largest component count from 0, those in it from -1 down.
+TILES = ["bucket", "lo", "hi"]
 
 
 def shingles(words: Words, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -122,24 +125,21 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFr
     return both.where(100 * common >= percent * (n_a + n_b - common)).select("a", "b").distinct()
 
 
-def _close(own: pa.Table, percent: int) -> pa.RecordBatch:
-    """Pairs of a tile, from different components, that come up to the threshold by 32 bits of each shingle."""
-    part, high, rep, component = (np.asarray(own.column(c)) for c in ("part", "hi", "rep", "component"))
+def _close(own: pa.Table, percent: int, within: bool) -> pa.RecordBatch:
+    """Pairs of a tile, from different components, that come up to the threshold by 32 bits of each shingle: of one side with the other, or within one."""
+    side, rep, component = (np.asarray(own.column(c)) for c in ("side", "rep", "component"))
     lists = own.column("short").combine_chunks()
     flat, size = np.asarray(lists.flatten()), np.asarray(pa.compute.list_value_length(lists)).astype(np.int64)
     first = np.cumsum(size) - size
     values, code = np.unique(flat, return_inverse=True)
-    names, which, members = np.unique(component, return_inverse=True, return_counts=True)
-    largest = which == members.argmax()
     mark = np.zeros(len(values), bool)
-    upper, a, b = part == high, [], []
-    for i in np.flatnonzero(~largest):
+    a, b = [], []
+    for i in np.flatnonzero(side == 0):
         mine = code[first[i] : first[i] + size[i]]
         mark[mine] = True
         common = np.add.reduceat(mark[code], first) + 2  # two shingles may agree in 32 bits by chance
         mark[mine] = False
-        # of two outside the largest component each pair once; between two parts only from one to the other
-        test = (component != component[i]) & (largest | (rep > rep[i])) & ((upper != upper[i]) | upper.all())
+        test = (component != component[i]) & (rep > rep[i] if within else side == 1)
         at = np.flatnonzero(test & (100 * common >= percent * (size + size[i] - common)))
         a.append(np.full(len(at), rep[i]))
         b.append(rep[at])
@@ -156,17 +156,17 @@ def _tiles(percent: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys = np.stack([np.asarray(batch.column(c)).astype(np.int64) for c in ("bucket", "lo", "hi")])
+            keys = np.stack([np.asarray(batch.column(c)).astype(np.int64) for c in TILES])
             cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
             for x, y in zip(cuts[:-1], cuts[1:], strict=True):
                 now = tuple(keys[:, x])
                 if held and now != tile:
-                    yield _close(pa.Table.from_batches(held), percent)
+                    yield _close(pa.Table.from_batches(held), percent, tile[1] == tile[2])
                     held = []
                 tile = now
                 held.append(batch.slice(x, y - x))
         if held:
-            yield _close(pa.Table.from_batches(held), percent)
+            yield _close(pa.Table.from_batches(held), percent, tile[1] == tile[2])
 
     return run
 
@@ -175,7 +175,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs."""
     ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketches = stage(docs.mapInArrow(_sketch, "doc_id long, n_shingles long, whole binary, bands array<long>"), "sketches")
+    sketches = stage(docs.mapInArrow(lean(_sketch), "doc_id long, n_shingles long, whole binary, bands array<long>"), "sketches")
     full = sketches.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = stage(full.groupBy("whole").agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands")), "classes")
 
@@ -184,7 +184,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     members = stage(buckets.join(shared, F.col("bucket") == F.col("shared")).select("bucket", "rep", "n"), "members")
     # merge: the texts are too many to be told apart by a list that is broadcast, at any size
     shared_reps = members.select(F.col("rep").alias("shared_rep")).distinct().hint("merge")
-    sets = stage(docs.join(shared_reps, F.col("doc_id") == F.col("shared_rep"), "left_semi").mapInArrow(_sets, "doc_id long, shingles array<long>, short array<int>"), "sets")
+    sets = stage(docs.join(shared_reps, F.col("doc_id") == F.col("shared_rep"), "left_semi").mapInArrow(lean(_sets), "doc_id long, shingles array<long>, short array<int>"), "sets")
     met = members.groupBy(F.col("rep").alias("met_rep")).agg(F.sum(F.col("n") - 1).alias("met"))
     hubs = members.join(met, F.col("rep") == F.col("met_rep")).groupBy(F.col("bucket").alias("hub_bucket")).agg(F.max_by("rep", F.struct("met", -F.col("rep"))).alias("hub"))
     hubs = stage(hubs, "hubs")
@@ -193,16 +193,20 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     same = stage(confirm(pairs, sets, percent), "confirmed")
 
     groups = stage(components(same), "components")
-    placed = starred.where("n > 2").join(groups, F.col("rep") == F.col("node"), "left").select("bucket", "rep", "n", F.coalesce("component", "rep").alias("component"))
+    placed = starred.where("n > 2").join(groups, F.col("rep") == F.col("node"), "left").select("bucket", "rep", F.coalesce("component", "rep").alias("component"))
     placed = stage(placed, "placed")
-    open_ = placed.groupBy(F.col("bucket").alias("open")).agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high")
-    open_ = stage(open_.select("open"), "open")
-    placed = placed.join(open_, F.col("bucket") == F.col("open"))
+    sizes = placed.groupBy(F.col("bucket").alias("open"), "component").agg(F.count(F.lit(1)).alias("n"))
+    open_ = sizes.groupBy("open").agg(F.max_by("component", F.struct("n", "component")).alias("largest"), F.max("n").alias("inside"), F.sum("n").alias("all")).where("inside < all")
+    open_ = stage(open_.select("open", "largest", F.ceil(F.col("inside") / TILE).cast("int").alias("parts_in"), F.ceil((F.col("all") - F.col("inside")) / TILE).cast("int").alias("parts_out")), "open")
+    placed = placed.join(open_, F.col("bucket") == F.col("open")).withColumn("outside", F.col("component") != F.col("largest"))
+    part = F.pmod(F.xxhash64("rep"), F.when(F.col("outside"), F.col("parts_out")).otherwise(F.col("parts_in"))).cast("int")
+    # a class outside meets every part of the largest component and every part outside; one inside meets the parts outside
+    other = F.when(F.col("outside"), F.sequence(-F.col("parts_in"), F.col("parts_out") - 1)).otherwise(F.sequence(F.lit(0), F.col("parts_out") - 1))
+    placed = placed.withColumn("part", F.when(F.col("outside"), part).otherwise(-1 - part)).withColumn("other", F.explode(other))
+    lo, hi = F.least("part", "other"), F.greatest("part", "other")
     short = sets.select(F.col("doc_id").alias("set_rep"), "short")
-    parts = F.ceil(F.col("n") / TILE).cast("int")
-    placed = placed.withColumn("part", F.pmod(F.xxhash64("rep"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    tiles = placed.select("bucket", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "rep", "component").join(short, F.col("rep") == F.col("set_rep")).drop("set_rep")
-    near = tiles.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi").mapInArrow(_tiles(percent), "a long, b long").distinct()
+    tiles = placed.select("bucket", lo.alias("lo"), hi.alias("hi"), (F.col("part") != hi).cast("int").alias("side"), "rep", "component").join(short, F.col("rep") == F.col("set_rep")).drop("set_rep")
+    near = tiles.repartition(*TILES).sortWithinPartitions(*TILES).mapInArrow(lean(_tiles(percent)), "a long, b long").distinct()
     near = stage(near.join(pairs, ["a", "b"], "left_anti"), "close")
     if near.head(1):
         same = same.unionByName(confirm(near, sets, percent))
