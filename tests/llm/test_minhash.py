@@ -13,10 +13,12 @@ def test_against_plain(docs, texts):
     assert rows(minhash.near_duplicates(docs)) == sorted(brute.near(texts), key=repr)
 
 
-@pytest.mark.parametrize("tile", [256, 3])
-def test_links_off_the_hub(spark, monkeypatch, tile):
+@pytest.mark.parametrize("tile,hub", [(256, 100), (3, 2)])
+def test_links_off_the_hub(spark, monkeypatch, tile, hub):
     """Texts that share buckets with a common hub but link with each other only."""
     monkeypatch.setattr(minhash, "TILE", tile)
+    monkeypatch.setattr(minhash, "HUB", hub)
+    monkeypatch.setattr(graph, "HUB", hub)
     base = prose(1, 200).split()
 
     def other(seed, share):
@@ -64,7 +66,9 @@ def test_sketches_estimate_jaccard():
         assert abs((one == two).mean() - len(a & b) / len(a | b)) < 0.05
 
 
-def test_components(spark):
+@pytest.mark.parametrize("hub", [100, 1])
+def test_components(spark, monkeypatch, hub):
+    monkeypatch.setattr(graph, "HUB", hub)
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7), (205, 201), (201, 203), (203, 205)]
     got = {r.node: r.component for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     want = {i: 0 for i in range(41)} | {100 + i: 100 for i in range(30)} | {i: 201 for i in (201, 203, 205)}

@@ -74,6 +74,13 @@ def test_stages_keep_columns(spark, docs, tmp_path):
     assert rows(pipeline.packing(spark, own.limit(0), sf)) == []
 
 
+def test_rows_of_one_id(spark):
+    """Of two texts under one id the same one stays, however the rows are dealt; its other columns stay with it."""
+    data = [(5, prose(1, 30), "a"), (5, prose(2, 30), "b"), (6, prose(3, 30), "c"), (7, prose(3, 30), "d")]
+    kept = [rows(pipeline.near(spark, spark.createDataFrame(x, "doc_id long, text string, `a.b` string").repartition(n), "")) for x, n in ((data, 1), (data[::-1], 4))]
+    assert kept[0] == kept[1] and [r[0] for r in kept[0]] == [5, 6] and set(kept[0]) <= set(data)
+
+
 def test_empty(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
