@@ -1,29 +1,34 @@
-"""Katz backoff over words, with partitioned n-gram tables that are evaluated where they lie.
-
-    P(w | h) = d(r) * r / c(h)             for a pair seen r = c(h, w) > 0 times in training
-             = (r - TAIL) / c(h)           for r above LARGEST
-             = alpha(h) * P(w)             else, if c(h) > 0
-             = P(w)                        else
-    P(w)     = (c(w) + 1) / (N + V + 1)    V: distinct training tokens; one place is left for all unknown words
-    alpha(h) = (1 - sum of P(w | h) over seen w) / (1 - sum of P(w) over seen w)
-
-so that P(. | h) sums to one exactly for every history. d(r) is the Good-Turing discount of Katz for r up to
-LARGEST, from the counts of counts of all pairs; above, the fixed TAIL leaves some weight to unseen words of
-every history. Where the counts of counts give no proper discount (0 < d <= 1), absolute discounting takes its
-place for that r. A document's tokens are its words and one end; its first history is a start mark.
-
-No text and no table is held in one place. Chunks of documents send, by hash range of the later word, each
-distinct pair once, with the documents that hold it. A range sums the counts of its pairs and words, and answers
-for each chunk with sums per document: what is known of the score, and how often each discount is used.
-Backed-off pairs also ask for the weight of their history by its own hash range, where the parts of every
-history's normaliser meet. Words that make up a large share of the text are spread over ranges by history, and
-as histories by chunk; the list of these words comes from a sample and only steers where counts are added up,
-their counts are taken over all documents.
-
-The model is of order 2: its tables grow with the distinct pairs of the corpus.
+"""Katz backoff of order 3 over words, with partitioned n-gram tables that are evaluated where they lie.
+
+    P(w | a b) = kept3(c(a b w)) / c(a b)     if c(a b w) > 0 in training
+               = alpha(a b) * P(w | b)        else, if c(a b) > 0
+               = P(w | b)                     else
+    P(w | b)   the same with c(b w), c(b), alpha(b) and P(w)
+    P(w)       = kept1(c(w)) / N              if c(w) > 0
+               = what that leaves             for all unknown words together
+    alpha(h)   = (1 - sum of P(w | h) over seen w) / (1 - sum of P(w | h without its first word) over seen w)
+
+so that P(. | h) sums to one exactly for every history. At each order, kept(r) = d(r) * r by Katz's Good-Turing
+discounts for r up to LARGEST, from the counts of counts of all n-grams of that order, and kept(r) = r above. Where the
+counts of counts give no proper discount (0 < d < 1), absolute discounting takes its place for that r. A history
+whose n-grams are all above LARGEST leaves nothing to others; its c(h) is raised by one. A document's tokens are its words and
+one end; two start marks stand before them.
+
+No text and no table is held in one place. Documents are stored as chunks of word numbers, and chunks exchange packed
+arrays with hash ranges, each distinct entry of a chunk once:
+
+1. words. A range adds up the counts of its words, and numbers them, frequent ones first. Pairs of a common word and
+   the next go along with the next, so that no range holds all pairs of a common word.
+2. n-grams. A chunk sends each distinct trigram with its training count to the range of its middle word, for common
+   middle words to the range of the first two. There all counts that its probability needs lie side by side, with the words' counts from 1;
+   the counts of counts are summed first, then the log-probability of each distinct trigram goes back.
+3. A chunk adds up its documents.
+
+The list of common words comes from a sample and only steers where counts are added up. A frequent pair or trigram comes once
+from each chunk. A chunk sends no more messages than it has distinct trigrams. Words are known by 64 bits of hash.
 
 Null or empty text has the end token alone. Repeated rows are scored each on their own and count each time.
-Without training documents every word is unknown. Null ids count as "" for the split. An empty table gives an
+Without training documents every word is unknown and every score 0. Null ids count as "" for the split. An empty table gives an
 empty result. Further columns are ignored.
 """
 
@@ -31,6 +36,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,44 +44,31 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .dist import ship, stage
-from .packed import pack, unpack
+from .dist import lean, ship, stage
+from .packed import narrow, pack_typed, unpack_typed
 from .text import SPACED, U, Words, blocks, mix
 
-LARGEST, TAIL = 5, 0.5
-CHUNK_TEXT = 16 << 20
-#: Text for each hash range.
-RANGE_TEXT = 16 << 20
-#: A word is spread when it makes up 1 / COMMON of a sample of SAMPLE_TEXT bytes from each task.
-COMMON, SAMPLE_TEXT, SALTS = 400, 1 << 20, 16
+LARGEST = 5
+CHUNK_TEXT = RANGE_TEXT = 8 << 20
+#: A word is common when it makes up 1 / COMMON of a sample of SAMPLE_TEXT bytes from each task.
+COMMON, SAMPLE_TEXT = 400, 1 << 20
 START, END = U(0x53544152545F5F5F), U(0x454E445F5F5F5F5F)
 
-PART = "kind int, key long, other long, data binary"
-DOCS, SUMS, WEIGHTS, REQUESTS, STATS = range(5)
-NAMES = ["kind", "key", "other", "data"]
+MESSAGE = "range long, chunk long, data binary"
+ANSWER = "chunk long, kind int, range long, data binary"
+WORDS, GRAMS, STATS, PARTS = range(4)
 
 
-class Tokens:
-    """Tokens of a run of texts with an end after each: word, history, text."""
-
-    def __init__(self, texts: pa.Array):
-        words = Words(texts, SPACED, lower=True)
-        n = len(words.first) - 1
-        self.count = np.diff(words.first) + 1
-        last = np.cumsum(self.count) - 1
-        self.word = np.empty(len(words) + n, U)
-        is_end = np.zeros(len(self.word), bool)
-        is_end[last] = True
-        self.word[is_end] = END
-        self.word[~is_end] = words.hashes()
-        self.history = np.empty_like(self.word)
-        self.history[1:] = self.word[:-1]
-        self.history[last + 1 - self.count] = START
-        self.text = np.repeat(np.arange(n, dtype=np.uint32), self.count)
-
-
-def _sum_by(values: np.ndarray, new: np.ndarray) -> np.ndarray:
-    return np.add.reduceat(values, np.flatnonzero(new)) if len(values) else values
+def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of each text's words and end, and how many."""
+    words = Words(texts, SPACED, lower=True)
+    count = np.diff(words.first) + 1
+    out = np.empty(len(words) + len(count), U)
+    is_end = np.zeros(len(out), bool)
+    is_end[np.cumsum(count) - 1] = True
+    out[is_end] = END
+    out[~is_end] = words.hashes()
+    return out, count
 
 
 def _new(*sorted_: np.ndarray) -> np.ndarray:
@@ -86,37 +79,19 @@ def _new(*sorted_: np.ndarray) -> np.ndarray:
     return out
 
 
-def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    size = 0
-    for batch in blocks(batches, limit=SAMPLE_TEXT):
-        word, n = np.unique(Tokens(batch.column("text")).word, return_counts=True)
-        often = n * COMMON >= n.sum()
-        yield pa.RecordBatch.from_arrays([pa.array(word[often].view(np.int64)), pa.array(n[often]), pa.array(np.full(often.sum(), n.sum()))], ["word", "n", "total"])
-        size += batch.column("text").nbytes
-        if size >= SAMPLE_TEXT:
-            return
-
-
-def _exact(common: np.ndarray):
-    """Counts over all training texts: of each common word, of all tokens (word START) and of documents (word END's twin 0)."""
+def _sum_by(values: np.ndarray, new: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(values, np.flatnonzero(new)) if len(values) else values
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, tokens, docs = np.zeros(len(common), np.int64), 0, 0
-        for batch in blocks(batches):
-            own = Tokens(batch.column("text"))
-            train = ~np.asarray(batch.column("held_out"))
-            word = own.word[train[own.text]]
-            tokens += len(word)
-            docs += int(train.sum())
-            if len(common):
-                k = np.minimum(np.searchsorted(common, word), len(common) - 1)
-                total += np.bincount(k[common[k] == word], minlength=len(common))
-        yield pa.RecordBatch.from_arrays([pa.array([*range(len(common)), -1, -2], pa.int64()), pa.array([*total.tolist(), tokens, docs], pa.int64())], ["k", "n"])
 
-    return run
+def _total(index: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Exact sums of whole numbers by index."""
+    out = np.zeros(n, np.int64)
+    np.add.at(out, index, values)
+    return out
 
 
 def _member(values: np.ndarray, sorted_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether values are among sorted ones, and where."""
     if not len(sorted_):
         return np.zeros(len(values), bool), np.zeros(len(values), np.int64)
     k = np.minimum(np.searchsorted(sorted_, values), len(sorted_) - 1)
@@ -124,196 +99,333 @@ def _member(values: np.ndarray, sorted_: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def _range_of(hash_: np.ndarray, n: int) -> np.ndarray:
-    return ((hash_ >> U(32)) * U(n) >> U(32)).astype(np.int64)
+    return ((mix(hash_) >> U(32)) * U(n) >> U(32)).astype(np.int64)
+
+
+def _parts(sorted_: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """Value, begin and end of each run of equal values."""
+    begin = np.flatnonzero(_new(sorted_)).tolist()
+    return zip(sorted_[begin].tolist(), begin, [*begin[1:], len(sorted_)], strict=True)
+
+
+def _of_counts(counts: np.ndarray) -> np.ndarray:
+    """How many are 0, 1 to LARGEST + 1, and more."""
+    return np.bincount(np.minimum(counts, LARGEST + 2).astype(np.int64), minlength=LARGEST + 3)
+
+
+def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    size = 0
+    for batch in blocks(batches, limit=SAMPLE_TEXT):
+        word, n = np.unique(tokens(batch.column("text"))[0], return_counts=True)
+        often = (n * COMMON >= n.sum()) & (word != END)
+        yield pa.RecordBatch.from_arrays([pa.array(word[often].view(np.int64)), pa.array(n[often])], ["word", "n"])
+        size += batch.column("text").nbytes
+        if size >= SAMPLE_TEXT:
+            return
+
 
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held, size, seq = [], 0, 0
 
-def _collect(common: np.ndarray, n_ranges: int):
-    """Chunks of documents to ranges of words."""
+    def done() -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        hashes, count = tokens(rows.column("text").combine_chunks())
+        word, token, n = np.unique(hashes, return_inverse=True, return_counts=True)
+        by = np.argsort(-n, kind="stable")  # frequent words get small numbers
+        rank = np.empty(len(by), np.int64)
+        rank[by] = np.arange(len(by))
+        ids = np.asarray(pa.compute.fill_null(rows.column("doc_id"), -1)).astype(np.int64)
+        data = pack_typed(ids, np.asarray(rows.column("doc_id").is_null()), np.asarray(rows.column("held_out")), narrow(count), word[by], narrow(rank[token]))
+        return pa.RecordBatch.from_arrays([pa.array([(TaskContext.get().partitionId() << 24) + seq], pa.int64()), pa.array([size], pa.int64()), pa.array([data], pa.binary())], ["chunk", "bytes", "data"])
 
+    for batch in blocks(batches):
+        held.append(batch)
+        size += batch.column("text").nbytes
+        if size >= CHUNK_TEXT:
+            yield done()
+            held, size, seq = [], 0, seq + 1
+    if held:
+        yield done()
+
+
+class Chunk:
+    """Documents as numbers of the chunk's own words; a start mark has the number after the last word's."""
+
+    def __init__(self, data, common: np.ndarray, n: int):
+        self.ids, self.null, self.out, count, self.word, token = unpack_typed(data)
+        self.n, self.count, self.token = n, count.astype(np.int64), token.astype(np.int64)
+        self.first = np.cumsum(self.count) - self.count
+        self.train = np.repeat(~self.out, self.count)
+        start = len(self.word)
+        self.b = np.append(start, self.token[:-1])
+        self.b[self.first] = start
+        self.a = np.append(start, self.b[:-1])
+        self.a[self.first] = start
+        self.common, k = _member(np.append(self.word, START), common)
+        self.common[-1] = False
+        self.k = np.where(self.common, k, 0)
+        # words in order of their ranges
+        range_ = _range_of(self.word, n)
+        self.by = np.argsort(range_, kind="stable")
+        self.range = range_[self.by]
+        self.place = np.empty(len(self.by), np.int64)
+        self.place[self.by] = np.arange(len(self.by))
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Each distinct pair of a common word and the next, as (place of the next) * 2 ** 32 + number of the common word, in order; and its training count."""
+        at = np.flatnonzero(self.common[self.b])
+        key, inverse = np.unique(self.place[self.token[at]] << 32 | self.k[self.b[at]], return_inverse=True)
+        return key, np.bincount(inverse, self.train[at], len(key)).astype(np.int64)
+
+    def grams(self) -> None:
+        """Distinct trigrams in order of range, middle, first and last word. which: of each token, its trigram."""
+        hashes = np.append(self.word, START)
+        b_hash = hashes[self.b]
+        range_ = _range_of(np.where(self.common[self.b], b_hash ^ mix(hashes[self.a]), b_hash), self.n)
+        high, low = range_ << 32 | self.b, self.a << 32 | self.token
+        order = np.lexsort((low, high))
+        new = _new(high[order], low[order])
+        self.which = np.empty(len(order), np.int64)
+        self.which[order] = np.cumsum(new) - 1
+        at = order[new]
+        self.gram_range, self.gram_b, self.gram_a, self.gram_w = range_[at], self.b[at], self.a[at], self.token[at]
+        self.gram_n = np.bincount(self.which, self.train, len(at)).astype(np.int64)
+
+
+def _rows(rows: list[tuple], schema: tuple[str, ...]) -> pa.RecordBatch:
+    kinds = {"range": pa.int64(), "chunk": pa.int64(), "kind": pa.int32(), "data": pa.binary()}
+    cols = list(zip(*rows, strict=True)) or [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[name]) for c, name in zip(cols, schema, strict=True)], list(schema))
+
+
+_MESSAGE, _ANSWER = ("range", "chunk", "data"), ("chunk", "kind", "range", "data")
+
+
+def _ask_words(common: np.ndarray, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, seq = [], 0, 0
-
-        def done() -> Iterator[pa.RecordBatch]:
-            chunk = (TaskContext.get().partitionId() << 24) + seq
-            rows = pa.Table.from_batches(held).combine_chunks()
-            own = Tokens(rows.column("text").combine_chunks())
-            out = np.asarray(rows.column("held_out"))
-            ids = np.asarray(pa.compute.fill_null(rows.column("doc_id"), -1)).astype(np.int64)
-            yield _part([(DOCS, -1 - chunk, chunk, pack(ids, np.asarray(rows.column("doc_id").is_null()), out, own.count.astype(np.int64)))])
-            is_common, _ = _member(own.word, common)
-            place = np.where(is_common, mix(own.word ^ mix(own.history)), own.word)
-            range_ = _range_of(place, n_ranges)
-            order = np.lexsort((own.history, own.word, range_.astype(np.uint32)))
-            word, history, text, range_ = own.word[order], own.history[order], own.text[order], range_[order]
-            del order, place, is_common
-            new = _new(range_, word, history)
-            at = np.flatnonzero(new)
-            n_pair = np.diff(np.append(at, len(word))).astype(np.uint32)
-            pair_word, pair_history, pair_range = word[at], history[at], range_[at]
-            small = np.uint16 if rows.num_rows < 1 << 16 else np.uint32
-            mask = np.packbits(~out)
-            edges = np.searchsorted(pair_range, np.arange(n_ranges + 1))
-            for r in np.flatnonzero(np.diff(edges)):
-                a, b = edges[r], edges[r + 1]
-                w_new = np.flatnonzero(_new(pair_word[a:b]))
-                where = at[a], at[b] if b < len(at) else len(word)
-                yield _part([(0, int(r), chunk, pack(np.array([rows.num_rows, small().itemsize]), mask, pair_word[a:b][w_new], np.diff(np.append(w_new, b - a)).astype(np.uint32), pair_history[a:b], n_pair[a:b], text[where[0] : where[1]].astype(small)))])
-
-        for batch in blocks(batches, limit=1 << 20):
-            held.append(batch)
-            size += batch.column("text").nbytes
-            if size >= CHUNK_TEXT:
-                yield from done()
-                held, size, seq = [], 0, seq + 1
-        if held:
-            yield from done()
+        for batch in batches:
+            for chunk, data in zip(batch.column("chunk").to_pylist(), batch.column("data"), strict=True):
+                own = Chunk(data.as_buffer(), common, n)
+                c = np.bincount(own.token, own.train, len(own.word)).astype(np.int64)[own.by]
+                key, count = own.pairs()
+                word = own.word[own.by]
+                for r, x, y in _parts(own.range):
+                    i, j = np.searchsorted(key, [x << 32, y << 32])
+                    yield _rows([(r, chunk, pack_typed(word[x:y], narrow(c[x:y]), narrow((key[i:j] >> 32) - x), narrow(key[i:j] & 0xFFFFFFFF), narrow(count[i:j])))], _MESSAGE)
 
     return run
 
 
-def _part(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
-    cols = list(zip(*rows, strict=True)) or [(), (), (), ()]
-    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.binary())], NAMES)
+def _answer_words(common: np.ndarray, n: int):
+    """Number and count of each word, and the count of each pair with a common word before it."""
+
+    def run(asked: pa.Table) -> pa.Table:
+        parts = [unpack_typed(d.as_buffer()) for d in asked.column("data").combine_chunks()]
+        range_ = asked.column("range")[0].as_py()
+        size, pairs = [len(p[0]) for p in parts], [len(p[2]) for p in parts]
+        word, inverse = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        c1 = _total(inverse, np.concatenate([p[1] for p in parts]).astype(np.int64), len(word))
+        number = np.empty(len(word), np.int64)
+        number[np.lexsort((word, -c1))] = np.arange(len(word)) * n + range_ + 1
+        of = inverse[np.concatenate([p[2].astype(np.int64) for p in parts]) + np.repeat(np.cumsum(size) - size, pairs)]
+        key, which = np.unique(of << 32 | np.concatenate([p[3].astype(np.int64) for p in parts]), return_inverse=True)
+        c2 = _total(which, np.concatenate([p[4] for p in parts]).astype(np.int64), len(key))
+        # parts of the common words' normalisers: counts of counts after them, and of the counts of the words after them
+        k, after = key & 0xFFFFFFFF, c1[key >> 32]
+        seen = c2 > 0
+        column = lambda test, x=None: _total(k[seen & test], 1 if x is None else x[seen & test], len(common))
+        is_common, at = _member(word, common)
+        own = _total(at[is_common], c1[is_common], len(common))
+        table = [own, *(column(c2 == r) for r in range(1, LARGEST + 1)), *(column(after == r) for r in range(1, LARGEST + 1)), column(after > LARGEST, after)]
+        stats = np.concatenate((_of_counts(c1), _of_counts(c2), [c1.sum(), (c1 > 0).sum()])).astype(np.int64)
+        rows = [(range_, STATS, -1, pack_typed(stats)), (range_, PARTS, -1, pack_typed(np.concatenate(table)))]
+        cut, cut2 = np.cumsum(size)[:-1], np.cumsum(pairs)[:-1]
+        answers = zip(asked.column("chunk").to_pylist(), np.split(number[inverse], cut), np.split(c1[inverse], cut), np.split(c2[which], cut2), strict=True)
+        return pa.Table.from_batches([_rows(rows + [(chunk, WORDS, range_, pack_typed(*map(narrow, x))) for chunk, *x in answers], _ANSWER)])
 
+    return run
 
-def _evaluate(common: np.ndarray, counts: np.ndarray, n_ranges: int):
-    """A range of words: sums of counts, and answers for each chunk."""
 
-    def run(key: tuple, rows: pa.Table) -> pa.Table:
-        if key[0].as_py() < 0:  # a chunk's own list of documents
-            return rows.select(NAMES)
-        chunks = rows.column("other").to_pylist()
-        parts = []
-        for data in rows.column("data").combine_chunks():
-            head, mask, word, n_word, history, n, text = unpack(data.as_buffer(), "<i8", "u1", "<u8", "<u4", "<u8", "<u4", "u1")
-            text = text.view("<u2" if head[1] == 2 else "<u4")
-            train = np.unpackbits(mask)[: head[0]].astype(bool)
-            first = np.cumsum(n, dtype=np.int64) - n
-            parts.append((int(head[0]), np.repeat(word, n_word), history, n, text, np.add.reduceat(train[text].astype(np.int64), first) if len(n) else n))
-        word, history, trained = (np.concatenate([p[k] for p in parts]) for k in (1, 2, 5))
-        order = np.lexsort((history, word))
-        new = _new(word[order], history[order])
-        which = np.empty(len(order), np.int64)
-        which[order] = np.cumsum(new) - 1
-        pairs = _sum_by(trained[order], new)
-        pair_word, pair_history = word[order[new]], history[order[new]]
-        del order
-        w_new = _new(pair_word)
-        which_word = np.cumsum(w_new) - 1
-        words = _sum_by(pairs, w_new)
-        is_common, k = _member(pair_word[w_new], common)
-        words[is_common] = counts[k[is_common]]
-        c_word = words[which_word]
-
-        out = [(STATS, -1, -1, pack(np.append(np.bincount(np.minimum(pairs, LARGEST + 2), minlength=LARGEST + 3), (words[~is_common] > 0).sum()).astype(np.int64)))]
-        # parts of each history's normaliser: counts of counts, number and sum of larger counts, the seen words' own counts
-        seen = np.flatnonzero(pairs)
-        by = seen[np.argsort(pair_history[seen], kind="stable")]
-        h_new = _new(pair_history[by])
-        r = pairs[by]
-        columns = [_sum_by((r == j).astype(np.int64), h_new) for j in range(1, LARGEST + 1)]
-        columns += [_sum_by(x, h_new) for x in ((r > LARGEST).astype(np.int64), np.where(r > LARGEST, r, 0), c_word[by] + 1)]
-        out += _send(WEIGHTS, pair_history[by][h_new], columns, common, n_ranges, range(SALTS))
-
-        log_word, log_pair = np.log10(c_word + 1.0), np.where(pairs > LARGEST, np.log10(np.maximum(pairs - TAIL, 1)), 0.0)
-        log_history = np.where((pair_word != END) & (c_word > 0), -np.log10(np.maximum(c_word, 1)), 0.0)
-        known = c_word > 0
-        at = 0
-        for chunk, (n_docs, own_word, own_history, n, text, _) in zip(chunks, parts, strict=True):
-            of = which[at : at + len(own_word)]
-            at += len(own_word)
-            each = np.repeat(of, n)
-            add = lambda x: np.bincount(text, x[each], minlength=n_docs)  # noqa: B023, E731
-            unseen = pairs == 0
-            sums = [add(log_word), add(log_pair + log_history + np.where(unseen, log_word, 0.0))]
-            numbers = [add(known), add(unseen), *(add(pairs == j) for j in range(1, LARGEST + 1))]
-            out.append((SUMS, chunk, -1, pack(*sums, *(x.astype(np.uint32) for x in numbers))))
-            ask = unseen[each]
-            if ask.any():
-                own = np.repeat(own_history, n)[ask]
-                out += _send(REQUESTS, own, [text[ask].astype(np.int64)], common, n_ranges, [chunk % SALTS], chunk)
-        return pa.Table.from_batches([_part(out)])
+def _heard(answers: pa.Table, kind: int) -> list[list[np.ndarray]]:
+    own = answers.filter(pa.compute.equal(answers.column("kind"), kind)).sort_by("range")
+    return [unpack_typed(d.as_buffer()) for d in own.column("data").combine_chunks()] if own.num_rows else []
+
+
+def _open(chunks: pa.Table, answers: pa.Table, common: np.ndarray, n: int) -> tuple[Chunk, np.ndarray, np.ndarray, np.ndarray]:
+    """A chunk; number and count of each of its words, the start mark's last; counts of its pairs with common words."""
+    own = Chunk(chunks.column("data")[0].as_buffer(), common, n)
+    heard = _heard(answers, WORDS)
+    number, c1 = np.zeros(len(own.word) + 1, np.int64), np.zeros(len(own.word) + 1, np.int64)
+    number[own.by], c1[own.by] = (np.concatenate([h[i] for h in heard]) for i in range(2))
+    return own, number, c1, np.concatenate([h[2].astype(np.int64) for h in heard])
+
+
+def _ask_grams(common: np.ndarray, n: int):
+    def run(chunks: pa.Table, answers: pa.Table) -> pa.Table:
+        if not chunks.num_rows:
+            return pa.Table.from_batches([_rows([], _MESSAGE)])
+        chunk = chunks.column("chunk")[0].as_py()
+        own, number, c1, pair_n = _open(chunks, answers, common, n)
+        own.grams()
+        key, _ = own.pairs()
+        b, a, w, count = own.gram_b, own.gram_a, own.gram_w, own.gram_n
+        c2 = np.zeros(len(b), np.int64)
+        often = np.flatnonzero(own.common[b])
+        c2[often] = pair_n[np.searchsorted(key, own.place[w[often]] << 32 | own.k[b[often]])]
+        rows = []
+        for r, x, y in _parts(own.gram_range):
+            new_b = _new(b[x:y])
+            new_a = new_b | _new(a[x:y])
+            at_b, at_a = np.flatnonzero(new_b), np.flatnonzero(new_a)
+            words, code = np.unique(w[x:y], return_inverse=True)
+            k = np.where(own.common[b[x:y][at_b]], own.k[b[x:y][at_b]] + 1, 0)
+            arrays = [number[b[x:y][at_b]], k, np.diff(np.append(at_b, y - x)), number[a[x:y][at_a]], np.diff(np.append(at_a, y - x)), number[words], c1[words], code, count[x:y], c2[x:y]]
+            rows.append((r, chunk, pack_typed(*map(narrow, arrays))))
+        return pa.Table.from_batches([_rows(rows, _MESSAGE)])
 
     return run
 
 
-def _send(kind: int, history: np.ndarray, columns: list[np.ndarray], common: np.ndarray, n_ranges: int, salts, other: int = -1) -> list[tuple[int, int, int, bytes]]:
-    """Entries, keyed by hash of history, to its range; those of common words once for each of salts, which is part of their key."""
-    is_common, _ = _member(history, np.sort(np.append(common, START)))
-    keep, keys = [np.flatnonzero(~is_common)], []
-    keys.append(mix(history[keep[0]] + U(0x9D)))
-    for s in salts:
-        keep.append(np.flatnonzero(is_common))
-        keys.append(mix(history[keep[-1]] + U((0x9E3779B97F4A7C15 * (s + 1) + 0xB7) % (1 << 64))))
-    at, keys = np.concatenate(keep), np.concatenate(keys)
-    order = np.argsort(keys)
-    at, keys = at[order], keys[order]
-    edges = np.searchsorted(_range_of(keys, n_ranges), np.arange(n_ranges + 1))
-    return [(kind, int(r), other, pack(keys[edges[r] : edges[r + 1]], *(c[at[edges[r] : edges[r + 1]]] for c in columns))) for r in np.flatnonzero(np.diff(edges))]
+class Grams:
+    """A range's distinct trigrams in order of middle, first and last word, with their pairs of middle and last word."""
+
+    def __init__(self, messages: list):
+        parts = []
+        for data in messages:
+            b, k, n_b, a, n_a, words, c1, code, n, c2 = (x.astype(np.int64) for x in unpack_typed(data))
+            parts.append((np.repeat(b, n_b), np.repeat(a, n_a), words[code], np.repeat(k, n_b), c1[code], n, c2))
+        self.size = [len(p[0]) for p in parts]
+        b, a, w, k, c1, n, c2 = (np.concatenate([p[i] for p in parts]) for i in range(7))
+        del parts
+        order = np.lexsort((w, a, b))
+        new = _new(b[order], a[order], w[order])
+        self.which = np.empty(len(order), np.int64)
+        self.which[order] = np.cumsum(new) - 1
+        at = order[new]
+        self.c3 = _sum_by(n[order], new)
+        b, a, w, k, c1, c2 = b[at], a[at], w[at], k[at], c1[at], c2[at]
+        self.history = np.cumsum(_new(b, a)) - 1
+        of_b = np.cumsum(_new(b)) - 1
+        order = np.lexsort((w, of_b))
+        new = _new(of_b[order], w[order])
+        self.pair = np.empty(len(order), np.int64)
+        self.pair[order] = np.cumsum(new) - 1
+        at = order[new]
+        self.pair_b, self.pair_c1, self.pair_k = of_b[at], c1[at], k[at]
+        self.c2 = np.where(self.pair_k > 0, c2[at], _sum_by(self.c3[order], new))
+
+    def stats(self) -> np.ndarray:
+        """Counts of counts of pairs, but those of common words, and of trigrams."""
+        return np.concatenate((_of_counts(self.c2[self.pair_k == 0]), _of_counts(self.c3))).astype(np.int64)
+
+    def log10(self, model: Model) -> np.ndarray:
+        """Of each trigram, log10 P(w | a b)."""
+        p1 = model.p1(self.pair_c1)
+        n = int(self.pair_b[-1]) + 1
+        k = np.zeros(n, np.int64)
+        k[self.pair_b] = self.pair_k
+        own = [np.bincount(self.pair_b, x, n) for x in (self.c2, model.freed(2, self.c2), np.where(self.c2 > 0, p1, 0.0))]
+        p2 = backed(self.pair_b, self.c2, model.kept(2, self.c2), *(np.where(k > 0, x[k - 1], o) if len(x) else o for x, o in zip(model.common, own, strict=True)), p1)
+        lower = p2[self.pair]
+        n = int(self.history[-1]) + 1
+        sums = [np.bincount(self.history, x, n) for x in (self.c3, model.freed(3, self.c3), np.where(self.c3 > 0, lower, 0.0))]
+        return np.log10(np.maximum(backed(self.history, self.c3, model.kept(3, self.c3), *sums, lower), 1e-300))
+
+
+def backed(history: np.ndarray, count: np.ndarray, kept: np.ndarray, total: np.ndarray, freed: np.ndarray, seen: np.ndarray, lower: np.ndarray) -> np.ndarray:
+    """P(w | h) of n-grams. total, freed, seen: of each history, its count, what its n-grams leave of that, and the lower probability of the words seen."""
+    full = (freed <= 0) & (total > 0)
+    total, freed = total + full, np.where(full, 1.0, freed)
+    alpha = np.where(total > 0, freed / np.maximum(total, 1) / np.maximum(1 - seen, 1e-300), 1.0)
+    return np.where(count > 0, kept / np.maximum(total, 1)[history], alpha[history] * lower)
+
+
+class Model:
+    """Discounts of the three orders, and what is known of common words.
+
+    of_counts: of each order, how many n-grams are seen 1 to LARGEST + 1 times. parts: of each common word, what _answer_words sums.
+    """
+
+    def __init__(self, of_counts: list[list[int]], n: int, parts: np.ndarray):
+        self.d = [np.array([0.0, *discounts(x), 1.0]) for x in of_counts]
+        freed = sum(r * x * (1 - self.d[0][r]) for r, x in enumerate(of_counts[0][:LARGEST], 1))
+        self.n, self.unknown = (n, freed / n) if freed > 0 else (n + 1, 1 / (n + 1))
+        r = np.arange(1, LARGEST + 1)
+        weight = lambda order: r * self.d[order - 1][r]
+        after, words = parts[1 : LARGEST + 1], parts[LARGEST + 1 : 2 * LARGEST + 1]
+        self.common = (parts[0], ((r - weight(2))[:, None] * after).sum(0), ((weight(1)[:, None] * words).sum(0) + parts[-1]) / self.n)
+
+    def kept(self, order: int, count: np.ndarray) -> np.ndarray:
+        return count * self.d[order - 1][np.minimum(count, LARGEST + 1)]
+
+    def freed(self, order: int, count: np.ndarray) -> np.ndarray:
+        return count * (1 - self.d[order - 1][np.minimum(count, LARGEST + 1)])
+
+    def p1(self, count: np.ndarray) -> np.ndarray:
+        return np.where(count > 0, self.kept(1, count) / self.n, self.unknown)
 
 
 def discounts(of_counts: list[int]) -> list[float]:
-    """d(1) to d(LARGEST) from the numbers of pairs seen 1 to LARGEST + 1 times, by Katz."""
+    """d(1) to d(LARGEST) from the numbers of n-grams seen 1 to LARGEST + 1 times, by Katz."""
     n = [0, *of_counts]
     absolute = n[1] / (n[1] + 2 * n[2]) if n[1] and n[2] else 0.5
     common = (LARGEST + 1) * n[LARGEST + 1] / n[1] if n[1] else 1.0
     out = []
     for r in range(1, LARGEST + 1):
         d = ((r + 1) * n[r + 1] / (r * n[r]) - common) / (1 - common) if n[r] and common < 1 else 0.0
-        out.append(d if 0 < d <= 1 else (r - absolute) / r)
+        out.append(d if 0 < d < 1 else (r - absolute) / r)
     return out
 
 
-def _weigh(d: list[float], total: int):
-    """A range of histories: log10 of alpha(h) * c(h), added up for the documents that ask. total: N + V + 1."""
-
-    def run(rows: pa.Table) -> pa.Table:
-        kind = np.asarray(rows.column("kind"))
-        data = rows.column("data").combine_chunks()
-        own = [unpack(data[i].as_buffer(), *["<u8"] + ["<i8"] * (LARGEST + 3)) for i in np.flatnonzero(kind == WEIGHTS)]
-        if own:
-            history, *columns = (np.concatenate([o[k] for o in own]) for k in range(LARGEST + 4))
-        else:
-            history, columns = np.zeros(0, U), [np.zeros(0, np.int64)] * (LARGEST + 3)
-        order = np.argsort(history, kind="stable")
-        new = _new(history[order])
-        known = history[order][new]
-        *of_counts, n_larger, _, seen_words = (_sum_by(c[order], new) for c in columns)
-        freed = sum((1 - d[j]) * (j + 1) * x for j, x in enumerate(of_counts)) + TAIL * n_larger  # of c(h), what the discounts leave
-        rest = (total - seen_words) / total
-        weight = np.log10(np.maximum(freed / rest, 1e-300))  # alpha(h) * c(h)
-        out = []
-        for i in np.flatnonzero(kind == REQUESTS):
-            asked, text = unpack(data[i].as_buffer(), "<u8", "<i8")
-            found, k = _member(asked, known)
-            value = np.where(found, weight[k] if len(known) else 0.0, 0.0)
-            texts, inverse = np.unique(text, return_inverse=True)
-            out.append((REQUESTS, rows.column("other")[int(i)].as_py(), -1, pack(texts, np.bincount(inverse, value))))
-        return pa.Table.from_batches([_part(out)])
+def _gather(asked: pa.Table) -> pa.Table:
+    """A range's messages as one row, with its counts of counts."""
+    data = [d.as_buffer() for d in asked.column("data").combine_chunks()]
+    stats = pack_typed(Grams(data).stats())
+    return pa.table({"chunks": pa.array([asked.column("chunk").to_pylist()], pa.list_(pa.int64())), "messages": pa.array([[d.as_py() for d in asked.column("data")]], pa.list_(pa.binary())), "range": asked.column("range")[:1], "stats": pa.array([stats], pa.binary())})
+
+
+def _evaluate(model: Model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunks, messages, range_ in zip(batch.column("chunks").to_pylist(), batch.column("messages"), batch.column("range").to_pylist(), strict=True):
+                own = Grams([d.as_buffer() for d in messages.values])
+                value = own.log10(model)[own.which]
+                for chunk, part in zip(chunks, np.split(value, np.cumsum(own.size)[:-1]), strict=True):
+                    known, code = np.unique(part, return_inverse=True)
+                    yield _rows([(chunk, GRAMS, range_, pack_typed(known, narrow(code)))], _ANSWER)
 
     return run
 
 
-def _finish(d: list[float], total: int, train_tokens: int, train_docs: int):
-    unit, logs = math.log10(total), [math.log10(x * (j + 1)) for j, x in enumerate(d)]
+SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
-    def run(rows: pa.Table) -> pa.Table:
-        kind, data = np.asarray(rows.column("kind")), rows.column("data").combine_chunks()
-        ids, null, out, count = unpack(data[int(np.flatnonzero(kind == DOCS)[0])].as_buffer(), "<i8", "?", "?", "<i8")
-        base, score, known = np.zeros(len(ids)), np.full(len(ids), -math.log10(train_docs) if train_docs else 0.0), np.zeros(len(ids), np.int64)
-        for i in np.flatnonzero(kind == SUMS)[np.argsort(np.asarray(rows.column("other"))[kind == SUMS], kind="stable")]:
-            words, pairs, n_known, n_unseen, *n = unpack(data[int(i)].as_buffer(), "<f8", "<f8", *["<u4"] * (LARGEST + 2))
-            base += words
-            known += n_known
-            score += pairs - n_unseen * unit + sum(x * logs[j] for j, x in enumerate(n))
-        for i in np.flatnonzero(kind == REQUESTS):
-            texts, value = unpack(data[int(i)].as_buffer(), "<i8", "<f8")
-            np.add.at(score, texts, value)
-        return pa.table({"doc_id": pa.array(ids, mask=null), "held_out": pa.array(out), "n_tokens": pa.array(count), "n_known": pa.array(known), "train_tokens": pa.array(np.full(len(ids), train_tokens)), "base_score": pa.array(base - count * unit), "score": pa.array(score)})
+
+def _finish(common: np.ndarray, n: int, train_tokens: int, distinct: int):
+    unit = math.log10(train_tokens + distinct + 1)
+
+    def run(chunks: pa.Table, answers: pa.Table) -> pa.Table:
+        own, _, c1, _ = _open(chunks, answers, common, n)
+        own.grams()
+        value = np.concatenate([known[code] for known, code in _heard(answers, GRAMS)])[own.which]
+        c = c1[own.token]
+        base, score = (np.add.reduceat(x, own.first) for x in (np.log10(c + 1.0) - unit, value))
+        known = np.add.reduceat((c > 0).astype(np.int64), own.first)
+        cols = [pa.array(own.ids, mask=own.null), pa.array(own.out), pa.array(own.count), pa.array(known), pa.array(np.full(len(own.ids), train_tokens)), pa.array(base), pa.array(score)]
+        return pa.table(cols, [x.split()[0] for x in SCORED.split(", ")])
 
     return run
 
 
+def _add(rows: pa.Table) -> pa.Table:
+    return pa.table({"data": pa.array([pack_typed(reduce(np.add, (unpack_typed(d.as_buffer())[0] for d in rows.column("data").combine_chunks())))], pa.binary())})
+
+
+def _added(rows: DataFrame) -> np.ndarray | None:
+    """The sum of packed arrays, one of each row, in two steps: 64 of them at most reach the driver."""
+    own = [unpack_typed(r.data)[0] for r in rows.groupBy(F.pmod("range", F.lit(64)).alias("part")).applyInArrow(lean(_add, 1), "data binary").collect()]
+    return reduce(np.add, own) if own else None
+
+
 def score(docs: DataFrame, held_out=None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs.
 
@@ -324,24 +436,25 @@ def score(docs: DataFrame, held_out=None) -> DataFrame:
     if held_out is None:
         held_out = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(7)) == 2
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), held_out.alias("held_out"))
-    sampled = own.select("text").mapInArrow(_common, "word long, n long, total long").groupBy("word").agg(F.sum("n").alias("n"), F.max("total").alias("most")).orderBy(F.desc("n"), "word").limit(4 * COMMON).collect()
+    sampled = own.select("text").mapInArrow(lean(_common), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(4 * COMMON).collect()
     common = np.unique(np.array([r.word for r in sampled], np.int64).view(U))
-    exact = {r.k: r.n for r in own.select("text", "held_out").mapInArrow(_exact(common), "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect()}
-    counts = np.array([exact.get(k, 0) for k in range(len(common))], np.int64)
-    train_tokens, train_docs = exact.get(-1, 0), exact.get(-2, 0)
-    n_bytes = own.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
-    n = max(1, -(-n_bytes // RANGE_TEXT))
-
-    asked = own.mapInArrow(_collect(common, n), PART)
-    parts = stage(asked.groupBy("key").applyInArrow(_evaluate(common, counts, n), PART), "ranges")
-    stats = np.zeros(LARGEST + 4, np.int64)
-    for r in parts.where(F.col("kind") == STATS).select("data").collect():  # one small row for each range
-        stats += unpack(r.data, "<i8")[0]
-    distinct = int(stats[-1] + (counts > 0).sum())
-    d = discounts(stats[1 : LARGEST + 2].tolist())
-    total = train_tokens + distinct + 1
-    weights = parts.where(F.col("kind").isin(WEIGHTS, REQUESTS)).groupBy("key").applyInArrow(_weigh(d, total), PART)
-    answers = parts.where(F.col("kind") == SUMS).unionByName(weights).select("kind", F.col("key").alias("chunk"), "other", "data")
-    lists = parts.where(F.col("kind") == DOCS).select("kind", F.col("other").alias("chunk"), "other", "data")
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return lists.unionByName(answers).groupBy("chunk").applyInArrow(_finish(d, total, train_tokens, train_docs), schema)
+    chunks = stage(own.mapInArrow(lean(_chunks), "chunk long, bytes long, data binary"), "chunks")
+    n = max(1, -(-chunks.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0] // RANGE_TEXT))
+    chunks = chunks.select("chunk", "data")
+
+    asked = chunks.mapInArrow(lean(_ask_words(common, n)), MESSAGE)
+    words = stage(asked.groupBy("range").applyInArrow(lean(_answer_words(common, n), 1), ANSWER), "words")
+    sums = lambda kind: _added(words.where(F.col("kind") == kind).select(F.col("chunk").alias("range"), "data"))
+    stats, parts = sums(STATS), sums(PARTS)
+    if stats is None:
+        return spark.createDataFrame([], SCORED)
+    train_tokens, distinct = int(stats[-2]), int(stats[-1])
+    words = words.where(F.col("kind") == WORDS)
+    asked = chunks.groupBy("chunk").cogroup(words.groupBy("chunk")).applyInArrow(lean(_ask_grams(common, n), 2), MESSAGE)
+    grams = stage(asked.groupBy("range").applyInArrow(lean(_gather, 1), "chunks array<long>, messages array<binary>, range long, stats binary"), "grams")
+    more = _added(grams.select("range", F.col("stats").alias("data")))
+    width = LARGEST + 3
+    of = [stats[:width], stats[width : 2 * width] + more[:width], more[width:]]
+    model = Model([x[1 : LARGEST + 2].tolist() for x in of], train_tokens, parts.reshape(2 * LARGEST + 2, len(common)))
+    answers = grams.select("chunks", "messages", "range").mapInArrow(lean(_evaluate(model)), ANSWER).unionByName(words)
+    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(lean(_finish(common, n, train_tokens, distinct), 2), SCORED)

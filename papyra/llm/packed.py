@@ -36,3 +36,22 @@ def unpack(data, *types: str) -> list[np.ndarray]:
         at += stored
         out.append(np.frombuffer(part if stored == n else _CODEC.decompress(part, n), kind))
     return out
+
+
+_KINDS = ["u1", "<u2", "<u4", "<u8", "<i8", "<f8", "?"]
+
+
+def narrow(a: np.ndarray) -> np.ndarray:
+    """The same numbers, none negative, in as few bytes as hold them."""
+    top = int(a.max()) if len(a) else 0
+    return a.astype(next(k for k, bits in zip(_KINDS, (8, 16, 32, 64), strict=False) if top < 1 << bits))
+
+
+def pack_typed(*arrays: np.ndarray) -> bytes:
+    """As pack, with the arrays' types."""
+    return bytes([len(arrays), *(_KINDS.index(next(k for k in _KINDS if np.dtype(k) == a.dtype)) for a in arrays)]) + pack(*arrays)
+
+
+def unpack_typed(data) -> list[np.ndarray]:
+    view = memoryview(data)
+    return unpack(view[1 + view[0] :], *(_KINDS[k] for k in view[1 : 1 + view[0]]))

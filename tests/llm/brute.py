@@ -120,35 +120,58 @@ def held_out(d):
     return zlib.crc32(str(d).encode()) % 7 == 2
 
 
-def katz(docs, discounts, largest=5, tail=0.5):
-    """discounts: of the numbers of pairs seen 1, 2 ... times."""
-    tokens = {d: [*spaced(t, True), "\0end"] for d, t in docs}
-    uni, pair = Counter(), Counter()
-    starts = 0
-    for d, w in tokens.items():
+def good_turing(counts, largest=5):
+    """r to the count that is kept of r, from the counts of all n-grams of one order; by Katz's formula, else absolute discounting."""
+    of = Counter(counts)
+    b = of[1] / (of[1] + 2 * of[2]) if of[1] and of[2] else 0.5
+    kept = {}
+    for r in range(1, largest + 1):
+        kept[r] = r - b
+        if of[r] and of[1] and of[1] != (largest + 1) * of[largest + 1]:
+            star = (r + 1) * of[r + 1] / of[r]
+            cut = (largest + 1) * of[largest + 1] / of[1]
+            if cut < 1 and 0 < (x := (star / r - cut) / (1 - cut)) < 1:
+                kept[r] = x * r
+    return lambda r: kept.get(r, r)
+
+
+def katz(docs):
+    """Rows of the query, P(w | a b), and the training words' counts."""
+    tokens = {d: ["\0start", "\0start", *spaced(t, True), "\0end"] for d, t in docs}
+    grams = [Counter(), Counter(), Counter()]
+    for d, t in tokens.items():
         if not held_out(d):
-            uni.update(w)
-            pair.update(zip(["\0start", *w], w))
-            starts += 1
-    n, v = sum(uni.values()), len(uni)
-    total = n + v + 1
-    of = Counter(pair.values())
-    dis = discounts([of[r] for r in range(1, largest + 2)])
-    c_h = Counter()
+            for order in range(3):
+                grams[order].update(tuple(t[i - order : i + 1]) for i in range(2, len(t)))
+    keeps = [good_turing(g.values()) for g in grams]
+    words, n = grams[0], sum(grams[0].values())
+    left = n - sum(map(keeps[0], words.values()))
+    total, left = (n, left) if left > 1e-9 else (n + 1, 1)
     after = defaultdict(list)
-    for (h, w), r in pair.items():
-        c_h[h] += r
-        after[h].append((w, r))
-    kept = lambda r: dis[r - 1] * r if r <= largest else r - tail
-    alpha = {h: (1 - sum(kept(r) for _, r in x) / c_h[h]) / (1 - sum((uni[w] + 1) / total for w, _ in x)) for h, x in after.items()}
-
-    def p(h, w):
-        if r := pair.get((h, w)):
-            return kept(r) / c_h[h]
-        return (uni.get(w, 0) + 1) / total * (alpha[h] if c_h.get(h) else 1)
-
+    for order in (1, 2):
+        for g, r in grams[order].items():
+            after[g[:-1]].append((g[-1], r))
+    history = {}
+
+    def p(*g):
+        if len(g) == 1:
+            return keeps[0](words[g]) / total if words.get(g) else left / total
+        h = g[:-1]
+        if h not in after:
+            return p(*g[1:])
+        if h not in history:
+            c, kept = sum(r for _, r in after[h]), sum(keeps[len(h)](r) for _, r in after[h])
+            c += kept > c - 1e-9
+            history[h] = c, (1 - kept / c) / (1 - sum(p(*h[1:], w) for w, _ in after[h]))
+        c, alpha = history[h]
+        r = grams[len(h)].get(g)
+        return keeps[len(h)](r) / c if r else alpha * p(*g[1:])
+
+    size = n + len(words) + 1
     out = []
     for d, _ in docs:
-        w = tokens[d]
-        out.append((d, held_out(d), len(w), sum(uni.get(x, 0) > 0 for x in w), n, sum(math.log10((uni.get(x, 0) + 1) / total) for x in w), sum(math.log10(p(h, x)) for h, x in zip(["\0start", *w], w))))
-    return out, p, uni
+        t = tokens[d]
+        own = [words.get((w,), 0) for w in t[2:]]
+        score = sum(math.log10(p(*t[i - 2 : i + 1])) for i in range(2, len(t)))
+        out.append((d, held_out(d), len(own), sum(c > 0 for c in own), n, sum(math.log10((c + 1) / size) for c in own), score))
+    return out, p, words

@@ -20,7 +20,7 @@ def test_against_plain(docs, texts, monkeypatch, chunk, span, common):
     monkeypatch.setattr(katz, "CHUNK_TEXT", chunk)
     monkeypatch.setattr(katz, "RANGE_TEXT", span)
     monkeypatch.setattr(katz, "COMMON", common)
-    check(katz.score(docs), brute.katz(texts, katz.discounts)[0])
+    check(katz.score(docs), brute.katz(texts)[0])
 
 
 def test_tables(spark, sf, monkeypatch):
@@ -28,19 +28,27 @@ def test_tables(spark, sf, monkeypatch):
 
     monkeypatch.setattr(katz, "RANGE_TEXT", 100_000)
     read = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
-    want, p, words = brute.katz(read, katz.discounts)
+    want, p, words = brute.katz(read)
     check(op10_katz(spark, sf), want)
-    unknown = 1 / (sum(words.values()) + len(words) + 1)
-    for history in ("\0start", "the", "de", "unseen history", next(iter(words))):
-        rest = p(history, "a word that is not known")
-        assert math.isclose(sum(p(history, w) for w in words) + rest, 1, rel_tol=1e-9), (history, unknown)
+    seen = [h for h in (("\0start", "\0start"), ("\0start", "the"), ("of", "the"), ("unseen", "history"), ("unseen", "de"))]
+    for history in seen:
+        assert math.isclose(sum(p(*history, *w) for w in words) + p(*history, "a word that is not known"), 1, rel_tol=1e-9), history
     held = [w for w in want if w[1]]
     assert sum(w[6] for w in held) > sum(w[5] for w in held) * 1.5
 
 
+def test_copies(spark):
+    """Histories whose n-grams are all frequent still leave weight to what was not seen after them."""
+    data = [(i, "x y z") for i in range(40)] + [(100 + i, "x y q") for i in range(8)] + [(200 + i, f"x{i} y z") for i in range(9)]
+    check(katz.score(spark.createDataFrame(data, "doc_id long, text string")), brute.katz(data)[0])
+
+
 def test_discounts():
     assert katz.discounts([0] * 6) == [(r - 0.5) / r for r in range(1, 6)]
-    assert all(0 < d <= 1 for d in katz.discounts([100, 40, 20, 12, 8, 5])) and all(0 < d <= 1 for d in katz.discounts([1, 500, 0, 3, 0, 9]))
+    assert all(0 < d < 1 for d in katz.discounts([100, 40, 20, 12, 8, 5])) and all(0 < d < 1 for d in katz.discounts([1, 500, 0, 3, 0, 9]))
+    for n in ([100, 40, 20, 12, 8, 5], [9000, 2100, 900, 500, 300, 210], [5, 5, 5, 5, 5, 5]):
+        kept = brute.good_turing([r for r, x in enumerate(n, 1) for _ in range(x)])
+        assert [r * d for r, d in enumerate(katz.discounts(n), 1)] == pytest.approx([kept(r) for r in range(1, 6)]) and kept(6) == 6
 
 
 def test_empty_and_no_training(spark, nothing):
