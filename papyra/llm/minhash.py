@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .dist import lean, ship, stage
-from .graph import components
+from .graph import HUB, components
 from .text import SPACED, U, Words, blocks, mix, rolling
 
 SHINGLE, PERCENT = 5, 75
@@ -115,11 +115,25 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _lists(hash_, first), short], ["doc_id", "shingles", "short"])
 
 
+def _with_set(own: DataFrame, sets: DataFrame, key: str, other: str, pairs: DataFrame, n_pairs: int) -> DataFrame:
+    """own, pairs with further columns, with the set of key as {key}_set. Keys with more than twice the pairs of an even partition are salted by other.
+
+    There are fewer such keys than half of the shuffle partitions; their sets are sent once for each salt.
+    """
+    partitions = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    many = max(HUB, 2 * n_pairs // max(1, partitions))
+    often = pairs.groupBy(F.col(key).alias("often")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > many)
+    often = F.broadcast(stage(often.select("often", F.ceil(F.col("n") / many).cast("int").alias("salts")), "often"))
+    salted = own.join(often, F.col(key) == F.col("often"), "left").select(*own.columns, F.coalesce(F.pmod(F.xxhash64(other), F.col("salts")).cast("int"), F.lit(0)).alias("salt"))
+    held = sets.select(F.col("doc_id").alias("set_id"), F.col("shingles").alias(f"{key}_set")).join(often, F.col("set_id") == F.col("often"), "left")
+    held = held.select("set_id", f"{key}_set", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("set_salt"))
+    return salted.join(held, (F.col(key) == F.col("set_id")) & (F.col("salt") == F.col("set_salt"))).select(*own.columns, f"{key}_set")
+
+
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Those of pairs (a, b) whose full sets overlap enough. sets: doc_id, shingles."""
-    left, right = (sets.select(F.col("doc_id").alias(f"{x}_id"), F.col("shingles").alias(f"{x}_set")) for x in "ab")
-    n_a, n_b = F.size("a_set"), F.size("b_set")
-    both = pairs.join(right, F.col("b") == F.col("b_id")).join(left, F.col("a") == F.col("a_id"))
+    """Those of pairs (a, b), a written table, whose full sets overlap enough. sets: doc_id, shingles."""
+    n_a, n_b, n_pairs = F.size("a_set"), F.size("b_set"), pairs.count()
+    both = _with_set(_with_set(pairs, sets, "b", "a", pairs, n_pairs), sets, "a", "b", pairs, n_pairs)
     both = both.where(100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b))
     common = F.size(F.array_intersect("a_set", "b_set"))
     return both.where(100 * common >= percent * (n_a + n_b - common)).select("a", "b").distinct()
