@@ -9,6 +9,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import pyarrow as pa
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 ROOT = str(Path(__file__).resolve().parents[2])
-_written: list[tuple[SparkSession, str]] = []
+_written: list[tuple[SparkSession, str, str]] = []
 
 
 #: Rows that pass between the JVM and Python at once: long texts make the default of 10,000 too much memory.
@@ -101,20 +102,55 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _shuffle_files_go(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of a write are deleted when it has ended, not when the driver happens to collect garbage."""
+    before = spark.conf.get(_CLEANUP, None)
+    if before is None:  # another version
+        yield
+        return
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
+def _place(spark: SparkSession, name: str, table: str = "") -> str:
     path = f"{shared_dir(spark)}/papyra-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
     if not _written:
         atexit.register(_clean)
-    _written.append((spark, path))
+    _written.append((spark, path, table))
+    return path
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write df as Parquet into the shared folder and read it back: cuts lineage, survives lost executors."""
+    spark = df.sparkSession
+    path = _place(spark, name)
+    with _shuffle_files_go(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stage_by(df: DataFrame, name: str, key: str) -> DataFrame:
+    """As stage, in buckets of key: grouped by key, the rows are read where they lie and only what meets them is shuffled."""
+    spark = df.sparkSession
+    table = f"papyra_{name}_{uuid.uuid4().hex}"
+    path = _place(spark, name, table)
+    with _shuffle_files_go(spark):
+        df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).option("path", path).option("compression", "zstd").saveAsTable(table)
+    return spark.table(table)
+
+
 def _clean() -> None:
-    for spark, path in _written:
+    for spark, path, table in _written:
         try:
+            if table:
+                spark.sql(f"DROP TABLE IF EXISTS {table}")
             jvm = spark.sparkContext._jvm
             where = jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

@@ -14,15 +14,17 @@ counts of counts give no proper discount (0 < d < 1), absolute discounting takes
 whose n-grams are all above LARGEST leaves nothing to others; its c(h) is raised by one. A document's tokens are its words and
 one end; two start marks stand before them.
 
-No text and no table is held in one place. Documents are stored as chunks of word numbers, and chunks exchange packed
-arrays with hash ranges, each distinct entry of a chunk once:
+No text and no table is held in one place. Documents are stored as chunks of word numbers, bucketed so that they stay where they
+are, and chunks exchange packed arrays with hash ranges, each distinct entry of a chunk once:
 
 1. words. A range adds up the counts of its words, and numbers them, frequent ones first. Pairs of a common word and
    the next go along with the next, so that no range holds all pairs of a common word.
 2. n-grams. A chunk sends each distinct trigram with its training count to the range of its middle word, for common
-   middle words to the range of the first two. There all counts that its probability needs lie side by side, with the words' counts from 1;
-   the counts of counts are summed first, then the log-probability of each distinct trigram goes back.
-3. A chunk adds up its documents.
+   middle words to the range of the first two. There all counts that its probability needs lie side by side, with the
+   words' counts from 1. These counts go back, whole numbers that do not depend on the discounts: for a trigram seen in
+   training its own and its history's, for another also how many words were seen how often after its histories.
+3. The counts of counts of all ranges give the discounts, with which a chunk turns counts into probabilities and adds up its
+   documents.
 
 The list of common words comes from a sample and only steers where counts are added up. A frequent pair or trigram comes once
 from each chunk. A chunk sends no more messages than it has distinct trigrams. Words are known by 64 bits of hash.
@@ -44,12 +46,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .dist import lean, ship, stage
+from .dist import lean, ship, stage, stage_by
 from .packed import narrow, pack_typed, unpack_typed
 from .text import SPACED, U, Words, blocks, mix
 
 LARGEST = 5
-CHUNK_TEXT = RANGE_TEXT = 8 << 20
+CHUNK_TEXT, RANGE_TEXT = 16 << 20, 12 << 20
 #: A word is common when it makes up 1 / COMMON of a sample of SAMPLE_TEXT bytes from each task.
 COMMON, SAMPLE_TEXT = 400, 1 << 20
 START, END = U(0x53544152545F5F5F), U(0x454E445F5F5F5F5F)
@@ -318,52 +320,70 @@ class Grams:
         """Counts of counts of pairs, but those of common words, and of trigrams."""
         return np.concatenate((_of_counts(self.c2[self.pair_k == 0]), _of_counts(self.c3))).astype(np.int64)
 
-    def log10(self, model: Model) -> np.ndarray:
-        """Of each trigram, log10 P(w | a b)."""
-        p1 = model.p1(self.pair_c1)
-        n = int(self.pair_b[-1]) + 1
-        k = np.zeros(n, np.int64)
+    def counts(self, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What each trigram's probability is made of: the count of its history and, for trigrams not seen, the columns of FEW and MANY."""
+        total, few, many = _seen(self.history, self.c3, self.c2[self.pair])
+        total_b, few_b, many_b = _seen(self.pair_b, self.c2, self.pair_c1)
+        k = np.zeros(len(total_b), np.int64)
         k[self.pair_b] = self.pair_k
-        own = [np.bincount(self.pair_b, x, n) for x in (self.c2, model.freed(2, self.c2), np.where(self.c2 > 0, p1, 0.0))]
-        p2 = backed(self.pair_b, self.c2, model.kept(2, self.c2), *(np.where(k > 0, x[k - 1], o) if len(x) else o for x, o in zip(model.common, own, strict=True)), p1)
-        lower = p2[self.pair]
-        n = int(self.history[-1]) + 1
-        sums = [np.bincount(self.history, x, n) for x in (self.c3, model.freed(3, self.c3), np.where(self.c3 > 0, lower, 0.0))]
-        return np.log10(np.maximum(backed(self.history, self.c3, model.kept(3, self.c3), *sums, lower), 1e-300))
+        if parts.shape[1]:  # common words' pairs are not all here
+            own = parts[:, k - 1]
+            total_b = np.where(k > 0, own[0], total_b)
+            few_b, many_b = np.where(k > 0, own[1:-1], few_b), np.where(k > 0, own[-1], many_b)
+        raised, raised_b = (t + ((f[:LARGEST].sum(0) == 0) & (t > 0)) for t, f in ((total, few), (total_b, few_b)))
+        self.new = np.flatnonzero(self.c3 == 0)
+        h, pair = self.history[self.new], self.pair[self.new]
+        b, c2, c1 = self.pair_b[pair], self.c2[pair], self.pair_c1[pair]
+        below = c2 == 0
+        return raised[self.history], np.concatenate((few[:, h], few_b[:, b] * below)), np.stack((many[h], raised_b[b], c2, c1 * below, many_b[b] * below))
 
 
-def backed(history: np.ndarray, count: np.ndarray, kept: np.ndarray, total: np.ndarray, freed: np.ndarray, seen: np.ndarray, lower: np.ndarray) -> np.ndarray:
-    """P(w | h) of n-grams. total, freed, seen: of each history, its count, what its n-grams leave of that, and the lower probability of the words seen."""
-    full = (freed <= 0) & (total > 0)
-    total, freed = total + full, np.where(full, 1.0, freed)
-    alpha = np.where(total > 0, freed / np.maximum(total, 1) / np.maximum(1 - seen, 1e-300), 1.0)
-    return np.where(count > 0, kept / np.maximum(total, 1)[history], alpha[history] * lower)
+#: Columns for a trigram not seen, of its history: words seen 1 to LARGEST times after it, and of the words seen after it those that are
+#: seen 1 to LARGEST times after the shorter history; then the same of the shorter history, if the word is not seen after that either.
+FEW = 4 * LARGEST
+#: Counts above LARGEST of the words seen, of the history; count of the shorter history, of the word after it, of the word; as the first, of the shorter history.
+MANY = 5
 
 
-class Model:
-    """Discounts of the three orders, and what is known of common words.
+def _seen(history: np.ndarray, count: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each history: its count; how many of its n-grams are seen r times, and how many of those seen have a shorter one seen r times, for r up to LARGEST; the sum of the larger counts of these."""
+    n, seen = int(history[-1]) + 1, count > 0
+    column = lambda test: np.bincount(history[seen & test], minlength=n)
+    few = np.stack([column(x == r) for x in (count, lower) for r in range(1, LARGEST + 1)])
+    return _total(history, count, n), few, _total(history, np.where(seen & (lower > LARGEST), lower, 0), n)
 
-    of_counts: of each order, how many n-grams are seen 1 to LARGEST + 1 times. parts: of each common word, what _answer_words sums.
-    """
 
-    def __init__(self, of_counts: list[list[int]], n: int, parts: np.ndarray):
+class Model:
+    """Discounts of the three orders. of_counts: of each order, how many n-grams are seen 1 to LARGEST + 1 times; n: training tokens."""
+
+    def __init__(self, of_counts: list[list[int]], n: int):
         self.d = [np.array([0.0, *discounts(x), 1.0]) for x in of_counts]
         freed = sum(r * x * (1 - self.d[0][r]) for r, x in enumerate(of_counts[0][:LARGEST], 1))
         self.n, self.unknown = (n, freed / n) if freed > 0 else (n + 1, 1 / (n + 1))
-        r = np.arange(1, LARGEST + 1)
-        weight = lambda order: r * self.d[order - 1][r]
-        after, words = parts[1 : LARGEST + 1], parts[LARGEST + 1 : 2 * LARGEST + 1]
-        self.common = (parts[0], ((r - weight(2))[:, None] * after).sum(0), ((weight(1)[:, None] * words).sum(0) + parts[-1]) / self.n)
 
     def kept(self, order: int, count: np.ndarray) -> np.ndarray:
         return count * self.d[order - 1][np.minimum(count, LARGEST + 1)]
 
-    def freed(self, order: int, count: np.ndarray) -> np.ndarray:
-        return count * (1 - self.d[order - 1][np.minimum(count, LARGEST + 1)])
-
     def p1(self, count: np.ndarray) -> np.ndarray:
         return np.where(count > 0, self.kept(1, count) / self.n, self.unknown)
 
+    def alpha(self, order: int, total: np.ndarray, few: np.ndarray, many: np.ndarray, below: np.ndarray | int) -> np.ndarray:
+        """Weight of the order below. below: what that order's counts are divided by."""
+        r = np.arange(1, LARGEST + 1)
+        own, lower = few[:LARGEST], few[LARGEST:]
+        freed = np.where(own.sum(0) == 0, 1.0, ((r - self.kept(order, r))[:, None] * own).sum(0))
+        seen = ((self.kept(order - 1, r)[:, None] * lower).sum(0) + many) / np.maximum(below, 1)
+        return np.where(total > 0, freed / np.maximum(total, 1) / np.maximum(1 - seen, 1e-300), 1.0)
+
+    def log10(self, c3: np.ndarray, total: np.ndarray, few: np.ndarray, many: np.ndarray) -> np.ndarray:
+        """log10 P(w | a b) of trigrams from what Grams.counts gives of them; few and many of those with c3 = 0, in order."""
+        p = self.kept(3, c3) / np.maximum(total, 1)
+        new = np.flatnonzero(c3 == 0)
+        larger, total_b, c2, c1, larger_b = many
+        p2 = np.where(c2 > 0, self.kept(2, c2) / np.maximum(total_b, 1), self.alpha(2, total_b, few[2 * LARGEST :], larger_b, self.n) * self.p1(c1))
+        p[new] = self.alpha(3, total[new], few[: 2 * LARGEST], larger, total_b) * p2
+        return np.log10(np.maximum(p, 1e-300))
+
 
 def discounts(of_counts: list[int]) -> list[float]:
     """d(1) to d(LARGEST) from the numbers of n-grams seen 1 to LARGEST + 1 times, by Katz."""
@@ -377,22 +397,21 @@ def discounts(of_counts: list[int]) -> list[float]:
     return out
 
 
-def _gather(asked: pa.Table) -> pa.Table:
-    """A range's messages as one row, with its counts of counts."""
-    data = [d.as_buffer() for d in asked.column("data").combine_chunks()]
-    stats = pack_typed(Grams(data).stats())
-    return pa.table({"chunks": pa.array([asked.column("chunk").to_pylist()], pa.list_(pa.int64())), "messages": pa.array([[d.as_py() for d in asked.column("data")]], pa.list_(pa.binary())), "range": asked.column("range")[:1], "stats": pa.array([stats], pa.binary())})
-
+def _answer_grams(parts: np.ndarray):
+    """Of each trigram of a message what Grams.counts gives; and the range's counts of counts."""
 
-def _evaluate(model: Model):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for chunks, messages, range_ in zip(batch.column("chunks").to_pylist(), batch.column("messages"), batch.column("range").to_pylist(), strict=True):
-                own = Grams([d.as_buffer() for d in messages.values])
-                value = own.log10(model)[own.which]
-                for chunk, part in zip(chunks, np.split(value, np.cumsum(own.size)[:-1]), strict=True):
-                    known, code = np.unique(part, return_inverse=True)
-                    yield _rows([(chunk, GRAMS, range_, pack_typed(known, narrow(code)))], _ANSWER)
+    def run(asked: pa.Table) -> pa.Table:
+        range_ = asked.column("range")[0].as_py()
+        own = Grams([d.as_buffer() for d in asked.column("data").combine_chunks()])
+        total, few, many = own.counts(parts)
+        place = np.zeros(len(own.c3), np.int64)
+        place[own.new] = np.arange(len(own.new))
+        rows = [(range_, STATS, -1, pack_typed(own.stats()))]
+        for chunk, which in zip(asked.column("chunk").to_pylist(), np.split(own.which, np.cumsum(own.size)[:-1]), strict=True):
+            c3 = own.c3[which]
+            new = place[which[c3 == 0]]
+            rows.append((chunk, GRAMS, range_, pack_typed(*map(narrow, (c3, total[which], few[:, new].ravel(), many[:, new].ravel())))))
+        return pa.Table.from_batches([_rows(rows, _ANSWER)])
 
     return run
 
@@ -400,13 +419,16 @@ def _evaluate(model: Model):
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _finish(common: np.ndarray, n: int, train_tokens: int, distinct: int):
+def _finish(common: np.ndarray, n: int, model: Model, train_tokens: int, distinct: int):
     unit = math.log10(train_tokens + distinct + 1)
 
     def run(chunks: pa.Table, answers: pa.Table) -> pa.Table:
         own, _, c1, _ = _open(chunks, answers, common, n)
         own.grams()
-        value = np.concatenate([known[code] for known, code in _heard(answers, GRAMS)])[own.which]
+        heard = _heard(answers, GRAMS)
+        c3, total = (np.concatenate([h[i] for h in heard]).astype(np.int64) for i in range(2))
+        few, many = (np.concatenate([h[i].astype(np.int64).reshape(width, -1) if len(h[i]) else np.zeros((width, 0), np.int64) for h in heard], 1) for i, width in ((2, FEW), (3, MANY)))
+        value = model.log10(c3, total, few, many)[own.which]
         c = c1[own.token]
         base, score = (np.add.reduceat(x, own.first) for x in (np.log10(c + 1.0) - unit, value))
         known = np.add.reduceat((c > 0).astype(np.int64), own.first)
@@ -438,23 +460,24 @@ def score(docs: DataFrame, held_out=None) -> DataFrame:
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), held_out.alias("held_out"))
     sampled = own.select("text").mapInArrow(lean(_common), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(4 * COMMON).collect()
     common = np.unique(np.array([r.word for r in sampled], np.int64).view(U))
-    chunks = stage(own.mapInArrow(lean(_chunks), "chunk long, bytes long, data binary"), "chunks")
+    chunks = stage_by(own.mapInArrow(lean(_chunks), "chunk long, bytes long, data binary"), "chunks", "chunk")
     n = max(1, -(-chunks.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0] // RANGE_TEXT))
     chunks = chunks.select("chunk", "data")
+    sums = lambda answers, kind: _added(answers.where(F.col("kind") == kind).select(F.col("chunk").alias("range"), "data"))
 
     asked = chunks.mapInArrow(lean(_ask_words(common, n)), MESSAGE)
     words = stage(asked.groupBy("range").applyInArrow(lean(_answer_words(common, n), 1), ANSWER), "words")
-    sums = lambda kind: _added(words.where(F.col("kind") == kind).select(F.col("chunk").alias("range"), "data"))
-    stats, parts = sums(STATS), sums(PARTS)
+    stats, parts = sums(words, STATS), sums(words, PARTS)
     if stats is None:
         return spark.createDataFrame([], SCORED)
     train_tokens, distinct = int(stats[-2]), int(stats[-1])
     words = words.where(F.col("kind") == WORDS)
+
     asked = chunks.groupBy("chunk").cogroup(words.groupBy("chunk")).applyInArrow(lean(_ask_grams(common, n), 2), MESSAGE)
-    grams = stage(asked.groupBy("range").applyInArrow(lean(_gather, 1), "chunks array<long>, messages array<binary>, range long, stats binary"), "grams")
-    more = _added(grams.select("range", F.col("stats").alias("data")))
+    grams = stage(asked.groupBy("range").applyInArrow(lean(_answer_grams(parts.reshape(2 * LARGEST + 2, len(common))), 1), ANSWER), "grams")
+    more = sums(grams, STATS)
     width = LARGEST + 3
     of = [stats[:width], stats[width : 2 * width] + more[:width], more[width:]]
-    model = Model([x[1 : LARGEST + 2].tolist() for x in of], train_tokens, parts.reshape(2 * LARGEST + 2, len(common)))
-    answers = grams.select("chunks", "messages", "range").mapInArrow(lean(_evaluate(model)), ANSWER).unionByName(words)
-    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(lean(_finish(common, n, train_tokens, distinct), 2), SCORED)
+    model = Model([x[1 : LARGEST + 2].tolist() for x in of], train_tokens)
+    answers = words.unionByName(grams.where(F.col("kind") == GRAMS))
+    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(lean(_finish(common, n, model, train_tokens, distinct), 2), SCORED)
