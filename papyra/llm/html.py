@@ -40,8 +40,9 @@ from .text import blocks
 
 GAMMA, LEAST, MIN_PAGES, SALTS = 0.9, 0.2, 8, 16
 
-#: Elements whose text is never content, elements whose content is raw, block elements, and elements without an end tag.
-DROPPED = {"head", "script", "style", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "audio", "video", "nav", "footer", "aside", "form", "button", "select", "textarea", "input", "label", "fieldset", "dialog", "menu", "title"}
+#: Elements whose text is never content, such elements inside a line of text, elements whose content is raw, block elements, and elements without an end tag.
+DROPPED = {"head", "nav", "footer", "aside", "form", "label", "fieldset", "dialog", "menu", "title"}
+HUSHED = {"script", "style", "noscript", "template", "svg", "annotation", "annotation-xml", "iframe", "object", "canvas", "audio", "video", "button", "select", "textarea"}
 RAW = {"script", "style", "textarea", "title", "iframe", "noscript", "xmp"}
 BLOCK = DROPPED | {"html", "body", "article", "main", "header", "section", "div", "p", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "li", "dl", "dt", "dd", "blockquote", "pre", "table", "thead", "tbody", "tfoot", "tr", "td", "th", "caption", "figure", "figcaption", "address", "hr", "details", "summary", "center"}
 VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr"}
@@ -60,7 +61,8 @@ NEGATED = {"no", "non", "not", "without", "free", "less", "off", "with", "has",
 PLACES = {"header", "masthead", "banner", "sidebar", "aside", "rail"}
 CONTENT = {"content", "article", "post", "entry", "story", "section", "page"}
 
-_TOKEN = re.compile(r"""<!--(?:.*?-->|.*)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>""", re.S)
+# a quote opens a value after "=" only; one that is never closed ends with its tag
+_TOKEN = re.compile(r"""<!--(?:.*?-->|.*)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*"[^"]*"|=\s*'[^']*'|[^>])*+)>|<[!?][^>]*>""", re.S)
 _ATTR = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+))?""")
 _MAIN = re.compile(r"(article|main)\b|.*\[main\]")
 _CLOSES_P = BLOCK - {"li", "td", "th", "tr", "thead", "tbody", "tfoot", "caption", "dt", "dd", "body", "html", "head"}
@@ -69,12 +71,13 @@ _STOP = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "td": {"tr", "table"},
 
 
 class Node:
-    __slots__ = ("children", "dropped", "label", "main", "marked", "path", "tag")
+    __slots__ = ("children", "dropped", "hushed", "label", "main", "marked", "path", "tag")
 
     def __init__(self, tag: str, label: str, parent: Node | None, dropped: bool, marks: frozenset[str] = frozenset()):
         self.tag, self.label, self.children = tag, label, []
         self.path = f"{parent.path}/{label}" if parent else label
         self.dropped = dropped or bool(parent and parent.dropped)
+        self.hushed = bool(parent and parent.hushed) or tag in HUSHED
         self.main = bool(parent and parent.main) or (tag in ("article", "main") or "[main]" in label)
         #: each marked branch that the node is or is in, outermost first: the branch's node, and whether it is of comments
         self.marked = parent.marked if parent else ()
@@ -105,13 +108,18 @@ def _label(tag: str, attrs: str) -> tuple[str, bool, frozenset[str]]:
     return re.sub(r"\d+", "0", label.replace("/", "|")), dropped, marks
 
 
+def _after(page: str, tag: str, at: int) -> int:
+    close = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+    return close.end() if close else len(page)
+
+
 def parse(page: str) -> list[tuple[Node, list[str]]]:
     """The page's runs of text in order, each with the innermost block element around it. Unclosed elements end with their parents."""
     root = Node("", "", None, False)
     stack, runs, at = [root], [], 0
 
     def text(part: str) -> None:
-        if not part:
+        if not part or stack[-1].hushed:
             return
         if not runs or runs[-1][0] is not stack[-1]:
             if not part.strip():
@@ -122,8 +130,10 @@ def parse(page: str) -> list[tuple[Node, list[str]]]:
     def end(tag: str, stop: set[str]) -> None:
         for k in range(len(stack) - 1, 0, -1):
             if stack[k].tag == tag:
+                inside = stack[k].hushed
                 del stack[k:]
-                mark()
+                if not inside:
+                    mark()
                 return
             if stack[k].tag in stop:
                 return
@@ -141,11 +151,18 @@ def parse(page: str) -> list[tuple[Node, list[str]]]:
         if tag == "br" or tag not in BLOCK and tag in VOID:
             text(" ")
             continue
-        if tag not in BLOCK:
+        if tag not in BLOCK and tag not in HUSHED:
             continue
         if m[1]:
             end(tag, set())
             continue
+        if tag in RAW and (tag in HUSHED or stack[-1].hushed):
+            at = _after(page, tag, at)
+            continue
+        if tag in HUSHED or stack[-1].hushed:
+            if not m[3].rstrip().endswith("/"):
+                stack.append(Node(tag, tag, stack[-1], True))
+            continue
         if tag in _CLOSES_P:
             end("p", {"article", "main", "section", "div", "td", "th", "li", "blockquote", "body"})
         for same in _SAME.get(tag, ()):
@@ -159,8 +176,7 @@ def parse(page: str) -> list[tuple[Node, list[str]]]:
         node = Node(tag, label, stack[-1], dropped, marks)
         stack[-1].children.append(label)
         if tag in RAW:
-            close = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            at = close.end() if close else len(page)
+            at = _after(page, tag, at)
             continue
         if not m[3].rstrip().endswith("/") or tag in TEXTUAL:
             stack.append(node)
@@ -268,10 +284,25 @@ def importance(pages: DataFrame) -> DataFrame:
     return tree.select("host", "path", "m", F.when(F.col("m") > 1, weight).otherwise(1.0).alias("importance"))
 
 
+#: Of the labels of a path: whether each is of an article, and how many are up to and with the first of those, or the root.
+_PARTS, _UP_TO = "split(path, '/')", "greatest(array_position(transform(split(path, '/'), p -> p RLIKE '^((article|main)\\\\b|.*\\\\[main\\\\])'), true), 1)"
+
+
 def low_branches(tree: DataFrame, least: float = LEAST, min_pages: int = MIN_PAGES) -> DataFrame:
-    """host and path of each node of importance's tree that is low itself and holds no node that is not: one with a page's own text below it stays."""
+    """host and path of each node of importance's tree that may go, is low itself and holds no node that is not: one with a page's own text below it stays.
+
+    Nodes below another of them are left out, so what a host keeps grows with its templates, not with its pages or nodes.
+    """
     high = (~((F.col("m") >= min_pages) & (F.col("importance") < least))).cast("int")
-    return tree.select("host", F.explode(F.expr(_ABOVE)).alias("path"), high.alias("high")).groupBy("host", "path").agg(F.max("high").alias("high")).where("high = 0").select("host", "path")
+    low = tree.select("host", F.explode(F.expr(_ABOVE)).alias("path"), high.alias("high")).groupBy("host", "path").agg(F.max("high").alias("high")).where("high = 0").select("host", "path")
+    tag = F.regexp_extract(F.element_at(F.split("path", "/"), -1), r"^[^.#\[]*", 0)
+    inside = F.expr(f"array_position(transform(slice({_PARTS}, 1, size({_PARTS}) - 1), p -> p RLIKE '^((article|main)\\\\b|.*\\\\[main\\\\])'), true) > 0")
+    low = low.where(~tag.isin("html", "body", "article", "main") & ~F.element_at(F.split("path", "/"), -1).endswith("[main]") & ~(inside & tag.isin(*sorted(TEXTUAL))))
+    # paths of the branches above, down from the article
+    above = F.expr(f"CASE WHEN {_UP_TO} + 1 < size({_PARTS}) THEN transform(sequence({_UP_TO} + 1, size({_PARTS}) - 1), k -> array_join(slice({_PARTS}, 1, k), '/')) ELSE array() END")
+    of = low.select("host", "path", F.explode(above).alias("over"))
+    under = of.join(low.select(F.col("host").alias("low_host"), F.col("path").alias("low_path")), (F.col("host") == F.col("low_host")) & (F.col("over") == F.col("low_path")), "left_semi")
+    return low.join(under.select("host", "path").distinct(), ["host", "path"], "left_anti")
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

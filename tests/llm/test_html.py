@@ -1,3 +1,5 @@
+import math
+
 import pytest
 
 from papyra.llm import html
@@ -17,7 +19,9 @@ MAIN = "T & u\none two three four\nfive <x> é"
         (ARTICLE + '<div id="cookieNotice">n</div><section class="comments"><article><p>reply</p></article></section>', MAIN),
         ("<body><div class='ad'>buy</div><p>a</p><div>b<div>c</div>d</div>", "a\nb\nc\nd"), ("<main><p>in</p></main><p>out</p>", "in"), ("<div role=main><p>in</p></div><p>out</p>", "in"),
         ("<article><ul><li>a<li>b</ul><table><tr><td>c<td>d</table><header><h1>kept</h1></header></article>", "a\nb\nc\nd\nkept"), ("<p>a<b>b</p><p>c</b>d</p>", "ab\ncd"), ("<p hidden>x</p><p style='display: none'>y</p><p>z</p>", "z"),
-        ("<p>3 < 4 & 5 > 2 <3</p>", "3 < 4 & 5 > 2 <3"), ("<p>open <!-- never", "open"), ("<article><p>a</article", "a</article"), ("<p>" + "w " * 50000 + "</p>", " ".join(["w"] * 50000)),
+        ("<p>3 < 4 & 5 > 2 <3</p>", "3 < 4 & 5 > 2 <3"), ("<p>open <!-- never", "open"), ('<p title="un>text</p><p>b', "text\nb"), ("<p title='un>text", "text"), ('<p title="a>b" id=c>text', "text"), ('<p data-x="1" "odd>text', "text"), ("<p it's>text</p><p>it's", "text\nit's"),
+        ("<p>so <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation encoding='tex'>x</annotation></math> holds</p>", "so x=1 holds"), ("<p>a <svg><text>no</text></svg>b<script>no</script> c <button>no</button>d <input>e</p>f", "a b c d e\nf"),
+        ("<p>a <svg/>b</p><p><select><option>x</select>c</p>", "a b\nc"), ("<div><svg><p>no</div><p>b</p>", "b"), ("<article><p>a</article", "a</article"), ("<p>" + "w " * 50000 + "</p>", " ".join(["w"] * 50000)),
     ],
 )
 def test_extract(page, text):
@@ -79,6 +83,56 @@ def test_lists_of_every_page(spark):
     assert tree["/body"].m == tree["/body/ul.depts"].m == tree["/body/ul.depts/li"].m == 100 and tree["/body/ul.depts"].importance < 0.01
 
 
+def plain_importance(pages):
+    """Of each node of one host's pages: distinct pages, and importance, from dictionaries of sets."""
+    texts, shown = {}, {}
+    for k, page in enumerate(dict.fromkeys(p for p in pages if p)):
+        own = {}
+        for node, t in html.content(page):
+            parts = node.path.split("/")
+            for n in range(2, len(parts) + 1):
+                texts.setdefault("/".join(parts[:n]), {}).setdefault((node.path, t), set()).add(k)
+            if node.children:
+                own.setdefault(node.path, set()).add(tuple(dict.fromkeys(node.children)))
+        for path, x in own.items():
+            for c in x:
+                shown.setdefault(path, {}).setdefault(c, set()).add(k)
+    out = {}
+    for path, by in texts.items():
+        m = len(set.union(*by.values()))
+        content = 1 - sum(math.log(len(p)) for p in by.values()) / len(by) / math.log(m) if m > 1 else 1
+        n = [len(p) for p in shown.get(path, {}).values()]
+        presentation = -sum(x / sum(n) * math.log(x / sum(n)) for x in n) / math.log(sum(n)) if sum(n) > 1 else 0
+        out[path] = m, 1.0 if m == 1 else 0.1 * presentation + 0.9 * max(0.0, content)
+    return out
+
+
+def test_importance_against_plain(spark, sf):
+    pages = [f"<body><div class='a{i}'><p>{prose(i % 3, 4)}</p>{'<ul><li>x</ul>' * (i % 2)}tail</div><div id=b>{prose(7, 3)}<p>{prose(i, 3)}</p></div>" for i in range(12)] * 2
+    pages += [r.html for r in spark.read.parquet(f"{sf}/pages.parquet").limit(60).collect()] + [None, ""]
+    tree = html.importance(spark.createDataFrame([("h", p) for p in pages], "host string, html string")).collect()
+    want = plain_importance(pages)
+    assert {r.path for r in tree} == set(want)
+    for r in tree:
+        assert (r.m, r.importance) == (want[r.path][0], pytest.approx(want[r.path][1], abs=1e-9)), r.path
+
+
+def test_low_branches_against_plain(spark):
+    """Low with all below them, on enough pages, of those that may go the topmost; inside an article counted from there."""
+    weight = {"/body": 0.1, "/body/div": 0.1, "/body/div/p": 0.1, "/body/div/ul": 0.05, "/body/div.x": 0.1, "/body/div.x/p": 0.9, "/body/div.x/ul": 0.1, "/body/div.x/ul/li": 0.1, "/body/main": 0.1, "/body/main/p": 0.0, "/body/main/div": 0.0, "/body/main/div/div": 0.0, "/body/section": 0.0, "/body/section/article": 0.0, "/body/section/article/div": 0.0}
+    tree = spark.createDataFrame([("h", p, 9, w) for p, w in weight.items()] + [("k", "/div", 9, 0.0), ("k", "/div/p", 3, 0.0), ("k", "/ul", 9, 0.0)], "host string, path string, m long, importance double")
+    got = rows(html.low_branches(tree))
+    assert got == [("h", x) for x in ("/body/div", "/body/div.x/ul", "/body/main/div", "/body/section", "/body/section/article/div")] + [("k", "/ul")]
+
+
+def test_the_tree_decides(spark):
+    """Pages without an article or telling names: with no branch low enough, menus stay."""
+    pages = [(i, f"http://a.example/{i}", f"<body><div class='one'><p>home</p><p>all topics</p></div><div class='two'><p>{prose(i, 20)}</p></div>") for i in range(20)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    on, off = ({r.page_id: r.text for r in html.main_text(df, least=x).collect()} for x in (html.LEAST, 0.0))
+    assert all(on[i] == prose(i, 20) and off[i] == f"home\nall topics\n{prose(i, 20)}" for i in range(20))
+
+
 def test_tables(spark, sf):
     import re
     from html import unescape
