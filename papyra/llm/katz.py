@@ -51,7 +51,7 @@ from .packed import narrow, pack_typed, unpack_typed
 from .text import SPACED, U, Words, blocks, mix
 
 LARGEST = 5
-CHUNK_TEXT, RANGE_TEXT = 16 << 20, 12 << 20
+CHUNK_TEXT, RANGE_TEXT = 12 << 20, 8 << 20
 #: A word is common when it makes up 1 / COMMON of a sample of SAMPLE_TEXT bytes from each task.
 COMMON, SAMPLE_TEXT = 400, 1 << 20
 START, END = U(0x53544152545F5F5F), U(0x454E445F5F5F5F5F)
@@ -155,13 +155,15 @@ class Chunk:
 
     def __init__(self, data, common: np.ndarray, n: int):
         self.ids, self.null, self.out, count, self.word, token = unpack_typed(data)
-        self.n, self.count, self.token = n, count.astype(np.int64), token.astype(np.int64)
+        self.n, self.count, self.token = n, count.astype(np.int64), token.astype(np.int32)
         self.first = np.cumsum(self.count) - self.count
         self.train = np.repeat(~self.out, self.count)
         start = len(self.word)
-        self.b = np.append(start, self.token[:-1])
+        self.b = np.empty_like(self.token)
+        self.b[1:] = self.token[:-1]
         self.b[self.first] = start
-        self.a = np.append(start, self.b[:-1])
+        self.a = np.empty_like(self.token)
+        self.a[1:] = self.b[:-1]
         self.a[self.first] = start
         self.common, k = _member(np.append(self.word, START), common)
         self.common[-1] = False
@@ -182,14 +184,16 @@ class Chunk:
     def grams(self) -> None:
         """Distinct trigrams in order of range, middle, first and last word. which: of each token, its trigram."""
         hashes = np.append(self.word, START)
-        b_hash = hashes[self.b]
-        range_ = _range_of(np.where(self.common[self.b], b_hash ^ mix(hashes[self.a]), b_hash), self.n)
-        high, low = range_ << 32 | self.b, self.a << 32 | self.token
+        range_ = _range_of(hashes, self.n)[self.b]
+        often = np.flatnonzero(self.common[self.b])
+        range_[often] = _range_of(hashes[self.b[often]] ^ mix(hashes)[self.a[often]], self.n)
+        high, low = range_ << 32 | self.b, self.a.astype(np.int64) << 32 | self.token
         order = np.lexsort((low, high))
         new = _new(high[order], low[order])
         self.which = np.empty(len(order), np.int64)
         self.which[order] = np.cumsum(new) - 1
         at = order[new]
+        del order, high, low
         self.gram_range, self.gram_b, self.gram_a, self.gram_w = range_[at], self.b[at], self.a[at], self.token[at]
         self.gram_n = np.bincount(self.which, self.train, len(at)).astype(np.int64)
 
