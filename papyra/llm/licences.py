@@ -6,7 +6,8 @@
    template, and that has no word of a base phrase, is done. A hit at document position i and template position
    j votes for the template at shift i - j. Votes of equal (document, template, shift) lie at the same relative
    positions; the share of the template's indexed IDF that they hold is the match's score.
-3. A match of MIN_SHARE or more counts when a mandatory key phrase of its template stands in the document.
+3. A match of MIN_SHARE or more counts when a mandatory key phrase of its template stands at its place: among the words
+   that the template covers there, and SLACK words on either side.
 
 Base labels come from fixed phrases: a place is where a phrase's words stand consecutively. The words of each
 phrase that its template may lack are always indexed, so every place is found.
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .dist import stage
 
-RARE, MIN_SHARE = 12, 0.6
+RARE, MIN_SHARE, SLACK = 12, 0.6, 12
 UPPER, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NO_WORD = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 
@@ -117,13 +118,16 @@ def scan(docs: DataFrame, templates: list[tuple[str, str, list[str]]] = TEMPLATE
     table = F.broadcast(spark.range(1).select(F.inline(rows)))  # RARE entries for each template: fixed
     votes = held.select("row", F.posexplode("words").alias("at", "word")).join(table, "word")
     matches = votes.groupBy("row", "template", (F.col("at") - F.col("place")).alias("shift")).agg(F.sum("share").alias("share")).where(F.col("share") >= min_share)
-    best = matches.groupBy("row").agg(F.collect_set(F.struct("template", F.round("share", 6).alias("share"))).alias("matches"))  # a few for each template
+    best = matches.groupBy("row").agg(F.collect_set(F.struct("template", "shift", F.round("share", 6).alias("share"))).alias("matches"))  # fewer than the document's words
 
     base = F.concat(*(F.transform(_places(p), lambda i: F.struct(i.cast("long").alias("at"), F.lit(label).alias("label"))) for p, label in BASE.items()))
-    joined = F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))
-    found = held.join(best, "row", "left").select("doc_id", "n_words", base.alias("base"), joined.alias("joined"), "matches")
-    verified = lambda t: reduce(lambda a, b: a | b, ((t == k) & reduce(lambda a, b: a | b, (F.contains(F.col("joined"), F.lit(f" {key} ")) for key in keys)) for k, (_, _, keys) in enumerate(templates)))
-    found = found.withColumn("matches", F.filter(F.coalesce("matches", F.array()), lambda m: verified(m.template)))
+    sizes = F.array(*(F.lit(len(text.split(" "))) for _, text, _ in templates))
+    begin = lambda m: F.greatest(m.shift - SLACK, F.lit(0))
+    covered = lambda m: F.slice("words", begin(m) + 1, m.shift + F.get(sizes, m.template) + SLACK - begin(m))
+    near = F.transform("matches", lambda m: F.struct(m.template.alias("template"), m.share.alias("share"), F.concat(F.lit(" "), F.array_join(covered(m), " "), F.lit(" ")).alias("text")))
+    found = held.join(best, "row", "left").select("doc_id", "n_words", base.alias("base"), F.coalesce(near, F.array()).alias("matches"))
+    verified = lambda m: reduce(lambda a, b: a | b, ((m.template == k) & reduce(lambda a, b: a | b, (F.contains(m.text, F.lit(f" {key} ")) for key in keys)) for k, (_, _, keys) in enumerate(templates)))
+    found = found.withColumn("matches", F.filter("matches", verified))
     names = _literal([label for label, _, _ in templates])
     base_labels, n_base = F.array_sort(F.array_distinct("base.label")), F.size("base")
     sure = found.select(

@@ -1,3 +1,7 @@
+import math
+import random
+from collections import Counter
+
 from papyra.llm import licences
 
 from . import brute
@@ -33,6 +37,50 @@ def test_base_and_labels(docs, texts, spark):
     assert all(0 <= r.score <= 1 for r in by.values()) and by[203].score > 0.9 and by[200].score == 1
 
 
+def plain_labels(docs, rare=12, least=0.6, slack=12):
+    """Labels and score of each document: votes of its places against each template's rarest words, one document at a time."""
+    words = [brute.alnum(t) for _, t in docs]
+    n = len(docs)
+    df = Counter(w for own in words for w in set(own))
+    index = []
+    for _, text, _ in licences.TEMPLATES:
+        own = text.split()
+        idf = [math.log((n + 1) / (df[w] + 1)) + 1e-3 for w in own]
+        top = sorted(range(len(own)), key=lambda j: (-idf[j], j))[:rare]
+        index.append({j: idf[j] / sum(idf[k] for k in top) for j in top})
+    out = []
+    for (i, _), w in zip(docs, words, strict=True):
+        labels = {label for p, label in licences.BASE.items() for k in range(len(w)) if w[k : k + len(p.split())] == p.split()}
+        score = float(bool(labels))
+        for (label, text, keys), own in zip(licences.TEMPLATES, index, strict=True):
+            t = text.split()
+            for shift in range(-len(t) + 1, len(w)):
+                share = sum(x for j, x in own.items() if 0 <= shift + j < len(w) and w[shift + j] == t[j])
+                if share >= least:
+                    near = f" {' '.join(w[max(shift - slack, 0) : max(shift + len(t) + slack, 0)])} "
+                    if any(f" {key} " in near for key in keys):
+                        labels.add(label)
+                        score = max(score, min(1.0, round(share, 6)))
+        out.append((i, ",".join(sorted(labels)), round(score, 6)))
+    return out
+
+
+def scored(out):
+    return sorted(((r.doc_id, r.labels, round(r.score, 6)) for r in out.select("doc_id", "labels", "score").collect()), key=repr)
+
+
+def test_labels_against_plain(spark):
+    """Each template whole, cut, changed, in pieces, beside the key phrase of another, and with its key phrase far away."""
+    some, data = random.Random(4), []
+    for k, (_, text, keys) in enumerate(licences.TEMPLATES):
+        w = text.split()
+        changed = [x if some.random() < 0.85 else f"other{x}" for x in w]
+        far = " ".join(x for x in w if x not in keys[0].split())
+        data += [(10 * k, f"{prose(k, 20)} {text}. {prose(k + 1, 9)}"), (10 * k + 1, " ".join(w[len(w) // 3 :])), (10 * k + 2, " ".join(changed)), (10 * k + 3, " ".join(w[::-1])), (10 * k + 4, f"{keys[0]} {prose(k, 40)} {far}"), (10 * k + 5, f"{text} {licences.TEMPLATES[k - 1][2][0]}"), (10 * k + 6, " ".join(w[: len(w) * 4 // 5]) + f" {prose(9, 3)} {keys[-1]}")]
+    data += [(500 + i, prose(i, 30)) for i in range(20)] + LICENSED + [(900, None), (901, "")]
+    assert scored(licences.scan(spark.createDataFrame(data, "doc_id long, text string"))) == sorted(plain_labels(data), key=repr)
+
+
 def test_empty(nothing):
     assert licences.scan(nothing).count() == 0
 
@@ -43,6 +91,7 @@ def test_tables(spark, sf):
     read = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     out = op4_licences(spark, sf)
     assert rows(out, "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels") == sorted(base(read), key=repr)
+    assert scored(out) == sorted(plain_labels(read), key=repr)
     text = dict(read)
     assert all(("gpl-3" in r.labels) == ("GNU General Public License, version 3" in text[r.doc_id]) for r in out.collect())
 
