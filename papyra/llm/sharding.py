@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from .dist import stage
 
 SHARDS, OVERHEAD, WHOLE_GROUP = 40, 16, 0.05
+#: Rows of ids and sizes that one partition sorts, at most.
+PART_ROWS = 2_000_000
 
 
 def shard(docs: DataFrame, shards: int = SHARDS, overhead: int = OVERHEAD, whole_group: float = WHOLE_GROUP) -> DataFrame:
@@ -27,7 +29,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, overhead: int = OVERHEAD, whole
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + overhead).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("hash")
     )
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // PART_ROWS))
     placed = stage(rows.repartitionByRange(parts, "hash", "size", "doc_id").withColumn("part", F.spark_partition_id()), "shard")
 
     totals = sorted(placed.groupBy("part").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")).collect())  # one row for each partition
