@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from papyra.llm import packing
+from papyra.llm import dist, packing
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -58,6 +58,29 @@ def test_pack(docs, texts, plain):
         assert all(r.crc == zlib.crc32(ids[r.start : r.start + r.length].tobytes()) for r in own)
 
 
+def test_tables(spark, sf, plain):
+    from papyra.llm.queries import op3_packing
+
+    out = op3_packing(spark, sf).collect()
+    assert len({r.sequence_id for r in out}) == len(out) and all(r.offset == 0 and 1 << r.bucket == r.length <= 4096 for r in out)
+    want = []
+    for i, t in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect():
+        ids, at = np.array([*plain.encode(t or "", add_special_tokens=False).ids, 2], "<u4"), 0
+        for n in packing.pieces_of(len(ids)):
+            want.append((i, at, n, zlib.crc32(ids[at : at + n].tobytes()), len(ids)))
+            at += n
+    assert sorted((r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in out) == sorted(want)
+
+
+def test_one_worker_holds_one_encoder():
+    """It is kept for tasks of the same tokenizer, and let go by a task of another operator."""
+    dist._held.clear()
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["some text"])], ["doc_id", "text"])
+    assert [b.num_rows for b in dist.lean(packing._cut(PATH, 4096, 2), keeps=True)(iter([batch]))]
+    assert list(dist._held) == [PATH] and len(dist._held[PATH].keys) == 2
+    assert list(dist.lean(lambda rows: rows)(iter([batch]))) == [batch] and not dist._held
+
+
 def test_edges(nothing, docs, tmp_path):
     assert packing.pack(nothing, PATH).count() == 0
     with pytest.raises(ValueError):
