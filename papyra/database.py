@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from .dialect import changes_of, filter_of
 from .errors import CatalogError, CompileError, Conflict, DuplicateKey, PapyraError
 from .functions.expr import Compiler, quoted
-from .operators import dml, indexes
+from .operators import dml, fulltext, indexes
 from .pipeline import Pipeline, Where
 from .plans import compiler
 from .plans import tree as t
@@ -28,6 +28,10 @@ from .sources.cursor import Cursor
 from .sources.store import Store
 
 
+#: What compact gives a file, about.
+FILE_BYTES = 128 << 20
+
+
 def check_name(name: str, what: str = "collection") -> str:
     if not name or "\0" in name or "/" in name or len(name) > 64 and what == "database" or name.startswith("system."):
         raise CatalogError(f"bad {what} name {name!r}")
@@ -136,11 +140,12 @@ class Database:
         raise CatalogError(f"no collection {name}")
 
     def write(self, name: str, df: DataFrame) -> None:
-        """The collection's next snapshot; unique indexes are checked before it counts."""
+        """The collection's next snapshot, its files sorted by the first index; unique indexes are checked before it counts."""
         if self.store is None:
             raise CatalogError("this database has no root to write to")
         path = self.store.at("data", name, uuid.uuid4().hex)
-        df.write.parquet(path)
+        ordered = next((i for i in self.indexes(name) if not i.text), None)
+        (ordered.layout(df) if ordered else df).write.parquet(path)
         new = self.spark.read.parquet(path)
         try:
             for index in self.indexes(name):
@@ -162,6 +167,11 @@ class Database:
             raise CatalogError(f"index {index.name} exists")
         index.check(self.read(name))
         self._change(name, indexes=[i.to_json() for i in [*own, index]])
+        entry = self._manifest().collections[name]
+        if entry["path"] and not index.text and all(i.text for i in own):
+            self.write(name, self.read(name))
+        if entry["path"] and index.text:
+            self.text(name, index.name)
 
     def drop_index(self, name: str, index: str) -> None:
         own = self.indexes(name)
@@ -169,16 +179,46 @@ class Database:
             raise CatalogError(f"no index {index} on {name}")
         self._change(name, indexes=[i.to_json() for i in own if i.name != index])
 
-    def compact(self, name: str, files: int = 1) -> None:
-        """Rewrite a collection's small files."""
-        self.write(name, self.read(name).coalesce(files))
-
-    def vacuum(self) -> int:
-        """Delete snapshots that no manifest's latest state names; the number deleted."""
-        used = {e["path"] for e in self._manifest().collections.values()}
-        gone = [p for c in self.store.list(self.store.at("data")) for s in self.store.list(self.store.at("data", c)) if (p := self.store.at("data", c, s)) not in used]
-        for p in gone:
-            self.store.delete(p)
+    def text(self, name: str, index: str) -> fulltext.StoredText:
+        """A text index's postings, which lie beside the snapshot that they were made of; made again for a new snapshot."""
+        own = next((i for i in self.indexes(name) if i.name == index and i.text), None)
+        path = self._manifest().collections.get(name, {}).get("path")
+        if own is None or path is None:
+            raise CatalogError(f"no text index {index} on {name}")
+        at = self.store.at("text", name, index, path.rsplit("/", 1)[1])
+        if not self.store.exists(f"{at}/postings/_SUCCESS"):
+            fulltext.TextIndex(self.read(name), self.order(name)[0], own.paths[0]).write(at)
+        return fulltext.StoredText(self.spark, at)
+
+    def compact(self, name: str, files: int | None = None) -> None:
+        """Rewrite a collection's small files: as many as its bytes fill, FILE_BYTES each."""
+        if files is None:
+            path = self._manifest().collections.get(name, {}).get("path")
+            files = max(1, -(-self.store.size(path) // FILE_BYTES)) if path and self.store else 1
+        df = self.read(name)
+        self.write(name, df.coalesce(files) if files < df.rdd.getNumPartitions() else df)
+
+    def vacuum(self, older_than: float = 86_400) -> int:
+        """Delete snapshots, and text indexes of snapshots, that are older than so many seconds and that neither the latest manifest, nor this session's open
+        transaction, nor any manifest of that time names; the number of snapshots deleted. Writes and readers of other sessions must take less time.
+        """
+        now, used = time.time(), {e["path"] for e in self._manifest().collections.values()}
+        names = [n for n in self.store.list(self.store.at("manifests")) if n.endswith(".json")]
+        for n in reversed(names):  # a manifest is live until older_than after the next one
+            found = self.store.read_json(self.store.at("manifests", n))
+            used |= {e["path"] for e in found["collections"].values()}
+            if now - found["at"] > older_than or older_than <= 0:
+                break
+        gone = []
+        for c in self.store.list(self.store.at("data")):
+            for snapshot in self.store.list(self.store.at("data", c)):
+                path = self.store.at("data", c, snapshot)
+                if path not in used and now - self.store.modified(path) >= older_than:
+                    gone.append(path)
+                    for index in self.store.list(self.store.at("text", c)):
+                        self.store.delete(self.store.at("text", c, index, snapshot))
+        for path in gone:
+            self.store.delete(path)
         return len(gone)
 
     def status(self) -> list[dict]:
@@ -319,6 +359,41 @@ class Database:
         return self.spark.createDataFrame(rows, "collection string, rows long, bytes long, indexes int")
 
 
+class Sessions:
+    """Sessions on one database by id, each with a transaction of its own; one that is not used for timeout seconds is rolled back and forgotten."""
+
+    def __init__(self, db: Database, timeout: float = 1800):
+        self.db, self.timeout, self._open = db, timeout, {}
+
+    def begin(self) -> str:
+        self.sweep()
+        name = uuid.uuid4().hex
+        self._open[name] = [self.db.session(), time.monotonic()]
+        return name
+
+    def get(self, name: str) -> Database:
+        self.sweep()
+        if name not in self._open:
+            raise PapyraError(f"no session {name}")
+        self._open[name][1] = time.monotonic()
+        return self._open[name][0]
+
+    def end(self, name: str) -> None:
+        """An open transaction is rolled back."""
+        session, _ = self._open.pop(name, (None, 0))
+        if session is not None and session._pending is not None:
+            session.rollback()
+
+    def sweep(self) -> int:
+        gone = [n for n, (_, used) in self._open.items() if time.monotonic() - used > self.timeout]
+        for n in gone:
+            self.end(n)
+        return len(gone)
+
+    def __len__(self) -> int:
+        return len(self._open)
+
+
 class _Transaction:
     def __init__(self, db: Database):
         self.db = db
@@ -370,6 +445,10 @@ class Collection:
     def count(self) -> int:
         return self.df().count()
 
+    def search(self, query: str, index: str, limit: int | None = None) -> DataFrame:
+        """Ids and scores by a stored text index."""
+        return self.db.text(self.name, index).search(query, limit)
+
     def aggregate(self, pipeline: Pipeline | list[t.Stage]) -> DataFrame:
         stages = pipeline.stages if isinstance(pipeline, Pipeline) else pipeline
         return compiler.aggregate(self.df(), stages, self.db.read, self.db.order(self.name), self.db.order)

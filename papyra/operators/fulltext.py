@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -25,7 +26,11 @@ def _sized(tokens: Column, low: int, high: int) -> Column:
 
 def simple(text: Column, low: int = MIN_BYTES, high: int = MAX_BYTES) -> Column:
     """Lower-case words between white space, of low to high bytes."""
-    return _sized(F.split(F.lower(F.trim(text)), "\\s+"), max(low, 1), high)
+    words = F.split(F.lower(F.trim(text)), "\\s+")
+    if low > 1 or high < 4:
+        return _sized(words, max(low, 1), high)
+    # words of a quarter of the bytes are short enough in any script, and no word has to be looked at
+    return F.when(text.rlike(f"\\S{{{high // 4 + 1}}}"), _sized(words, 1, high)).otherwise(F.array_remove(words, ""))
 
 
 def ngrams(text: Column) -> Column:
@@ -56,17 +61,24 @@ class TextIndex:
 
     def __init__(self, df: DataFrame, key: str, text: str, tokenizer: Tokenizer = simple):
         self.tokenizer, self.key = tokenizer, key
+        self.raw = df.select(quoted(key).alias("doc"), quoted(text).alias("text"))
         self.docs = df.select(quoted(key).alias("doc"), F.coalesce(tokenizer(quoted(text)), F.array().cast("array<string>")).alias("tokens")).withColumn("length", F.size("tokens").cast("long"))
 
     def postings(self) -> DataFrame:
-        words = self.docs.select("doc", "length", F.posexplode("tokens").alias("position", "term"))
+        """Texts are dealt by document, so that a document's postings come together without a shuffle of all words."""
+        words = self.docs.repartition("doc").select("doc", "length", F.posexplode("tokens").alias("position", "term"))
         return words.groupBy("term", "doc", "length").agg(F.count(F.lit(1)).alias("frequency"), F.array_sort(F.collect_list("position")).alias("positions"))
 
+    def write(self, path: str) -> None:
+        """Postings sorted by term, so that a search reads the files of its terms only, and documents with their lengths."""
+        self.docs.select("doc", "length").write.mode("overwrite").parquet(f"{path}/docs")
+        self.postings().repartitionByRange("term", "doc").sortWithinPartitions("term", "doc").write.mode("overwrite").parquet(f"{path}/postings")
+
     def without(self, ids: Sequence) -> TextIndex:
         """The index after documents are deleted."""
         out = TextIndex.__new__(TextIndex)
         out.tokenizer, out.key = self.tokenizer, self.key
-        out.docs = self.docs.where(~F.coalesce(F.col("doc").isin(list(ids)), F.lit(False)))
+        out.docs, out.raw = (x.where(~F.coalesce(F.col("doc").isin(list(ids)), F.lit(False))) for x in (self.docs, self.raw))
         return out
 
     def terms(self, query: str) -> list[str]:
@@ -79,17 +91,14 @@ class TextIndex:
         distinct = sorted(set(terms))
         if not distinct:
             return self.docs.select("doc", F.lit(0.0).alias("score")).where(F.lit(False))
-        # one row for each document with a hit, one count for each term: no posting is shuffled
-        hits = [F.size(F.filter("tokens", _same(w))).cast("long").alias(f"f{k}") for k, w in enumerate(distinct)]
-        counted = self.docs.select("doc", "length", *hits)
-        stats = counted.agg(F.count(F.lit(1)).alias("n"), *(F.sum((F.col(f"f{k}") > 0).cast("long")).alias(f"d{k}") for k in range(len(distinct))))
-        found = counted.where(sum((F.col(f"f{k}") for k in range(len(distinct))), F.lit(0)) > 0).crossJoin(F.broadcast(stats))  # stats is one row
-        score = F.lit(0.0)
-        for k, w in enumerate(distinct):
-            part = F.when(F.col(f"f{k}") > 0, F.col(f"f{k}") / F.col("length") * (F.log(F.col("n") / F.col(f"d{k}")) + 1)).otherwise(0.0)
-            score = score + part * terms.count(w)
-        out = found.select("doc", score.alias("score")).orderBy(F.desc("score"), "doc")
-        return out if limit is None else out.limit(limit)
+        # a row for each document and term that it holds; the words are looked at once, in texts that may hold a term
+        docs = self.docs
+        if self.tokenizer is simple:
+            low = F.lower(F.col("text"))
+            may = reduce(lambda a, b: a | b, (F.contains(low, F.lit(w)) for w in distinct))
+            docs = self.raw.where(may).select("doc", simple(F.col("text")).alias("tokens")).withColumn("length", F.size("tokens").cast("long"))
+        held = F.array(*(F.struct(F.lit(w).alias("term"), F.lit(terms.count(w)).alias("times"), (F.size("tokens") - F.size(F.array_remove("tokens", w))).cast("long").alias("frequency")) for w in distinct))
+        return _ranked(docs.select("doc", "length", F.inline(held)).where("frequency > 0"), self.raw, limit)
 
     def phrase(self, query: str) -> DataFrame:
         """doc of each document in which the query's terms stand next to each other."""
@@ -109,8 +118,46 @@ class TextIndex:
         return terms.crossJoin(docs)  # one row each
 
 
-def _same(word: str):
-    return lambda x: x == word
+def _ranked(hits: DataFrame, docs: DataFrame, limit: int | None) -> DataFrame:
+    """doc and score of hits: doc, length, term, times (in the query) and frequency (in the document)."""
+    of = hits.groupBy(F.col("term").alias("of")).agg(F.count(F.lit(1)).alias("holders"))  # a row for each term of the query
+    found = hits.join(F.broadcast(of), F.col("term") == F.col("of")).crossJoin(F.broadcast(docs.agg(F.count(F.lit(1)).alias("n"))))  # one row
+    score = F.sum(F.col("times") * F.col("frequency") / F.col("length") * (F.log(F.col("n") / F.col("holders")) + 1))
+    out = found.groupBy("doc").agg(score.alias("score")).orderBy(F.desc("score"), "doc")
+    return out if limit is None else out.limit(limit)
+
+
+class StoredText:
+    """What TextIndex.write has written: searches read the postings of their terms and tokenize nothing but the query."""
+
+    def __init__(self, spark: SparkSession, path: str, tokenizer: Tokenizer = simple):
+        self.spark, self.tokenizer = spark, tokenizer
+        self.postings, self.docs = spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/docs")
+
+    def _of(self, terms: list[str]) -> DataFrame:
+        return self.postings.where(F.col("term").isin(sorted(set(terms))))
+
+    def search(self, query: str, limit: int | None = None) -> DataFrame:
+        terms = _terms(self.spark, self.tokenizer, query)
+        times = F.lit(0)
+        for w in sorted(set(terms)):
+            times = F.when(F.col("term") == w, terms.count(w)).otherwise(times)
+        return _ranked(self._of(terms).select("doc", "length", "term", "frequency", times.alias("times")), self.docs, limit)
+
+    def phrase(self, query: str) -> DataFrame:
+        """Each place of a term, less the term's places in the query, is a start; a phrase stands where all its terms agree."""
+        terms = _terms(self.spark, self.tokenizer, query)
+        if not terms:
+            return self.docs.select("doc").where(F.lit(False))
+        at = F.lit(None).cast("array<int>")
+        for w in sorted(set(terms)):
+            at = F.when(F.col("term") == w, F.array(*(F.lit(k) for k, x in enumerate(terms) if x == w))).otherwise(at)
+        starts = self._of(terms).select("doc", F.explode(at).alias("k"), "positions").select("doc", F.explode(F.transform("positions", lambda p: p - F.col("k"))).alias("start"))
+        return starts.where("start >= 0").groupBy("doc", "start").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(terms)).select("doc").distinct()
+
+    def stats(self) -> DataFrame:
+        terms = self.postings.agg(F.count_distinct("term").alias("terms"))
+        return terms.crossJoin(self.docs.agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.avg("length"), F.lit(0.0)).alias("average_length")))  # one row each
 
 
 def _terms(spark: SparkSession, tokenizer: Tokenizer, query: str) -> list[str]:

@@ -42,6 +42,10 @@ class Store:
     def size(self, path: str) -> int:
         return self._fs(path).getContentSummary(self._path(path)).getLength() if self.exists(path) else 0
 
+    def modified(self, path: str) -> float:
+        """Seconds since 1970."""
+        return self._fs(path).getFileStatus(self._path(path)).getModificationTime() / 1000
+
     def read_json(self, path: str) -> dict:
         stream = self._fs(path).open(self._path(path))
         try:

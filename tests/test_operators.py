@@ -123,3 +123,16 @@ def test_builder(spark):
     assert rows(p.apply(df)) == [{"k": 1, "n": 3, "total": 21.0}, {"k": 0, "n": 3, "total": 18.0}]
     assert Pipeline().match(Where()).count("c").apply(df).first().c == 12
     assert Pipeline().project("-v", twice=parse_expression("id * 2")).apply(df).columns == ["twice"]
+
+
+def test_stored_postings(spark, tmp_path):
+    """A written index answers as one that is made for the query."""
+    texts = [(1, "The cat and the dog"), (2, "a dog a dog a"), (3, None), (4, ""), (5, "dog the cat " * 3), (6, "x" * 300 + " cat"), (7, "ü" * 70 + " dog")]
+    index = fulltext.TextIndex(spark.createDataFrame(texts, "id int, t string"), "id", "t")
+    index.write(str(tmp_path))
+    kept = fulltext.StoredText(spark, str(tmp_path))
+    for query in ("dog", "the THE cat", "a dog a", "nothing", "", "x" * 300, "ü" * 70):
+        assert [(r.doc, round(r.score, 9)) for r in index.search(query).collect()] == [(r.doc, round(r.score, 9)) for r in kept.search(query).collect()], query
+        assert sorted(r.doc for r in index.phrase(query).collect()) == sorted(r.doc for r in kept.phrase(query).collect()), query
+    assert index.stats().first() == kept.stats().first()
+    assert [r.doc for r in kept.phrase("a dog a").collect()] == [2] and kept.search("ü" * 70).count() == 1

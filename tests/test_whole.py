@@ -45,7 +45,7 @@ def test_tokenizers_on_fixture(spark):
 def test_tokenizers_on_documents(spark, sf):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     assert max(map(len, texts.values())) > 10000
-    for name, column, plain in (("fts_ngrams_documents", "grams", ngrams), ("fts_mixed_documents", "tokens", mixed)):
+    for name, column, plain in (("fts_ngrams", "grams", ngrams), ("fts_mixed", "tokens", mixed)):
         got = {r.doc_id: r[column] for r in QUERIES[name](spark, sf).collect()}
         assert got == {i: ",".join(plain(t)) for i, t in texts.items()}
 
@@ -53,9 +53,9 @@ def test_tokenizers_on_documents(spark, sf):
 def test_all_tokens_and_positions(spark, sf):
     texts = {r.doc_id: r.text.lower().split() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     assert max(map(len, texts.values())) > 20
-    assert {r.doc: r.tokens.split() for r in QUERIES["fts_tokens_whole"](spark, sf).collect()} == texts
+    assert {r.doc: r.tokens.split() for r in QUERIES["fts_tokens"](spark, sf).collect()} == texts
     again = {i: [None] * len(ws) for i, ws in texts.items()}
-    for r in QUERIES["fts_postings_whole"](spark, sf).collect():
+    for r in QUERIES["fts_postings"](spark, sf).collect():
         for k in map(int, r.positions.split(",")):
             assert again[r.doc][k] is None
             again[r.doc][k] = r.term
@@ -67,7 +67,7 @@ def test_whole_supplier_is_merged(spark):
     nations = {r.n_nationkey: r for r in spark.read.parquet(f"{path}/nation.parquet").collect()}
     suppliers = {r.s_suppkey: r for r in spark.read.parquet(f"{path}/supplier.parquet").collect()}
     assert max(suppliers) >= 40
-    got = {r.n_nationkey: (r.n_name, r.n_regionkey, r.balance) for r in QUERIES["merge_documents_whole"](spark, path).collect()}
+    got = {r.n_nationkey: (r.n_name, r.n_regionkey, r.balance) for r in QUERIES["merge_documents"](spark, path).collect()}
     assert got == {
         k: (suppliers[k].s_name if k in suppliers else nations[k].n_name, nations[k].n_regionkey if k in nations else None, suppliers[k].s_acctbal if k in suppliers else None) for k in nations.keys() | suppliers.keys()
     }
@@ -78,4 +78,4 @@ def test_all_rows_are_sorted(spark, sf):
     rows = [(r.o_orderkey, None if r.o_orderstatus == "F" else r.o_orderstatus, r.o_orderkey % 7 if r.o_orderkey % 3 else None) for r in orders]
     assert len({s for _, s, _ in rows}) > 2 and any(n is None for _, _, n in rows)
     want = sorted(rows, key=lambda r: (r[1] is not None, r[1] or "", r[2] is None, -(r[2] or 0), r[0]))
-    assert [tuple(r) for r in QUERIES["sort_nulls_whole"](spark, sf).collect()] == want
+    assert [tuple(r) for r in QUERIES["sort_nulls"](spark, sf).collect()] == want
