@@ -1,7 +1,6 @@
 import pytest
 from pyspark.sql import functions as F
 
-
 from papyra import CatalogError, Conflict, Database, DuplicateKey, PapyraError, Where
 from papyra.operators.dml import id_time, new_id, valid_id
 
