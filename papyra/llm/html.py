@@ -324,7 +324,7 @@ def main_text(pages: DataFrame, least: float = LEAST, min_pages: int = MIN_PAGES
     ship(pages.sparkSession)
     host = F.lower(F.regexp_extract(F.coalesce(F.col("url"), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host.alias("host"))
-    low = low_branches(importance(own), least, min_pages)
+    low = low_branches(stage(importance(own), "tree"), least, min_pages)
     low = stage(low.groupBy(F.col("host").alias("low_host")).agg(F.array_sort(F.collect_set("path")).alias("low")), "style-tree")
     salted = low.withColumn("low_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     joined = own.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(salted, (F.col("host") == F.col("low_host")) & (F.col("salt") == F.col("low_salt")), "left")
