@@ -102,6 +102,8 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Buckets for each shuffle partition: a few large rows fall less unevenly into more of them.
+BUCKETS = 3
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -142,7 +144,7 @@ def stage_by(df: DataFrame, name: str, key: str) -> DataFrame:
     table = f"papyra_{name}_{uuid.uuid4().hex}"
     path = _place(spark, name, table)
     with _shuffle_files_go(spark):
-        df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).option("path", path).option("compression", "zstd").saveAsTable(table)
+        df.write.bucketBy(BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions")), key).option("path", path).option("compression", "zstd").saveAsTable(table)
     return spark.table(table)
 
 

@@ -1,6 +1,6 @@
 """Duplicate spans by relative Lempel-Ziv parsing against an index of all reference blocks.
 
-The corpus is stored as blocks of about BLOCK_TEXT bytes of text, each sorted by doc_id. Every block is both a
+The corpus is stored as blocks of about BLOCK_TEXT bytes of text, each sorted by doc_id and bucketed, so that it stays where it is. Every block is both a
 text to be parsed and a reference. The index holds each window of `window` words of all blocks once, at its
 earliest place: smallest doc_id, then smallest start, as (block, position of the word in the block).
 
@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .dist import lean, named, schema_of, ship, stage
+from .dist import lean, named, schema_of, ship, stage, stage_by
 from .packed import pack, unpack
 from .text import SPACED, U, Words, mix, rolling, spread
 
@@ -292,7 +292,7 @@ def store(docs: DataFrame) -> DataFrame:
     ship(docs.sparkSession)
     whole = [c for c in docs.columns if c != "text"]
     rows = docs.select(F.struct(*map(named, whole)).alias("doc"), F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    out = stage(rows.mapInArrow(lean(_blocks), "bytes long, rows binary").withColumn("block", F.monotonically_increasing_id()), "blocks")
+    out = stage_by(rows.mapInArrow(lean(_blocks), "bytes long, rows binary").withColumn("block", F.monotonically_increasing_id()), "blocks", "block")
     return out.withMetadata("rows", {"doc": rows.schema["doc"].dataType.json()})
 
 
