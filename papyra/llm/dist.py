@@ -21,14 +21,16 @@ ROOT = str(Path(__file__).resolve().parents[2])
 _written: list[tuple[SparkSession, str, str]] = []
 
 
-#: Rows that pass between the JVM and Python at once: long texts make the default of 10,000 too much memory.
-ROWS_AT_ONCE = 1000
+#: Rows and bytes that pass between the JVM and Python at once: long texts make the defaults of 10,000 and 64 MB too much memory.
+ROWS_AT_ONCE, BYTES_AT_ONCE = 1000, 16 << 20
 
 
 def ship(spark: SparkSession) -> None:
     """Let Python workers import this package also when the driver runs from another folder, and take fewer rows at once unless the session says how many."""
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_AT_ONCE))
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) in ("67108864b", "64m", "64MB"):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BYTES_AT_ONCE))
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:

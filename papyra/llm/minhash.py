@@ -95,7 +95,7 @@ def _lists(flat: np.ndarray, first: np.ndarray) -> pa.Array:
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in blocks(batches, limit=2 << 20):
+    for batch in blocks(batches):
         hash_, first = shingles(Words(batch.column("text"), SPACED, lower=True))
         n = np.diff(first)
         keys = bands(hash_, first)
@@ -123,10 +123,14 @@ def _with_set(own: DataFrame, sets: DataFrame, key: str, other: str, pairs: Data
     partitions = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     many = max(HUB, 2 * n_pairs // max(1, partitions))
     often = pairs.groupBy(F.col(key).alias("often")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > many)
-    often = F.broadcast(stage(often.select("often", F.ceil(F.col("n") / many).cast("int").alias("salts")), "often"))
+    often = stage(often.select("often", F.ceil(F.col("n") / many).cast("int").alias("salts")), "often")
+    held = sets.select(F.col("doc_id").alias("set_id"), F.col("shingles").alias(f"{key}_set"))
+    if not often.head(1):
+        return own.join(held, F.col(key) == F.col("set_id")).select(*own.columns, f"{key}_set")
+    often, is_often = F.broadcast(often), F.col("set_id") == F.col("often")
     salted = own.join(often, F.col(key) == F.col("often"), "left").select(*own.columns, F.coalesce(F.pmod(F.xxhash64(other), F.col("salts")).cast("int"), F.lit(0)).alias("salt"))
-    held = sets.select(F.col("doc_id").alias("set_id"), F.col("shingles").alias(f"{key}_set")).join(often, F.col("set_id") == F.col("often"), "left")
-    held = held.select("set_id", f"{key}_set", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("set_salt"))
+    copies = held.join(often, is_often).select("set_id", f"{key}_set", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("set_salt"))
+    held = held.join(often, is_often, "left_anti").withColumn("set_salt", F.lit(0)).unionByName(copies)
     return salted.join(held, (F.col(key) == F.col("set_id")) & (F.col("salt") == F.col("set_salt"))).select(*own.columns, f"{key}_set")
 
 

@@ -45,9 +45,9 @@ from .packed import pack, unpack
 from .text import SPACED, U, Words, mix, rolling, spread
 
 WINDOW, ANCHOR = 20, 5
-BLOCK_TEXT = 8 << 20
+BLOCK_TEXT = 2 << 20
 #: Text for which one hash range is made, at least; ranges follow the input.
-RANGE_TEXT = 16 << 20
+RANGE_TEXT = 32 << 20
 
 NO_ID = np.iinfo(np.int64).min
 
