@@ -106,9 +106,13 @@ class TextIndex:
         if not terms:
             return self.docs.select("doc").where(F.lit(False))
         words = F.array(*map(F.lit, terms))
-        n = len(terms)
+        n, docs = len(terms), self.docs
+        if self.tokenizer is simple:  # only texts that hold all terms are tokenized
+            low = F.lower(F.col("text"))
+            docs = self.raw.where(reduce(lambda a, b: a & b, (F.contains(low, F.lit(w)) for w in sorted(set(terms)))))
+            docs = docs.select("doc", simple(F.col("text")).alias("tokens")).withColumn("length", F.size("tokens").cast("long"))
         starts = F.filter(F.sequence(F.lit(1), F.col("length").cast("int") - n + 1), lambda i: F.slice("tokens", i, n) == words)
-        near = self.docs.where((F.col("length") >= n) & F.array_contains("tokens", terms[0]))
+        near = docs.where((F.col("length") >= n) & F.array_contains("tokens", terms[0]))
         return near.where(F.size(starts) > 0).select("doc")
 
     def stats(self) -> DataFrame:
