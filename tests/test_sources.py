@@ -1,12 +1,17 @@
 import datetime as dt
 import json
+import os
+import subprocess
+import sys
 from decimal import Decimal
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
 from papyra.sources import bson
 from papyra.sources import json as xjson
 
+ROOT = Path(__file__).resolve().parents[1]
 SCHEMA = "a int, l long, d double, s string, t timestamp, n decimal(38,0), p decimal(10,2), b binary, xs array<string>, o struct<x:int,t:timestamp>, f boolean"
 ROW = (1, 1 << 40, 2.5, "ü", dt.datetime(2020, 1, 2, 3, 4, 5, 678000), Decimal(12345678901234567890), Decimal("1.50"), b"\0\xff", ["a", None], (5, None), True)
 EMPTY = (None,) * len(ROW)
@@ -56,3 +61,16 @@ def test_formats(spark, tmp_path):
     db = Database(spark)
     db.attach("o", spark.read.orc(str(tmp_path / "o")), ("id",))
     assert db.sql("FIND o WHERE id > 0").count() == 2 and db.sql("FIND o").select(F.max("id")).first()[0] == 2
+
+
+def test_workers_find_the_package_when_the_driver_runs_elsewhere(tmp_path):
+    code = f"""
+import sys
+sys.path.insert(0, {str(ROOT)!r})
+from papyra.session import get_session
+from papyra.sources.bson import from_bson, to_bson
+df = get_session("elsewhere", "local[1]", spark__ui__enabled="false").range(2)
+assert sorted(r.id for r in from_bson(to_bson(df), df.schema).collect()) == [0, 1]
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, check=True, timeout=120)
