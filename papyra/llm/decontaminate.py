@@ -174,17 +174,21 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k
     if len(parts) > 1:
         own = stage(own, "documents")
     held = {"doc": kind} | ({"text": T.StringType()} if back else {})
-    found = _join(own, parts[0], window, held)
-    if len(parts) > 1:
+    cover, covered = _cover(list(held)), schema_of("n_words long, n_hit long, n_items long, items array<long>, items_sha256 string", **held)
+    if len(parts) == 1:  # in the worker that finds: a second one for each task would stay in the executor's memory
+        out = _join(own, parts[0], window, held, cover, covered)
+    else:
+        found = _join(own, parts[0], window, held)
         more = [_join(own.select("row", "text"), part, window, {}).where("size(items) > 0") for part in parts[1:]]
         more = reduce(DataFrame.unionByName, more).groupBy(F.col("row").alias("more")).agg(F.unhex(F.concat_ws("", F.collect_list(F.hex("hits")))).alias("more_hits"), F.flatten(F.collect_list("items")).alias("more_items"))
         found = found.join(more, F.col("row") == F.col("more"), "left")
         found = found.withColumn("hits", F.when(F.col("more").isNull(), F.col("hits")).otherwise(F.concat("hits", "more_hits"))).withColumn("items", F.when(F.col("more").isNull(), F.col("items")).otherwise(F.array_distinct(F.concat("items", "more_items")))).drop("more", "more_hits", "more_items")
-    out = found.drop("row").mapInArrow(lean(_cover(list(held))), schema_of("n_words long, n_hit long, n_items long, items array<long>, items_sha256 string", **held))
+        out = found.drop("row").mapInArrow(lean(cover), covered)
     return together(out, names, back).withColumn("contaminated", F.col("n_hit") > 0)
 
 
-def _join(docs: DataFrame, part: DataFrame, window: int, held: dict[str, T.DataType]) -> DataFrame:
+def _join(docs: DataFrame, part: DataFrame, window: int, held: dict[str, T.DataType], then=None, schema: T.StructType | None = None) -> DataFrame:
+    """What _find makes of docs; or what then, which returns rows of schema, makes of that in the same worker."""
     windows = Windows([tuple(r) for r in part.collect()], window)  # a block
     shingles = windows.shingles()
     sizes = sorted({n for n, _ in shingles})
@@ -198,4 +202,7 @@ def _join(docs: DataFrame, part: DataFrame, window: int, held: dict[str, T.DataT
         back[w] = j = int(np.lexsort((own, counts[np.searchsorted(wanted, own)]))[0])
         prefix[w] = own[j]
     order = np.argsort(prefix, kind="stable")
-    return docs.mapInArrow(lean(_find(windows, prefix[order], order, back[order], sizes, list(held))), schema_of(FOUND, **held))
+    find = _find(windows, prefix[order], order, back[order], sizes, list(held))
+    if then:
+        return docs.mapInArrow(lean(lambda batches: then(find(batches))), schema)
+    return docs.mapInArrow(lean(find), schema_of(FOUND, **held))

@@ -108,7 +108,8 @@ class Block:
         # one place for each run of windows with the same anchor place
         new = np.ones(len(least), bool)
         new[1:] = least[1:] != least[:-1]
-        self.distinct, inverse, count = np.unique(runs[least[new]], return_inverse=True, return_counts=True)
+        # least hashes lie low: mixed once more (one to one), they fall evenly into the hash ranges
+        self.distinct, inverse, count = np.unique(mix(runs[least[new]]), return_inverse=True, return_counts=True)
         self.twice = count > 1
         self.which = inverse[np.cumsum(new) - 1]  # of each window, the index of its anchor
         self.window, self.second = rolling(hashes, window)[self.start], rolling(words.hashes(1), window)[self.start]

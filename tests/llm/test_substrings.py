@@ -89,6 +89,16 @@ def test_factors_against_a_greedy_walk(spark, monkeypatch, block):
         assert all(texts[r.doc_id][a : a + n] == texts[d][b : b + n] for a, n, d, b in own)
 
 
+def test_anchors_fall_evenly_into_ranges():
+    table = s.pa.table({"id": s.pa.array([1], s.pa.int64()), "text": [prose(7, 40000)]})
+    sink = s.pa.BufferOutputStream()
+    with s.pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    own = s.Block(sink.getvalue())
+    full, at = s._ranges(own.distinct, 16)
+    assert len(own.distinct) > 3000 and len(full) == 16 and max(at[1:] - at[:-1]) < 1.5 * len(own.distinct) / 16
+
+
 def test_odd_column_names(spark):
     df = spark.createDataFrame([(1, "x", 2, 3)], "doc_id long, text string, `a.b` int, `c d` int")
     assert s.remove_duplicates(df).select("doc.*").columns == ["doc_id", "a.b", "c d"]
