@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from ..functions.expr import quoted
 
 MIN_BYTES, MAX_BYTES = 1, 256
+#: Of a stored index: their postings take some 150 MB of memory to sort and 15 MB of disk.
+WORDS_A_FILE = 2 << 20
 #: The range of characters that are written without spaces.
 HAN_LOW, HAN_HIGH = 0x4E00, 0x9FFF
 _HAN = "[\\u4E01-\\u9FFE]"
@@ -55,14 +57,17 @@ def mixed(text: Column, low: int = MIN_BYTES, high: int = MAX_BYTES) -> Column:
 class TextIndex:
     """An inverted index over a text column: term, document, frequency, positions, and each document's length.
 
-    Postings are one table hashed by (term, document); a common term is spread over tasks and only meets itself in
-    counts that are combined before the shuffle.
+    A document's words are sorted and grouped inside its own array, one document at a time: no table of all words is
+    shuffled, sorted or hashed.
     """
 
     def __init__(self, df: DataFrame, key: str, text: str, tokenizer: Tokenizer = simple):
         self.tokenizer, self.key = tokenizer, key
         self.raw = df.select(quoted(key).alias("doc"), quoted(text).alias("text"))
-        self.docs = df.select(quoted(key).alias("doc"), F.coalesce(tokenizer(quoted(text)), F.array().cast("array<string>")).alias("tokens")).withColumn("length", F.size("tokens").cast("long"))
+        self.docs = df.select(quoted(key).alias("doc"), self._tokens(quoted(text)).alias("tokens")).withColumn("length", F.size("tokens").cast("long"))
+
+    def _tokens(self, text: Column) -> Column:
+        return F.coalesce(self.tokenizer(text), F.array().cast("array<string>"))
 
     def postings(self) -> DataFrame:
         """Texts are dealt by document, so that a document's postings come together without a shuffle of all words."""
@@ -70,9 +75,12 @@ class TextIndex:
         return words.groupBy("term", "doc", "length").agg(F.count(F.lit(1)).alias("frequency"), F.array_sort(F.collect_list("position")).alias("positions"))
 
     def write(self, path: str) -> None:
-        """Postings sorted by term, so that a search reads the files of its terms only, and documents with their lengths."""
+        """Documents with their lengths, and postings of each text: each file holds those of WORDS_A_FILE words or so, sorted by term,
+        so that a search reads the pages of its terms only, and a task sorts what fits its memory. "row" tells texts of one document apart."""
         self.docs.select("doc", "length").write.mode("overwrite").parquet(f"{path}/docs")
-        self.postings().repartitionByRange("term", "doc").sortWithinPartitions("term", "doc").write.mode("overwrite").parquet(f"{path}/postings")
+        words = self.docs.sparkSession.read.parquet(f"{path}/docs").agg(F.sum("length")).first()[0] or 0
+        texts = self.raw.repartition(words // WORDS_A_FILE + 1, "doc").select("doc", F.monotonically_increasing_id().alias("row"), _placed(self._tokens(F.col("text"))).alias("words"))
+        _grouped(texts, "doc", "row").sortWithinPartitions("term", "doc").write.mode("overwrite").parquet(f"{path}/postings")
 
     def without(self, ids: Sequence) -> TextIndex:
         """The index after documents are deleted."""
@@ -122,6 +130,32 @@ class TextIndex:
         return terms.crossJoin(docs)  # one row each
 
 
+def _placed(tokens: Column) -> Column:
+    return F.transform(tokens, lambda x, i: F.struct(x.alias("term"), i.alias("position")))
+
+
+def _runs(docs: DataFrame, *keys: str) -> DataFrame:
+    """docs: keys and words. Keys, length, words sorted, and starts, where another term begins."""
+    docs = docs.select(*keys, F.sort_array("words").alias("words"))
+    at = F.filter(F.transform("words", lambda _, i: i), lambda i: (i == 0) | (F.get("words", i)["term"] != F.get("words", i - 1)["term"]))
+    return docs.select(*keys, F.size("words").cast("long").alias("length"), "words", at.alias("starts"))  # length here: rows made of the array must not carry it
+
+
+def _run(start: Column, k: Column) -> tuple[Column, Column]:
+    """Term and frequency of the run that is number k."""
+    return F.get("words", start)["term"].alias("term"), F.coalesce(F.get("starts", k + 1), F.size("words")) - start
+
+
+def _grouped(docs: DataFrame, *keys: str) -> DataFrame:
+    """A row for each document and term."""
+
+    def posting(start: Column, k: Column) -> Column:
+        term, n = _run(start, k)
+        return F.struct(term, n.cast("long").alias("frequency"), F.slice("words", start + 1, n)["position"].alias("positions"))
+
+    return _runs(docs, *keys).select(*keys, "length", F.inline(F.transform("starts", posting))).select("term", *keys, "length", "frequency", "positions")
+
+
 def _ranked(hits: DataFrame, docs: DataFrame, limit: int | None) -> DataFrame:
     """doc and score of hits: doc, length, term, times (in the query) and frequency (in the document)."""
     of = hits.groupBy(F.col("term").alias("of")).agg(F.count(F.lit(1)).alias("holders"))  # a row for each term of the query
@@ -136,7 +170,8 @@ class StoredText:
 
     def __init__(self, spark: SparkSession, path: str, tokenizer: Tokenizer = simple):
         self.spark, self.tokenizer = spark, tokenizer
-        self.postings, self.docs = spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/docs")
+        postings, self.docs = spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/docs")
+        self.postings = postings if "row" in postings.columns else postings.withColumn("row", F.lit(0))  # of an index that was written before texts were told apart
 
     def _of(self, terms: list[str]) -> DataFrame:
         return self.postings.where(F.col("term").isin(sorted(set(terms))))
@@ -156,8 +191,8 @@ class StoredText:
         at = F.lit(None).cast("array<int>")
         for w in sorted(set(terms)):
             at = F.when(F.col("term") == w, F.array(*(F.lit(k) for k, x in enumerate(terms) if x == w))).otherwise(at)
-        starts = self._of(terms).select("doc", F.explode(at).alias("k"), "positions").select("doc", F.explode(F.transform("positions", lambda p: p - F.col("k"))).alias("start"))
-        return starts.where("start >= 0").groupBy("doc", "start").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(terms)).select("doc").distinct()
+        starts = self._of(terms).select("doc", "row", F.explode(at).alias("k"), "positions").select("doc", "row", F.explode(F.transform("positions", lambda p: p - F.col("k"))).alias("start"))
+        return starts.where("start >= 0").groupBy("doc", "row", "start").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(terms)).select("doc", "row").distinct().select("doc")
 
     def stats(self) -> DataFrame:
         terms = self.postings.agg(F.count_distinct("term").alias("terms"))

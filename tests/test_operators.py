@@ -136,3 +136,16 @@ def test_stored_postings(spark, tmp_path):
         assert sorted(r.doc for r in index.phrase(query).collect()) == sorted(r.doc for r in kept.phrase(query).collect()), query
     assert index.stats().first() == kept.stats().first()
     assert [r.doc for r in kept.phrase("a dog a").collect()] == [2] and kept.search("ü" * 70).count() == 1
+
+
+REPEATED = [(1, "The cat and the dog"), (2, "a dog a dog a"), (3, None), (4, " "), (1, "dog the dog"), (1, "dog the dog"), (None, "cat b b"), (6, "x" * 300 + " cat")]
+
+
+def test_stored_phrases_of_repeated_documents(spark, tmp_path):
+    """Each text of a document has its own places."""
+    index = fulltext.TextIndex(spark.createDataFrame(REPEATED, "id int, t string"), "id", "t")
+    index.write(str(tmp_path))
+    kept = fulltext.StoredText(spark, str(tmp_path))
+    for query in ("dog", "dog the dog", "the dog", "b b", "dog dog"):
+        assert sorted(str(r.doc) for r in index.phrase(query).collect()) == sorted(str(r.doc) for r in kept.phrase(query).collect()), query
+    assert [r.doc for r in kept.phrase("dog the dog").collect()] == [1, 1]
