@@ -149,3 +149,21 @@ def test_stored_phrases_of_repeated_documents(spark, tmp_path):
     for query in ("dog", "dog the dog", "the dog", "b b", "dog dog"):
         assert sorted(str(r.doc) for r in index.phrase(query).collect()) == sorted(str(r.doc) for r in kept.phrase(query).collect()), query
     assert [r.doc for r in kept.phrase("dog the dog").collect()] == [1, 1]
+
+
+def test_stored_search_of_repeated_documents(spark, tmp_path, monkeypatch):
+    """Each text counts by itself; an index lies in several files, each sorted by term."""
+    monkeypatch.setattr(fulltext, "WORDS_A_FILE", 7)
+    index = fulltext.TextIndex(spark.createDataFrame(REPEATED, "id int, t string"), "id", "t")
+    index.write(str(tmp_path))
+    kept = fulltext.StoredText(spark, str(tmp_path))
+    for query in ("dog", "the THE cat", "a b"):
+        assert [(r.doc, round(r.score, 9)) for r in index.search(query).collect()] == [(r.doc, round(r.score, 9)) for r in kept.search(query).collect()], query
+    files = [[r.term for r in spark.read.parquet(f).collect()] for f in kept.postings.inputFiles()]
+    assert sum(map(bool, files)) > 1 and all(f == sorted(f) for f in files)
+
+
+def test_stored_postings_of_nothing(spark, tmp_path):
+    fulltext.TextIndex(spark.createDataFrame([], "id int, t string"), "id", "t").write(str(tmp_path))
+    kept = fulltext.StoredText(spark, str(tmp_path))
+    assert kept.search("a").count() == 0 == kept.phrase("a b").count() and kept.stats().first().terms == 0
