@@ -69,10 +69,14 @@ class TextIndex:
     def _tokens(self, text: Column) -> Column:
         return F.coalesce(self.tokenizer(text), F.array().cast("array<string>"))
 
+    def words(self) -> DataFrame:
+        """doc and words, each a term and its position: what moves is each text, once; a document that comes several times is one with several texts."""
+        texts = self.raw.repartition("doc").groupBy("doc").agg(F.collect_list("text").alias("texts"))
+        return texts.select("doc", F.flatten(F.transform("texts", lambda t: _placed(self._tokens(t)))).alias("words"))
+
     def postings(self) -> DataFrame:
-        """Texts are dealt by document, so that a document's postings come together without a shuffle of all words."""
-        words = self.docs.repartition("doc").select("doc", "length", F.posexplode("tokens").alias("position", "term"))
-        return words.groupBy("term", "doc", "length").agg(F.count(F.lit(1)).alias("frequency"), F.array_sort(F.collect_list("position")).alias("positions"))
+        """term, doc, length, frequency and positions: a row for each document and term that it holds."""
+        return _grouped(self.words(), "doc")
 
     def write(self, path: str) -> None:
         """Documents with their lengths, and postings of each text: each file holds those of WORDS_A_FILE words or so, sorted by term,

@@ -167,3 +167,18 @@ def test_stored_postings_of_nothing(spark, tmp_path):
     fulltext.TextIndex(spark.createDataFrame([], "id int, t string"), "id", "t").write(str(tmp_path))
     kept = fulltext.StoredText(spark, str(tmp_path))
     assert kept.search("a").count() == 0 == kept.phrase("a b").count() and kept.stats().first().terms == 0
+
+
+def test_postings_of_repeated_documents(spark):
+    """A document that comes several times has one posting for each term, and no table of all words is grouped."""
+    index = fulltext.TextIndex(spark.createDataFrame(REPEATED, "id int, t string"), "id", "t")
+    df = index.postings()
+    got = {(r.term, r.doc): (r.length, r.frequency, r.positions) for r in df.collect()}
+    want = {}
+    for doc, text in REPEATED:
+        for k, w in enumerate(w for w in (text or "").lower().split() if len(w) <= 256):
+            want.setdefault((w, doc), []).append(k)
+    lengths = {doc: sum(len(at) for (_, d), at in want.items() if d == doc) for _, doc in want}
+    assert df.count() == len(got) and got == {k: (lengths[k[1]], len(at), sorted(at)) for k, at in want.items()}
+    plan = index.postings()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "keys=[term" not in plan and "Sort " not in plan
