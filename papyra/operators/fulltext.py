@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expr import quoted
@@ -207,7 +207,13 @@ def _terms(spark: SparkSession, tokenizer: Tokenizer, query: str) -> list[str]:
     return list(spark.range(1).select(tokenizer(F.lit(query)).alias("t")).first().t or [])
 
 
-def top_terms(postings: DataFrame, n: int) -> DataFrame:
-    """The n most frequent terms of each document: a report."""
-    by = Window.partitionBy("doc").orderBy(F.desc("frequency"), "term")
-    return postings.select("doc", "term", "frequency", F.row_number().over(by).alias("rank")).where(F.col("rank") <= n)
+def top_terms(index: TextIndex, n: int) -> DataFrame:
+    """The n most frequent terms of each document: a report. They are chosen inside the document's array; no other term gets a row."""
+
+    def counted(start: Column, k: Column) -> Column:
+        term, frequency = _run(start, k)
+        return F.struct((-frequency.cast("long")).alias("less"), term)
+
+    most = F.slice(F.sort_array(F.transform("starts", counted)), 1, max(n, 0))
+    found = _runs(index.words(), "doc").select("doc", F.posexplode(most).alias("place", "of"))
+    return found.select("doc", F.col("of.term").alias("term"), (-F.col("of.less")).alias("frequency"), (F.col("place") + 1).alias("rank"))

@@ -422,7 +422,7 @@ built("open_documents", "SELECT event_id, event_type FROM events")(
     ).drop("_id")
 )
 built("top_terms", f"WITH {_TOKENS}, p AS (SELECT doc, unnest(tokens) AS term FROM documents_tokens), f AS (SELECT doc, term, count(*) AS frequency FROM p GROUP BY ALL) SELECT doc, term, frequency, (row_number() OVER (PARTITION BY doc ORDER BY frequency DESC, term))::INT AS rank FROM f QUALIFY rank <= 3")(
-    lambda db: fulltext.top_terms(_index(db).postings(), 3)
+    lambda db: fulltext.top_terms(_index(db), 3)
 )
 
 

@@ -182,3 +182,13 @@ def test_postings_of_repeated_documents(spark):
     assert df.count() == len(got) and got == {k: (lengths[k[1]], len(at), sorted(at)) for k, at in want.items()}
     plan = index.postings()._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "keys=[term" not in plan and "Sort " not in plan
+
+
+def test_top_terms(spark):
+    """Chosen inside each document: terms that are not among them get no row, and nothing is sorted across documents."""
+    index = fulltext.TextIndex(spark.createDataFrame(REPEATED, "id int, t string"), "id", "t")
+    df = fulltext.top_terms(index, 2)
+    assert sorted(map(str, map(tuple, df.collect()))) == sorted(map(str, [(1, "dog", 5, 1), (1, "the", 4, 2), (2, "a", 3, 1), (2, "dog", 2, 2), (None, "b", 2, 1), (None, "cat", 1, 2), (6, "cat", 1, 1)]))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Sort " not in plan
+    assert fulltext.top_terms(index, 0).count() == 0
